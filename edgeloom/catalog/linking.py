@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scoring import temporal_confidence, two_decimals, within
 from ..operators import combine as cb
-from ..operators.matchers import ExactMatcher, LinkInputs, SkuMatcher, TemporalMatcher, View, raw_edges
+from ..operators.matchers import ExactMatcher, SkuMatcher, TemporalMatcher, View, raw_edges
 from ..operators.rangejoin import window_join
 from ..operators.stats import edge_classes, raw_edge_counts, run_stats
 from ..plans.linkage import Ensemble
@@ -23,9 +23,13 @@ W = RECIPE.window_sec
 FLAT_EDGE = ["from", "to", "kind", "confidence", "proof", "recipe", "at", "notes"]
 
 
-def inputs(spark: SparkSession, sf_dir: str) -> tuple[LinkInputs, Ensemble, Stage]:
-    hasher, stage = test_hasher(spark), Stage(spark)
-    return tv.link_inputs(spark, sf_dir, hasher).staged(stage), Ensemble.default(RECIPE, hasher), stage
+def setting(spark: SparkSession) -> tuple[Ensemble, Stage]:
+    return Ensemble.default(RECIPE, test_hasher(spark)), Stage(spark)
+
+
+def compact(spark: SparkSession, sf_dir: str) -> tuple[View, Ensemble, Stage]:
+    ensemble, stage = setting(spark)
+    return ensemble.view(tv.link_inputs(spark, sf_dir, ensemble.hasher), stage), ensemble, stage
 
 
 def flat(edges: DataFrame) -> DataFrame:
@@ -33,8 +37,8 @@ def flat(edges: DataFrame) -> DataFrame:
 
 
 def _matcher_edges(spark: SparkSession, sf_dir: str, evidence) -> DataFrame:
-    data, ensemble, _ = inputs(spark, sf_dir)
-    return raw_edges(evidence(View.raw(data)), ensemble.hasher).select(*FLAT_EDGE)
+    hasher = test_hasher(spark)
+    return raw_edges(evidence(View.raw(tv.link_inputs(spark, sf_dir, hasher))), hasher).select(*FLAT_EDGE)
 
 
 # ---------------------------------------------------------------- raw edges as SQL
@@ -118,8 +122,8 @@ _ALL = {"raw": _RAW, "scored": _SCORED, "linked": _LINKED}
 
 @catalog.add("linked_edges", with_views("SELECT * FROM linked", *_VIEWS, extra=_ALL))
 def linked_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    data, ensemble, stage = inputs(spark, sf_dir)
-    return flat(ensemble.run(data, stage))
+    ensemble, stage = setting(spark)
+    return flat(ensemble.run(tv.link_inputs(spark, sf_dir, ensemble.hasher), stage))
 
 
 @catalog.add("top_linked_edges", with_views('SELECT "from", "to", kind, confidence, notes FROM linked ORDER BY confidence DESC, "from", "to", kind LIMIT 100', *_VIEWS, extra=_ALL))
@@ -132,9 +136,10 @@ def top_linked_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     max(proof) AS last_proof, max("at") AS last_at FROM raw GROUP BY ALL""", *_VIEWS, extra={"raw": _RAW}))
 def evidence_by_matcher(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The union of all matchers, folded per matcher and kind: rows sharing a proof are merged before hashing."""
-    data, ensemble, _ = inputs(spark, sf_dir)
-    merged = ensemble.evidence(data).groupBy("from", "to", "kind", "matcher", "detail").agg(F.sum("n").alias("n"), F.max("at").alias("at"))
-    signed = ensemble.hasher.with_columns(merged, {"proof": cb.mac(cb.proof_text(F.col("detail")))})
+    view, ensemble, _ = compact(spark, sf_dir)
+    listed = ensemble.evidence(view).select("from", "to", "kind", "matcher", "at", F.inline("parts"))
+    merged = listed.groupBy("from", "to", "kind", "matcher", "v").agg(F.sum("n").alias("n"), F.max("at").alias("at"))
+    signed = ensemble.hasher.with_columns(merged, {"proof": cb.mac(cb.proof_text(F.col("v")))})
     return signed.groupBy("matcher", "kind").agg(
         F.sum("n").alias("edges"), F.count(F.lit(1)).alias("proofs"), F.min("proof").alias("first_proof"),
         F.max("proof").alias("last_proof"), F.max("at").alias("last_at"))
@@ -143,8 +148,8 @@ def evidence_by_matcher(spark: SparkSession, sf_dir: str) -> DataFrame:
 @catalog.add("candidate_scores", with_views('SELECT "from", "to", kind, score, edges, best_confidence, "at" FROM scored', *_VIEWS, extra={"raw": _RAW, "scored": _SCORED}))
 def candidate_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every candidate key's weighted score and best single confidence, whether or not it passes."""
-    data, ensemble, _ = inputs(spark, sf_dir)
-    scored = cb.scored_keys(ensemble.evidence(data), RECIPE, ensemble.names)
+    view, ensemble, _ = compact(spark, sf_dir)
+    scored = cb.scored_keys(ensemble.evidence(view), RECIPE, ensemble.names)
     return scored.select("from", "to", "kind", "score", "edges", "best_confidence", "at")
 
 
@@ -152,17 +157,16 @@ def candidate_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     f"""SELECT "from", "to", kind, arg_min(proof, (-confidence, proof)) AS best_proof, max(confidence) AS best_confidence FROM raw GROUP BY "from", "to", kind""",
     "usages", "subs", "items", extra={"raw": " UNION ALL ".join(f"({EDGES[k]})" for k in ("exact_subscription_edges", "sku_subscription_edges", "sku_item_edges"))}))
 def best_single_proof(spark: SparkSession, sf_dir: str) -> DataFrame:
-    data, ensemble, _ = inputs(spark, sf_dir)
-    view = View.compact(data)
+    view, ensemble, _ = compact(spark, sf_dir)
     evidence = ExactMatcher().subscriptions(view).unionByName(SkuMatcher().evidence(view))
-    merged = evidence.groupBy("from", "to", "kind", "detail", "confidence").agg(F.sum("n").alias("n"))
-    return cb.best_proof(ensemble.hasher.with_columns(merged, {"proof": cb.mac(cb.proof_text(F.col("detail")))}))
+    listed = evidence.select("from", "to", "kind", "confidence", F.inline("parts")).drop("n")
+    return cb.best_proof(ensemble.hasher.with_columns(listed, {"proof": cb.mac(cb.proof_text(F.col("v")))}))
 
 
 @catalog.add("raw_edges_per_matcher", with_views("SELECT split_part(recipe, '/', 1) AS matcher, count(*) AS edges FROM raw GROUP BY 1", *_VIEWS, extra={"raw": _RAW}))
 def raw_edges_per_matcher(spark: SparkSession, sf_dir: str) -> DataFrame:
-    data, ensemble, _ = inputs(spark, sf_dir)
-    return raw_edge_counts(data, ensemble)
+    view, ensemble, _ = compact(spark, sf_dir)
+    return raw_edge_counts(view, ensemble.matchers)
 
 
 _CLASSES = """count(*) AS accepted_edges, count(*) FILTER (confidence >= 0.9) AS high_confidence,
@@ -173,15 +177,15 @@ _CLASSES = """count(*) AS accepted_edges, count(*) FILTER (confidence >= 0.9) AS
     f"""SELECT (SELECT count(*) FROM usages) AS usage_events, (SELECT count(*) FROM subs) AS subscriptions, (SELECT count(*) FROM invs) AS invoices,
     (SELECT count(*) FROM raw) AS raw_edges, {_CLASSES}, count(*) AS exported_edges FROM linked""", *_VIEWS, extra=_ALL))
 def run_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    data, ensemble, stage = inputs(spark, sf_dir)
-    accepted = cb.accepted_keys(cb.scored_keys(ensemble.deciding_evidence(data), RECIPE, ensemble.names), RECIPE.threshold)
-    return run_stats(data, raw_edge_counts(data, ensemble), accepted, exported=True)
+    view, ensemble, stage = compact(spark, sf_dir)
+    accepted = cb.accepted_keys(cb.scored_keys(ensemble.deciding_evidence(view, stage), RECIPE, ensemble.names), RECIPE.threshold)
+    return run_stats(view, raw_edge_counts(view, ensemble.matchers), accepted, exported=True)
 
 
 @catalog.add("confidence_classes", with_views(f"SELECT kind, {_CLASSES} FROM linked GROUP BY kind", *_VIEWS, extra=_ALL))
 def confidence_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    data, ensemble, _ = inputs(spark, sf_dir)
-    accepted = cb.accepted_keys(cb.scored_keys(ensemble.deciding_evidence(data), RECIPE, ensemble.names), RECIPE.threshold)
+    view, ensemble, stage = compact(spark, sf_dir)
+    accepted = cb.accepted_keys(cb.scored_keys(ensemble.deciding_evidence(view, stage), RECIPE, ensemble.names), RECIPE.threshold)
     return edge_classes(accepted.groupBy("kind"))
 
 
@@ -194,7 +198,7 @@ _NEAR = f'invs t JOIN usages u ON u."user" = t.customer AND u."at" BETWEEN t.cre
     f"""SELECT u."user" AS "user", t.id AS invoice, u."at" AS "at", {_DIFF} AS diff, {_DIFF} <= {W} AS in_window, {_CONF} AS confidence,
     printf('%.2f', 1.0::DOUBLE + CAST(0.5 AS DOUBLE) * {_CONF}) AS score_text FROM {_NEAR}""", "usages", "invs"))
 def time_proximity_of_own_invoices(spark: SparkSession, sf_dir: str) -> DataFrame:
-    data, _, _ = inputs(spark, sf_dir)
+    data = tv.link_inputs(spark, sf_dir, test_hasher(spark))
     own = data.invs.select(F.col("customer").alias("user"), F.col("id").alias("invoice"), "created_at")
     pairs = window_join(data.usages.select("user", "at"), own, "at", "created_at", 2 * W, on=["user"], salt_by=["invoice"])
     diff = F.abs(F.col("at") - F.col("created_at"))

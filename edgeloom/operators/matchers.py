@@ -1,16 +1,18 @@
 """The three matchers, as joins that emit evidence rows.
 
-A row stands for ``n`` raw edges that share a proof. Given one row per usage event the output
-expands to the raw edges (`raw_edges`); given usage pre-aggregated by what the proofs depend on
-(`View.compact`) the same joins carry far fewer rows and the multiplicity stays exact.
+A row stands for ``n`` raw edges of one key and matcher. Its ``parts`` list what their proofs sign and
+how often. Given one row per usage event the output expands to the raw edges (`raw_edges`); given usage
+pre-aggregated by what the proofs depend on (`View.compact`) the same joins carry far fewer rows, and
+the multiplicity stays exact.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
+from functools import cached_property
 from typing import Protocol
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from ..functions.keyed_hash import KeyedHash, mac
@@ -39,13 +41,10 @@ class LinkInputs:
         )
         return self.subs.select(F.col("id").alias("sub_id"), "customer", "created_at", F.inline(entries))
 
-    def staged(self, stage) -> "LinkInputs":
-        """Write the columns the matchers read, once."""
-        return LinkInputs(
-            stage.table(self.usages.select("user", "sku", "at"), "usages"),
-            stage.table(self.subs.select("id", "customer", "created_at"), "subs"),
-            stage.table(self.invs.select("id", "customer", "created_at"), "invs"),
-            stage.table(self.flat_items(), "items"),
+    def index(self) -> DataFrame:
+        """SKU -> subscriptions naming it, with how often as a price and how often as a product."""
+        return self.flat_items().groupBy(F.col("item_id").alias("sku"), F.col("sub_id").alias("id"), "customer", "created_at").agg(
+            F.count_if(F.col("item_kind") == "price").alias("price_hits"), F.count_if(F.col("item_kind") == "product").alias("product_hits")
         )
 
 
@@ -57,16 +56,20 @@ class View:
     by_time: DataFrame
     subs: DataFrame
     invs: DataFrame
-    items: DataFrame
+    index: DataFrame
     hot_rows: int = HOT_ROWS
+    by_user: DataFrame | None = None
 
     @classmethod
     def raw(cls, inputs: LinkInputs, hot_rows: int = HOT_ROWS) -> "View":
+        """One row per usage event."""
         events = inputs.usages.select("user", "sku", "at", F.lit(1).cast("bigint").alias("n"))
         return cls(events, events, *cls._billing(inputs), hot_rows)
 
     @classmethod
     def compact(cls, inputs: LinkInputs, hot_rows: int = HOT_ROWS) -> "View":
+        """Usage merged to one row per (user, SKU) and one per (user, second); and per user the list of
+        SKUs, which is no longer than the catalogue."""
         count = F.count(F.lit(1)).alias("n")
         by_sku = inputs.usages.groupBy("user", "sku").agg(count, F.max("at").alias("at"))
         by_time = inputs.usages.groupBy("user", "at").agg(count)
@@ -74,17 +77,47 @@ class View:
 
     @staticmethod
     def _billing(inputs: LinkInputs) -> tuple[DataFrame, DataFrame, DataFrame]:
-        return (
-            inputs.subs.select("id", "customer", "created_at"),
-            inputs.invs.select("id", "customer", "created_at"),
-            inputs.flat_items(),
-        )
-
-    def index(self) -> DataFrame:
-        """SKU -> subscriptions naming it: hits counts the naming entries; a price entry decides the type."""
-        return self.items.groupBy(F.col("item_id").alias("sku"), F.col("sub_id").alias("id"), "customer", "created_at").agg(
-            F.count(F.lit(1)).alias("hits"), F.max((F.col("item_kind") == "price")).alias("is_price")
+        columns = ("id", "customer", "created_at")
+        return inputs.subs.select(*columns), inputs.invs.select(*columns), inputs.index()
+
+    def staged(self, stage) -> "View":
+        """Stored once: every matcher reads these tables several times."""
+        names = ("by_sku", "by_time", "subs", "invs", "index")
+        stored = replace(self, **stage.tables({name: getattr(self, name) for name in names}))
+        per_user = stored.by_sku.groupBy("user").agg(
+            F.max("at").alias("at"), F.sum("n").alias("n"), F.collect_list(F.struct("sku", "n")).alias("skus")
         )
+        return replace(stored, by_user=stage.table(per_user, "by_user"))
+
+    @cached_property
+    def figures(self) -> Row:
+        """Sizes the plans depend on, gathered in one pass of one-row aggregates over stored tables."""
+        size = lambda df: df.agg(F.count(F.lit(1))).scalar()
+        most = lambda df, value: df.agg(F.coalesce(F.max(value), F.lit(0)).cast("double")).scalar()
+        named = self.hits().groupBy("sku").agg(F.count(F.lit(1)).alias("subs"), F.sum("hits").alias("hits"))
+        by_sku = self.by_sku.join(named, ["sku"])
+        return self.by_sku.sparkSession.range(1).select(
+            size(self.by_sku).alias("by_sku"), size(self.subs).alias("subs"), size(self.invs).alias("invs"), size(self.index).alias("index"),
+            by_sku.agg(F.coalesce(F.sum(F.col("subs").cast("double")), F.lit(0.0))).scalar().alias("sku_pairs"),
+            most(by_sku, F.col("n").cast("double") * F.col("hits")).alias("most_item_edges"),
+            most(self.by_sku.groupBy("user").agg(F.sum("n").alias("n")), "n").alias("most_user_events"),
+            most(self.hits(), "hits").alias("most_hits"),
+        ).first()
+
+    def longest(self) -> float:
+        """No key has more raw edges than this: an edge to a subscription or invoice comes from each of the
+        user's events at most once exactly, once in time and once per naming entry; an edge to an item
+        from each event with the SKU, at most once exactly and once as overlap per naming entry."""
+        return max(self.figures["most_user_events"] * (2 + self.figures["most_hits"]), 2 * self.figures["most_item_edges"])
+
+    def hits(self) -> DataFrame:
+        """The index with one hit count; a price entry decides the type."""
+        both = F.col("price_hits") + F.col("product_hits")
+        return self.index.select("sku", "id", "customer", "created_at", both.alias("hits"), (F.col("price_hits") > 0).alias("is_price"))
+
+    def hot(self, table: DataFrame, *on: str, name: str) -> DataFrame | None:
+        """Hot keys of ``table``, a projection of the stored table ``name``."""
+        return hot_keys(table, list(on), self.hot_rows, self.figures[name] if self.by_user is not None else None)
 
 
 class Matcher(Protocol):
@@ -95,10 +128,14 @@ class Matcher(Protocol):
     def evidence(self, view: View) -> DataFrame: ...
 
 
-def _rows(df: DataFrame, to: Column, kind: Column, matcher: str, confidence: Column, detail: Column, n: Column, note: Column) -> DataFrame:
+def part(detail: Column, n: Column) -> Column:
+    return F.array(F.struct(detail.alias("v"), n.alias("n")))
+
+
+def _rows(df: DataFrame, to: Column, kind: Column, matcher: str, confidence: Column, parts: Column, n: Column, note: Column) -> DataFrame:
     return df.select(
         F.col("user").alias("from"), to.alias("to"), kind.alias("kind"), F.lit(matcher).alias("matcher"),
-        confidence.alias("confidence"), detail.alias("detail"), n.alias("n"), F.col("at").alias("at"), note.alias("note"),
+        confidence.alias("confidence"), parts.alias("parts"), n.alias("n"), F.col("at").alias("at"), note.alias("note"),
     )
 
 
@@ -120,29 +157,38 @@ class ExactMatcher:
     def evidence(self, view: View) -> DataFrame:
         return self.subscriptions(view).unionByName(self.invoices(view)).unionByName(self.items(view))
 
-    def _detail(self) -> Column:
-        return F.concat_ws("|", F.lit(self.name), F.coalesce("sku", F.lit("")), F.lit(self.id_mode))
+    def _detail(self, sku: Column) -> Column:
+        return F.concat_ws("|", F.lit(self.name), F.coalesce(sku, F.lit("")), F.lit(self.id_mode))
 
-    def _by_customer(self, view: View, targets: DataFrame, kind: str) -> DataFrame:
+    def _by_customer(self, view: View, targets: DataFrame, kind: str, name: str) -> DataFrame:
+        """All of a user's SKUs count for each of their targets, so one row per (user, target) carries the list."""
         owned = targets.select(F.col("customer").alias("user"), "id")
-        pairs = skew_join(view.by_sku, owned, ["user"], hot_keys(owned, ["user"], view.hot_rows), ["id"])
-        return _rows(pairs, F.col("id"), F.lit(kind), self.name, F.lit(1.0), self._detail(), F.col("n"), F.lit("exact customer ID match"))
+        if view.by_user is None:
+            usage = view.by_sku.select("user", "at", "n", part(self._detail(F.col("sku")), F.col("n")).alias("parts"))
+        else:
+            parts = F.transform("skus", lambda s: F.struct(self._detail(s["sku"]).alias("v"), s["n"].alias("n")))
+            usage = view.by_user.select("user", "at", "n", parts.alias("parts"))
+        pairs = skew_join(usage, owned, ["user"], view.hot(owned, "user", name=name), ["id"])
+        return _rows(pairs, F.col("id"), F.lit(kind), self.name, F.lit(1.0), F.col("parts"), F.col("n"), F.lit("exact customer ID match"))
 
     def subscriptions(self, view: View) -> DataFrame:
-        return self._by_customer(view, view.subs, USER_SUBSCRIPTION)
+        return self._by_customer(view, view.subs, USER_SUBSCRIPTION, "subs")
 
     def invoices(self, view: View) -> DataFrame:
-        return self._by_customer(view, view.invs, USER_INVOICE)
+        return self._by_customer(view, view.invs, USER_INVOICE, "invs")
 
     def items(self, view: View) -> DataFrame:
         """One raw edge per naming entry, so entries are counted per (customer, item) before the join."""
-        entries = view.items.groupBy(F.col("customer").alias("user"), F.col("item_id").alias("sku"), "item_kind").agg(
-            F.count(F.lit(1)).alias("entries")
+        entry = lambda kind: F.struct(F.lit(kind).alias("item_kind"), F.col(f"{kind}_hits").alias("entries"))
+        named = view.index.groupBy(F.col("customer").alias("user"), "sku").agg(
+            F.sum("price_hits").alias("price_hits"), F.sum("product_hits").alias("product_hits")
         )
+        entries = named.select("user", "sku", F.inline(F.array(entry("price"), entry("product")))).where(F.col("entries") > 0)
         is_price = F.col("item_kind") == "price"
+        n = F.col("n") * F.col("entries")
         return _rows(
             view.by_sku.join(entries, ["user", "sku"]), F.col("sku"), _item_kind(is_price), self.name, F.lit(1.0),
-            self._detail(), F.col("n") * F.col("entries"), _item_note(is_price),
+            part(self._detail(F.col("sku")), n), n, _item_note(is_price),
         )
 
 
@@ -163,14 +209,13 @@ class TemporalMatcher:
         return self._near(view, view.invs, USER_INVOICE)
 
     def _near(self, view: View, targets: DataFrame, kind: str) -> DataFrame:
-        times = view.by_time.select("user", "at", "n")
-        pairs = window_join(times, targets.select("id", "created_at"), "at", "created_at", self.window_sec, salt_by=["id"], hot_rows=view.hot_rows)
-        return self.rows(pairs, kind)
+        times, targets = view.by_time.select("user", "at", "n"), targets.select("id", "created_at")
+        return self.rows(window_join(times, targets, "at", "created_at", self.window_sec, salt_by=["id"], hot_rows=view.hot_rows), kind)
 
-    def for_keys(self, view: View, keys: DataFrame, kind: str) -> DataFrame:
+    def for_keys(self, view: View, keys: DataFrame, kind: str, rows: int | None = None) -> DataFrame:
         """Evidence of the given (user, id, created_at) keys only: an equality on user as well as on time."""
         times = view.by_time.select("user", "at", "n")
-        pairs = window_join(times, keys, "at", "created_at", self.window_sec, on=["user"], salt_by=["id"], hot_rows=view.hot_rows)
+        pairs = window_join(times, keys, "at", "created_at", self.window_sec, ["user"], ["id"], view.hot_rows, rows)
         return self.rows(pairs, kind)
 
     def rows(self, pairs: DataFrame, kind: str) -> DataFrame:
@@ -178,7 +223,7 @@ class TemporalMatcher:
         target = "subscription" if kind == USER_SUBSCRIPTION else "invoice"
         return _rows(
             pairs, F.col("id"), F.lit(kind), self.name, temporal_confidence(diff, self.window_sec),
-            F.concat_ws("|", F.lit(self.name), diff.cast("string")), F.col("n"),
+            part(F.concat_ws("|", F.lit(self.name), diff.cast("string")), F.col("n")), F.col("n"),
             F.concat(F.lit("usage within "), diff.cast("string"), F.lit(f"s of {target} creation")),
         )
 
@@ -196,21 +241,21 @@ class SkuMatcher:
         return F.concat_ws("|", F.lit(self.name), F.col("sku"))
 
     def subscriptions(self, view: View) -> DataFrame:
-        index = view.index()
-        pairs = skew_join(view.by_sku, index, ["sku"], hot_keys(index, ["sku"], view.hot_rows), ["id"])
+        pairs = skew_join(view.by_sku, view.hits(), ["sku"], view.hot(view.index, "sku", name="index"), ["id"])
         return self.subscription_rows(pairs)
 
     def subscription_rows(self, pairs: DataFrame) -> DataFrame:
         note = F.concat(F.lit("SKU matched subscription "), F.when(F.col("is_price"), "price").otherwise("product"))
-        return _rows(pairs, F.col("id"), F.lit(USER_SUBSCRIPTION), self.name, F.lit(0.8), self._detail(), F.col("n") * F.col("hits"), note)
+        n = F.col("n") * F.col("hits")
+        return _rows(pairs, F.col("id"), F.lit(USER_SUBSCRIPTION), self.name, F.lit(0.8), part(self._detail(), n), n, note)
 
     def items(self, view: View) -> DataFrame:
         """Item edges do not name the subscription, so the hits of all subscriptions add up before the join."""
-        totals = view.index().groupBy("sku", "is_price").agg(F.sum("hits").alias("hits"))
-        is_price = F.col("is_price")
+        totals = view.hits().groupBy("sku", "is_price").agg(F.sum("hits").alias("hits"))
+        is_price, n = F.col("is_price"), F.col("n") * F.col("hits")
         return _rows(
             view.by_sku.join(totals, ["sku"]), F.col("sku"), _item_kind(is_price), self.name, F.lit(0.9),
-            self._detail(), F.col("n") * F.col("hits"), _item_note(is_price),
+            part(self._detail(), n), n, _item_note(is_price),
         )
 
 
@@ -221,7 +266,8 @@ def proof_text(detail: Column) -> Column:
 
 def raw_edges(evidence: DataFrame, hasher: KeyedHash, id_mode: str = STRICT) -> DataFrame:
     """One LinkEdge row per raw edge, proofs included."""
-    signed = hasher.with_columns(evidence, {"proof": mac(proof_text(F.col("detail")))})
+    listed = evidence.select("from", "to", "kind", "matcher", "confidence", "at", "note", F.inline("parts"))
+    signed = hasher.with_columns(listed, {"proof": mac(proof_text(F.col("v")))})
     expanded = signed.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("n"))))
     return expanded.select(
         F.struct(F.lit(EDGE_SCHEMA_NAME).alias("schema"), F.lit(id_mode).alias("id_mode")).alias("meta"),

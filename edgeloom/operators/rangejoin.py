@@ -18,6 +18,7 @@ def window_join(
     on: list[str] | None = None,
     salt_by: list[str] | None = None,
     hot_rows: int | None = None,
+    right_rows: int | None = None,
 ) -> DataFrame:
     """Pairs at most ``window`` apart, optionally also equal on ``on``.
 
@@ -31,13 +32,14 @@ def window_join(
     spread = left.withColumn("_bucket", F.explode(F.array(bucket - 1, bucket, bucket + 1)))
     placed = right.withColumn("_bucket", F.floor(F.col(right_time) / width))
     keys = [*on, "_bucket"]
-    hot = hot_keys(placed, keys, hot_rows) if hot_rows and window > 0 else None
+    hot = hot_keys(placed, keys, hot_rows, right_rows) if hot_rows and window > 0 else None
     pairs = skew_join(spread, placed, keys, hot, salt_by or [right_time])
     return pairs.where(within(F.col(left_time), F.col(right_time), window)).drop("_bucket")
 
 
 def count_within(left: DataFrame, right: DataFrame, left_time: str, right_time: str, window: int) -> DataFrame:
     """One row ``pairs``: how many (left, right) pairs lie within the window, without forming them.
+    A left row stands for ``n`` events.
 
     Both sides shrink to one row per second first. A left second t reads three right buckets: the
     part of the one before at or after t - window, all of its own, the part of the next up to
@@ -46,7 +48,7 @@ def count_within(left: DataFrame, right: DataFrame, left_time: str, right_time:
     spark = left.sparkSession
     if window <= 0:
         return spark.range(1).select(F.lit(0).cast("bigint").alias("pairs"))
-    per_left = left.groupBy(F.col(left_time).alias("t")).agg(F.count(F.lit(1)).alias("n"))
+    per_left = left.groupBy(F.col(left_time).alias("t")).agg(F.sum("n").alias("n"))
     per_right = right.groupBy(F.col(right_time).alias("t")).agg(F.count(F.lit(1)).alias("n"))
     bucket = F.floor(F.col("t") / window)
     nothing = F.lit(0).cast("bigint")

@@ -94,19 +94,18 @@ def sanitize_usage(raw: DataFrame, hasher: KeyedHash, mode: str = STRICT) -> Dat
     )
 
 
-def sanitize_items(raw: DataFrame, hasher: KeyedHash, mode: str = STRICT) -> DataFrame:
-    """Flat subscription items (sub_id, customer, created_at, price, product) to one row per named id.
+def sanitize_items(headers: DataFrame, lines: DataFrame, hasher: KeyedHash, mode: str = STRICT) -> DataFrame:
+    """Flat subscriptions (id, customer, created_at) and their lines (id, price, product) to one row per named item.
 
-    The flat form keeps a subscription with any number of items from becoming one huge row.
+    The flat form keeps a subscription with any number of items from becoming one huge row. Each
+    subscription's own ids are hashed once, before the join with its lines.
     """
-    keyed = hasher.attach(raw)
-    entry = lambda col, entity: F.struct(map_id(F.col(col), entity, mode).alias("item_id"), F.lit(entity).alias("item_kind"))
-    return keyed.select(
-        map_id(F.col("sub_id"), "subscription", mode).alias("sub_id"),
-        map_id(F.col("customer"), "customer", mode).alias("customer"),
-        "created_at",
-        F.inline(F.array(entry("price", "price"), entry("product", "product"))),
-    ).where(F.col("item_id").isNotNull())
+    head = hasher.detach(hasher.attach(headers).select(
+        "id", map_id(F.col("id"), "subscription", mode).alias("sub_id"), map_id(F.col("customer"), "customer", mode).alias("customer"), "created_at"
+    ))
+    entry = lambda name: F.struct(map_id(F.col(name), name, mode).alias("item_id"), F.lit(name).alias("item_kind"))
+    named = hasher.attach(head.join(lines.select("id", "price", "product"), "id"))
+    return named.select("sub_id", "customer", "created_at", F.inline(F.array(entry("price"), entry("product")))).where(F.col("item_id").isNotNull())
 
 
 def sanitize_subscription_headers(raw: DataFrame, hasher: KeyedHash, mode: str = STRICT) -> DataFrame:

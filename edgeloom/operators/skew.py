@@ -12,11 +12,14 @@ MAX_HOT_KEYS = 1_000
 MAX_SALTS = 4_096
 
 
-def hot_keys(df: DataFrame, on: list[str], hot_rows: int = HOT_ROWS) -> DataFrame | None:
+def hot_keys(df: DataFrame, on: list[str], hot_rows: int = HOT_ROWS, rows: int | None = None) -> DataFrame | None:
     """The heaviest keys of ``df`` with the number of salts each needs, or None if no key is heavy.
 
-    The counts are pre-aggregated before the shuffle, and at most MAX_HOT_KEYS rows reach the driver.
+    A table no larger than ``hot_rows`` has none; pass ``rows`` when its size is known. The counts are pre-aggregated before the shuffle, and
+    at most MAX_HOT_KEYS rows reach the driver. ``df`` should be a stored table: it is read twice here.
     """
+    if (df.count() if rows is None else rows) <= hot_rows:
+        return None
     counts = df.groupBy(*on).agg(F.count(F.lit(1)).alias("_rows"))
     rows = counts.where(F.col("_rows") > hot_rows).orderBy(F.desc("_rows")).limit(MAX_HOT_KEYS).collect()
     if not rows:

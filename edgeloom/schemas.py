@@ -34,9 +34,11 @@ LINK_EDGE = (
     "proof STRING, recipe STRING, at BIGINT, notes STRING"
 )
 
-# Evidence for a candidate edge. `n` raw edges share the row; `detail` is the tail of the text the proof signs.
+# Evidence for a candidate edge: `n` raw edges share the row. Each part is the tail of the text a proof
+# signs, and how many of the edges have that proof.
 EVIDENCE = (
-    "from STRING, to STRING, kind STRING, matcher STRING, confidence DOUBLE, detail STRING, n BIGINT, at BIGINT, note STRING"
+    "from STRING, to STRING, kind STRING, matcher STRING, confidence DOUBLE, "
+    "parts ARRAY<STRUCT<v: STRING, n: BIGINT>>, n BIGINT, at BIGINT, note STRING"
 )
 
 DELIVERY = (

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from concurrent.futures import ThreadPoolExecutor
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_CONF = "spark.checkpoint.dir"
@@ -55,6 +57,12 @@ class Stage:
         df.write.mode("errorifexists").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def tables(self, frames: dict[str, DataFrame]) -> dict[str, DataFrame]:
+        """Stage independent tables side by side, so small writes do not leave the cluster idle."""
+        with ThreadPoolExecutor(max_workers=len(frames)) as pool:
+            made = {name: pool.submit(inheritable_thread_target(self.spark)(self.table), df, name) for name, df in frames.items()}
+            return {name: future.result() for name, future in made.items()}
+
     def clear(self) -> None:
         """Remove the staged tables; call it once the results built on them have been written."""
         jvm = self.spark._jvm

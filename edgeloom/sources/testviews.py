@@ -19,8 +19,14 @@ BASE_TIME = 1_704_067_200
 SPREAD_FACTOR, SPREAD_SECONDS = 7_919, 2_592_000
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+def table(spark: SparkSession, sf_dir: str, name: str, spread_by: str | None = None) -> DataFrame:
+    """A driver table. Hashing is the costly step on these rows, so a file with fewer splits than the
+    cluster has cores is spread first; a table with enough splits is read as it is."""
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    if spread_by and df.rdd.getNumPartitions() < cores:
+        df = df.repartition(cores, spread_by)
+    return df
 
 
 def _seconds(ts: str) -> Column:
@@ -35,7 +41,7 @@ def raw_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = table(spark, sf_dir, "part").agg(F.count(F.lit(1))).scalar()
     k = F.get_json_object("props", "$.k").cast("bigint")
     return (
-        table(spark, sf_dir, "events")
+        table(spark, sf_dir, "events", "event_id")
         .where(F.col("event_type").isin("view", "click", "error"))
         .select(
             F.concat(F.lit("cus_"), "user_id").alias("user"),
@@ -53,7 +59,7 @@ def _status() -> Column:
 def raw_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Subscriptions that have at least one item."""
     lines = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"))
-    return table(spark, sf_dir, "orders").join(lines, "o_orderkey", "left_semi").select(
+    return table(spark, sf_dir, "orders", "o_orderkey").join(lines, "o_orderkey", "left_semi").select(
         F.concat(F.lit("sub_"), "o_orderkey").alias("id"), F.concat(F.lit("cus_"), "o_custkey").alias("customer"),
         _order_time("o_orderkey").alias("created_at"), _status().alias("status"),
     )
@@ -67,9 +73,22 @@ def _product(part: str) -> Column:
     return F.concat(F.lit("prod_"), F.expr(f"{part} div 10").cast("string"))
 
 
+def raw_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "lineitem", "l_orderkey").select(
+        F.concat(F.lit("sub_"), "l_orderkey").alias("id"), _price("l_partkey").alias("price"), _product("l_partkey").alias("product")
+    )
+
+
+def raw_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All orders as subscriptions, with or without items."""
+    return table(spark, sf_dir, "orders", "o_orderkey").select(
+        F.concat(F.lit("sub_"), "o_orderkey").alias("id"), F.concat(F.lit("cus_"), "o_custkey").alias("customer"), _order_time("o_orderkey").alias("created_at")
+    )
+
+
 def raw_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey", "o_orderstatus")
-    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_quantity").join(orders, "l_orderkey").select(
+    return table(spark, sf_dir, "lineitem", "l_orderkey").select("l_orderkey", "l_linenumber", "l_partkey", "l_quantity").join(orders, "l_orderkey").select(
         F.concat(F.lit("sub_"), "l_orderkey").alias("sub_id"), F.concat(F.lit("cus_"), "o_custkey").alias("customer"),
         _order_time("l_orderkey").alias("created_at"), _price("l_partkey").alias("price"), _product("l_partkey").alias("product"),
         F.col("l_quantity").cast("bigint").alias("quantity"), F.col("l_linenumber").cast("bigint").alias("line"), _status().alias("status"),
@@ -101,7 +120,7 @@ def raw_invoices(spark: SparkSession, sf_dir: str) -> DataFrame:
     none = F.lit(None).cast("struct<id:string>")
     named = F.when(F.col("event_id") % 2 == 0, ref(F.concat(F.lit("sub_"), (F.col("event_id") % 1000).cast("string"))))
     return (
-        table(spark, sf_dir, "events")
+        table(spark, sf_dir, "events", "event_id")
         .where(F.col("event_type") == "purchase")
         .select(
             F.concat(F.lit("in_"), "event_id").alias("id"),
@@ -123,7 +142,7 @@ def link_inputs(spark: SparkSession, sf_dir: str, hasher: KeyedHash) -> LinkInpu
         usages(spark, sf_dir, hasher),
         sanitize_subscription_headers(raw_headers(spark, sf_dir), hasher),
         invoice_lite(sanitize_invoices(raw_invoices(spark, sf_dir), hasher)),
-        sanitize_items(raw_items(spark, sf_dir), hasher),
+        sanitize_items(raw_orders(spark, sf_dir), raw_lines(spark, sf_dir), hasher),
     )
 
 

@@ -15,7 +15,8 @@ def spark():
         "tests",
         "local[8]",
         **{
-            "spark.sql.shuffle.partitions": "8",
+            "spark.sql.shuffle.partitions": "4",
+            "spark.default.parallelism": "2",
             "spark.ui.enabled": "false",
             "spark.driver.memory": "6g",
             "spark.checkpoint.dir": tempfile.mkdtemp(prefix="edgeloom-tests-"),

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 import fixtures as fx
 from edgeloom.functions.keyed_hash import KeyedHash
 from edgeloom.operators.combine import best_proof, combine, evidence_of
-from edgeloom.operators.matchers import View
+from edgeloom.operators.matchers import View, part
 from edgeloom.operators.validate import InvalidInput, check_inputs
 from edgeloom.plans.linkage import Ensemble, run
 from edgeloom.recipe import EXACT, SKU, TEMPORAL, Recipe
@@ -42,22 +42,22 @@ def test_matcher_fixture_exact_edges(spark, stage, hasher):
 @pytest.mark.parametrize("hot_rows", [1_000_000, 1])
 def test_routes_and_salting_give_the_same_edges(spark, stage, hasher, route, hot_rows):
     inputs, ensemble = fx.matcher_inputs(spark), Ensemble.default(Recipe(), hasher, hot_rows=hot_rows)
-    evidence = ensemble.deciding_evidence(inputs, route)
+    evidence = ensemble.deciding_evidence(ensemble.view(inputs, stage), stage, route)
     check(rows(combine(evidence, ensemble.recipe, hasher, stage, ensemble.names)), fx.MATCHER_EDGES)
 
 
 @pytest.mark.parametrize("hot_rows", [1_000_000, 1])
 def test_full_evidence_and_raw_edges_combine_alike(spark, stage, hasher, hot_rows):
     inputs, ensemble = fx.matcher_inputs(spark), Ensemble.default(Recipe(), hasher, hot_rows=hot_rows)
-    full = combine(ensemble.evidence(inputs), ensemble.recipe, hasher, stage, ensemble.names, name="full")
+    full = combine(ensemble.evidence(View.compact(inputs, ensemble.hot_rows)), ensemble.recipe, hasher, stage, ensemble.names)
     check(rows(full), fx.MATCHER_EDGES)
-    raw = combine(evidence_of(ensemble.raw_edges(inputs)), ensemble.recipe, hasher, stage, ensemble.names, name="raw")
+    raw = combine(evidence_of(ensemble.raw_edges(inputs)), ensemble.recipe, hasher, stage, ensemble.names, given=True)
     check(rows(raw), fx.MATCHER_EDGES)
 
 
 def test_streamed_proofs_equal_text_proofs(spark, stage, hasher):
     inputs, ensemble = fx.matcher_inputs(spark), Ensemble.default(Recipe(), hasher)
-    evidence = ensemble.deciding_evidence(inputs)
+    evidence = ensemble.deciding_evidence(ensemble.view(inputs, stage), stage)
     check(rows(combine(evidence, ensemble.recipe, hasher, stage, ensemble.names, text_proofs=2)), fx.MATCHER_EDGES)
 
 
@@ -69,7 +69,7 @@ def test_run_order_is_best_first(spark, stage, hasher):
 def test_threshold_above_reach_accepts_nothing(spark, stage, hasher):
     recipe = Recipe(weights={TEMPORAL: 0.5}, threshold=1.5, checked=False)
     full = Ensemble.default(recipe, hasher)
-    assert combine(full.evidence(fx.matcher_inputs(spark)), recipe, hasher, stage, [TEMPORAL]).count() == 0
+    assert combine(full.evidence(View.compact(fx.matcher_inputs(spark))), recipe, hasher, stage, [TEMPORAL]).count() == 0
 
 
 @pytest.mark.parametrize("recipe", [
@@ -78,8 +78,8 @@ def test_threshold_above_reach_accepts_nothing(spark, stage, hasher):
 ])
 def test_deciding_evidence_never_changes_the_result(spark, stage, hasher, recipe):
     inputs, ensemble = fx.matcher_inputs(spark), Ensemble.default(recipe, hasher)
-    pruned = combine(ensemble.deciding_evidence(inputs), recipe, hasher, stage, ensemble.names, name="pruned")
-    plain = combine(ensemble.evidence(inputs), recipe, hasher, stage, ensemble.names, name="plain")
+    pruned = combine(ensemble.deciding_evidence(ensemble.view(inputs, stage), stage), recipe, hasher, stage, ensemble.names)
+    plain = combine(ensemble.evidence(View.compact(inputs, ensemble.hot_rows)), recipe, hasher, stage, ensemble.names)
     assert rows(pruned) == rows(plain)
 
 
@@ -137,8 +137,8 @@ def test_repeated_price_and_both_lists(spark, stage, hasher):
         (f"{SKU}/v1", "user->subscription"): 3, (f"{SKU}/v1", "user->price"): 3,
     }
     ensemble = Ensemble.default(Recipe(), hasher)
-    compact = combine(ensemble.deciding_evidence(inputs), Recipe(), hasher, stage, ensemble.names, name="compact")
-    direct = combine(evidence_of(raw), Recipe(), hasher, stage, ensemble.names, name="direct")
+    compact = combine(ensemble.deciding_evidence(ensemble.view(inputs, stage), stage), Recipe(), hasher, stage, ensemble.names)
+    direct = combine(evidence_of(raw), Recipe(), hasher, stage, ensemble.names, given=True)
     assert rows(compact) == rows(direct)
 
 
@@ -155,7 +155,7 @@ def test_custom_matcher_joins_the_ensemble(spark, stage, hasher):
         def evidence(self, view: View):
             return view.by_sku.select("user").distinct().select(
                 F.col("user").alias("from"), F.lit("syn_sub_all").alias("to"), F.lit("user->subscription").alias("kind"),
-                F.lit("everyone").alias("matcher"), F.lit(0.5).alias("confidence"), F.lit("everyone|x").alias("detail"),
+                F.lit("everyone").alias("matcher"), F.lit(0.5).alias("confidence"), part(F.lit("everyone|x"), F.lit(1).cast("bigint")).alias("parts"),
                 F.lit(1).cast("bigint").alias("n"), F.lit(1).cast("bigint").alias("at"), F.lit("all").alias("note"))
 
     base = Ensemble.default(Recipe(), hasher)
@@ -170,9 +170,9 @@ def test_best_proof(spark):
     assert tuple(best_proof(edges).first()) == ("a", "b", "k", "p2", 0.9)
 
 
-def test_plan_shape_and_secrecy(spark, hasher):
+def test_plan_shape_and_secrecy(spark, stage, hasher):
     inputs, ensemble = fx.matcher_inputs(spark), Ensemble.default(Recipe(), hasher)
-    for df in (ensemble.raw_edges(inputs), ensemble.deciding_evidence(inputs)):
+    for df in (ensemble.raw_edges(inputs), ensemble.deciding_evidence(ensemble.view(inputs, stage), stage)):
         text = df._jdf.queryExecution().toString()
         assert "NestedLoop" not in text and "CartesianProduct" not in text and "Python" not in text
         block = fx.MATCHER_SALT.ljust(64, b"\0")
