@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from . import linking
+from . import intake, linking, queues, records
 from .common import Query
 
-GROUPS = (linking,)
+GROUPS = (linking, records, intake, queues)
 
 
 def all_queries() -> dict[str, Query]:
