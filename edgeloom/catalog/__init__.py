@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from . import intake, linking, queues, records
+from . import intake, linking, queues, records, streams
 from .common import Query
 
-GROUPS = (linking, records, intake, queues)
+GROUPS = (linking, records, intake, queues, streams)
 
 
 def all_queries() -> dict[str, Query]:

@@ -93,9 +93,10 @@ def checked(deliveries: DataFrame, hasher: KeyedHash, rules: DeliveryRules) -> D
     placed = address_columns(deliveries.withColumn("body", F.coalesce("body", F.lit(""))), "remote_addr")
     signed = with_signature_error(placed, hasher, rules.max_skew, "_signature")
     early = F.when(~in_ranges(list(rules.allowed_ranges)), "ip_not_allowed").when(F.octet_length("body") > MAX_BODY_BYTES, "body_too_large")
-    parsed = signed.withColumn("detail", F.coalesce(early, F.col("_signature"))).withColumn("_event", F.when(F.col("detail").isNull(), parse_event(F.col("body"))))
-    broken = F.col("detail").isNull() & (F.col("_event").isNull() | F.col("_event._corrupt").isNotNull())
-    parsed = parsed.withColumn("detail", F.when(broken, "json_parse_error").otherwise(F.col("detail")))
+    parsed = signed.withColumn("_event", parse_event(F.col("body")))
+    broken = F.when(F.col("_event").isNull() | F.col("_event._corrupt").isNotNull(), "json_parse_error")
+    # One flat coalesce: filters on `detail` are pushed down as expressions, so it must not nest.
+    parsed = parsed.withColumn("detail", F.coalesce(early, F.col("_signature"), broken))
     detail = F.col("detail")
     reason = F.when(detail.isin("ip_not_allowed", "json_parse_error"), detail).when(detail.isNotNull(), "signature_invalid")
     text_of = lambda name: F.when(detail.isNull(), F.coalesce(F.col(name), F.lit("")))
@@ -107,10 +108,11 @@ def checked(deliveries: DataFrame, hasher: KeyedHash, rules: DeliveryRules) -> D
     return named.withColumns({"supported": F.col("type").isin(*SUPPORTED_TYPES), "route": route(F.col("type"))})
 
 
-def first_per_key(df: DataFrame, key: str, row_id: str, order: list[str]) -> DataFrame:
-    """Ids of the rows that come first for their key. The minimum is pre-aggregated before the shuffle, so a
-    key repeated in a third of all rows never gathers in one task."""
-    return df.groupBy(key).agg(F.min(F.struct(*order, row_id)).alias("_first")).select(F.col(f"_first.{row_id}").alias(row_id), key)
+def first_per_key(df: DataFrame, key: str, row_id: str, order: list[str], counts: Column) -> DataFrame:
+    """Ids of the rows that come first for their key among those that count. The minimum is pre-aggregated
+    before the shuffle, so a key repeated in a third of all rows never gathers in one task."""
+    firsts = df.groupBy(key).agg(F.min(F.when(counts, F.struct(*order, row_id))).alias("_first")).where(F.col("_first").isNotNull())
+    return firsts.select(F.col(f"_first.{row_id}").alias(row_id), key)
 
 
 def classified(deliveries: DataFrame, hasher: KeyedHash, rules: DeliveryRules, seen: DataFrame | None = None) -> DataFrame:
@@ -119,12 +121,12 @@ def classified(deliveries: DataFrame, hasher: KeyedHash, rules: DeliveryRules, s
     The first delivery of each event is found by event id and joined back by the unique delivery id.
     """
     rows = checked(deliveries, hasher, rules)
-    firsts = first_per_key(rows.where(F.col("reason").isNull()), "event_id", "delivery_id", ["received_at"])
+    firsts = first_per_key(rows, "event_id", "delivery_id", ["received_at"], F.col("detail").isNull())
     if seen is not None:
         firsts = firsts.join(seen.select("event_id"), "event_id", "left_anti")
     marked = rows.join(firsts.select("delivery_id", F.lit(True).alias("_first")), "delivery_id", "left")
     outcome = (
-        F.when(F.col("reason").isNotNull(), "rejected").when(F.col("_first").isNull(), "duplicate").when(F.col("supported"), "accepted").otherwise("ignored")
+        F.when(F.col("detail").isNotNull(), "rejected").when(F.col("_first").isNull(), "duplicate").when(F.col("supported"), "accepted").otherwise("ignored")
     )
     return marked.withColumn("outcome", outcome).drop("_first")
 

@@ -164,11 +164,17 @@ class ExactMatcher:
         """All of a user's SKUs count for each of their targets, so one row per (user, target) carries the list."""
         owned = targets.select(F.col("customer").alias("user"), "id")
         if view.by_user is None:
-            usage = view.by_sku.select("user", "at", "n", part(self._detail(F.col("sku")), F.col("n")).alias("parts"))
+            usage = view.by_sku.select("user", "sku", "at", "n")
         else:
             parts = F.transform("skus", lambda s: F.struct(self._detail(s["sku"]).alias("v"), s["n"].alias("n")))
             usage = view.by_user.select("user", "at", "n", parts.alias("parts"))
         pairs = skew_join(usage, owned, ["user"], view.hot(owned, "user", name=name), ["id"])
+        return self.rows(pairs, kind)
+
+    def rows(self, pairs: DataFrame, kind: str) -> DataFrame:
+        """Evidence of matched (user, id) pairs, with the pair's ``parts`` or else its one ``sku``."""
+        if "parts" not in pairs.columns:
+            pairs = pairs.withColumn("parts", part(self._detail(F.col("sku")), F.col("n")))
         return _rows(pairs, F.col("id"), F.lit(kind), self.name, F.lit(1.0), F.col("parts"), F.col("n"), F.lit("exact customer ID match"))
 
     def subscriptions(self, view: View) -> DataFrame:

@@ -37,18 +37,16 @@ def _order_time(key: str) -> Column:
     return (F.lit(BASE_TIME) + F.col(key) * SPREAD_FACTOR % SPREAD_SECONDS).cast("bigint")
 
 
-def raw_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
+def raw_usage(spark: SparkSession, sf_dir: str, events: DataFrame | None = None) -> DataFrame:
+    """``events`` may be a stream of the same rows."""
+    events = table(spark, sf_dir, "events", "event_id") if events is None else events
     parts = table(spark, sf_dir, "part").agg(F.count(F.lit(1))).scalar()
     k = F.get_json_object("props", "$.k").cast("bigint")
-    return (
-        table(spark, sf_dir, "events", "event_id")
-        .where(F.col("event_type").isin("view", "click", "error"))
-        .select(
-            F.concat(F.lit("cus_"), "user_id").alias("user"),
-            F.col("event_type").alias("feature"),
-            F.concat(F.lit("price_"), ((F.col("user_id") * 100 + k) % parts).cast("string")).alias("sku"),
-            _seconds("ts").alias("at"),
-        )
+    return events.where(F.col("event_type").isin("view", "click", "error")).select(
+        F.concat(F.lit("cus_"), "user_id").alias("user"),
+        F.col("event_type").alias("feature"),
+        F.concat(F.lit("price_"), ((F.col("user_id") * 100 + k) % parts).cast("string")).alias("sku"),
+        _seconds("ts").alias("at"),
     )
 
 
@@ -112,15 +110,16 @@ def raw_subscription_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def raw_invoices(spark: SparkSession, sf_dir: str) -> DataFrame:
+def raw_invoices(spark: SparkSession, sf_dir: str, events: DataFrame | None = None) -> DataFrame:
     """Purchases as invoices: the first line has no subscription, the second an empty id, the third names one
     for every other invoice."""
     line = lambda sub: F.struct(sub.alias("subscription"))
     ref = lambda value: F.struct(value.alias("id"))
     none = F.lit(None).cast("struct<id:string>")
     named = F.when(F.col("event_id") % 2 == 0, ref(F.concat(F.lit("sub_"), (F.col("event_id") % 1000).cast("string"))))
+    events = table(spark, sf_dir, "events", "event_id") if events is None else events
     return (
-        table(spark, sf_dir, "events", "event_id")
+        events
         .where(F.col("event_type") == "purchase")
         .select(
             F.concat(F.lit("in_"), "event_id").alias("id"),

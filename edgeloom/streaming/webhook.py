@@ -20,7 +20,7 @@ DEFAULT_HORIZON = "1 hour"
 
 def first_deliveries(checked_stream: DataFrame, horizon: str = DEFAULT_HORIZON) -> DataFrame:
     """Accepted deliveries, the first of each event id within the horizon; the state is checkpointed."""
-    good = checked_stream.where(F.col("reason").isNull())
+    good = checked_stream.where(F.col("detail").isNull())
     return good.withWatermark("received_at", horizon).dropDuplicatesWithinWatermark(["event_id"])
 
 
@@ -32,7 +32,7 @@ def first_messages(messages: DataFrame, hasher: KeyedHash, max_skew: int, ttl: s
 
 def rejects(rows: DataFrame) -> DataFrame:
     """Refused deliveries as quarantine rows."""
-    bad = rows.where(F.col("reason").isNotNull())
+    bad = rows.where(F.col("detail").isNotNull())
     return quarantined(bad, F.col("body"), F.lit("billing"), F.col("reason"), F.col("received_at"), F.col("detail"))
 
 
