@@ -161,7 +161,7 @@ def _spending(live: DataFrame, ttl: int) -> DataFrame:
     second = F.floor(F.unix_micros("received_at") / 1_000_000)
     order = F.struct("received_at", "message_id")
     firsts = live.groupBy("nonce", second.alias("s")).agg(F.min_by("message_id", order).alias("id"), F.min_by("ts", order).alias("ts"))
-    chain = F.array_sort(F.collect_list(F.struct("s", "id", "ts")))
+    chain = F.sort_array(F.collect_list(F.struct("s", "id", "ts")))
     start = F.struct(F.lit(None).cast("bigint").alias("ts"), F.array().cast("array<bigint>").alias("ids"))
     step = lambda acc, m: F.when(
         acc["ts"].isNull() | (m["s"] - acc["ts"] > ttl), F.struct(m["ts"].alias("ts"), F.concat(acc["ids"], F.array(m["id"])).alias("ids"))

@@ -260,7 +260,8 @@ class SkuMatcher:
         totals = view.hits().groupBy("sku", "is_price").agg(F.sum("hits").alias("hits"))
         is_price, n = F.col("is_price"), F.col("n") * F.col("hits")
         return _rows(
-            view.by_sku.join(totals, ["sku"]), F.col("sku"), _item_kind(is_price), self.name, F.lit(0.9),
+            skew_join(totals, view.by_sku, ["sku"], view.hot(view.by_sku, "sku", name="by_sku"), ["user"]),
+            F.col("sku"), _item_kind(is_price), self.name, F.lit(0.9),
             part(self._detail(), n), n, _item_note(is_price),
         )
 

@@ -72,7 +72,7 @@ def batched(df: DataFrame, batch_size: int, stream: str = "stream", offset: str
 
 def framed(df: DataFrame, batch_size: int = 50, stream: str = "stream", offset: str = "offset", payload: str = "payload") -> DataFrame:
     """One JSON array per batch: (stream, batch, records, line). A batch holds at most ``batch_size`` rows."""
-    rows = F.array_sort(F.collect_list(F.struct(F.col(offset).alias("o"), F.col(payload).alias("p"))))
+    rows = F.sort_array(F.collect_list(F.struct(F.col(offset).alias("o"), F.col(payload).alias("p"))))
     line = F.concat(F.lit("["), F.array_join(F.transform("_rows", lambda r: r["p"]), ","), F.lit("]"))
     return batched(df, batch_size, stream, offset).groupBy(stream, "batch").agg(rows.alias("_rows")).select(
         stream, "batch", F.size("_rows").cast("bigint").alias("records"), line.alias("line")

@@ -20,11 +20,11 @@ SPREAD_FACTOR, SPREAD_SECONDS = 7_919, 2_592_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str, spread_by: str | None = None) -> DataFrame:
-    """A driver table. Hashing is the costly step on these rows, so a file with fewer splits than the
-    cluster has cores is spread first; a table with enough splits is read as it is."""
+    """A driver table. Hashing is the costly step on these rows, so a table of fewer files than the cluster
+    has cores is spread first; one with enough files is read as it is."""
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
     cores = spark.sparkContext.defaultParallelism
-    if spread_by and df.rdd.getNumPartitions() < cores:
+    if spread_by and len(df.inputFiles()) < cores:
         df = df.repartition(cores, spread_by)
     return df
 

@@ -3,7 +3,7 @@ from pyspark.sql import functions as F
 
 import fixtures as fx
 from edgeloom.functions.keyed_hash import KeyedHash
-from edgeloom.operators.combine import best_proof, combine, evidence_of
+from edgeloom.operators.combine import best_proof, combine, evidence_of, merged
 from edgeloom.operators.matchers import View, part
 from edgeloom.operators.validate import InvalidInput, check_inputs
 from edgeloom.plans.linkage import Ensemble, run
@@ -51,7 +51,7 @@ def test_full_evidence_and_raw_edges_combine_alike(spark, stage, hasher, hot_row
     inputs, ensemble = fx.matcher_inputs(spark), Ensemble.default(Recipe(), hasher, hot_rows=hot_rows)
     full = combine(ensemble.evidence(View.compact(inputs, ensemble.hot_rows)), ensemble.recipe, hasher, stage, ensemble.names)
     check(rows(full), fx.MATCHER_EDGES)
-    raw = combine(evidence_of(ensemble.raw_edges(inputs)), ensemble.recipe, hasher, stage, ensemble.names, given=True)
+    raw = combine(merged(evidence_of(ensemble.raw_edges(inputs))), ensemble.recipe, hasher, stage, ensemble.names, given=True)
     check(rows(raw), fx.MATCHER_EDGES)
 
 
