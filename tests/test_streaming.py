@@ -50,7 +50,7 @@ def test_streamed_links_equal_batch_links(spark, stage, tmp_path):
     evidence = linkage.exact_evidence(usages, invs, ExactMatcher(), schemas.USER_INVOICE, 10**6, "1 day").unionByName(
         linkage.temporal_evidence(usages, invs, TemporalMatcher(3600), schemas.USER_INVOICE, "1 day"))
     root = f"{stage.root}/{uuid.uuid4().hex}"
-    target = linkage.IncrementalCombine(recipe, hasher, stage, [EXACT, TEMPORAL], f"{root}/evidence", f"{root}/edges", shards=4)
+    target = linkage.IncrementalCombine(recipe, hasher, [EXACT, TEMPORAL], f"{root}/evidence", f"{root}/edges", shards=4)
     sinks.start(evidence, target, f"{root}/cp", ONCE).awaitTermination()
     view = View.compact(inputs)
     plain = ExactMatcher().invoices(view).unionByName(TemporalMatcher(3600).invoices(view))
@@ -62,8 +62,8 @@ def test_streamed_links_equal_batch_links(spark, stage, tmp_path):
     assert rows(target.current(spark)) == rows(batch)
 
 
-def test_framed_stream_replay_overwrites(spark, stage, tmp_path):
-    sink = sinks.FramedFiles(str(tmp_path / "out"), "billing", stage, batch_size=2)
+def test_framed_stream_replay_overwrites(spark, tmp_path):
+    sink = sinks.FramedFiles(str(tmp_path / "out"), "billing", batch_size=2)
     records = spark.range(5).select(F.concat(F.lit('{"id":'), "id", F.lit("}")).alias("payload"))
     sink(records, 0)
     sink(records, 0)
