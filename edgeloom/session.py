@@ -51,6 +51,13 @@ class Stage:
     def __init__(self, spark: SparkSession):
         self.spark = spark
         self.root = f"{shared_dir(spark).rstrip('/')}/stage-{uuid.uuid4().hex}"
+        self._files(self.root).deleteOnExit(self._path(self.root))  # what nobody cleared goes with the driver
+
+    def _path(self, name: str):
+        return self.spark._jvm.org.apache.hadoop.fs.Path(name)
+
+    def _files(self, name: str):
+        return self._path(name).getFileSystem(self.spark._jsc.hadoopConfiguration())
 
     def table(self, df: DataFrame, name: str) -> DataFrame:
         path = f"{self.root}/{name}"
@@ -63,8 +70,11 @@ class Stage:
             made = {name: pool.submit(inheritable_thread_target(self.spark)(self.table), df, name) for name, df in frames.items()}
             return {name: future.result() for name, future in made.items()}
 
+    def drop(self, *names: str) -> None:
+        """Remove staged tables that nothing will read any more."""
+        for name in names:
+            self._files(self.root).delete(self._path(f"{self.root}/{name}"), True)
+
     def clear(self) -> None:
         """Remove the staged tables; call it once the results built on them have been written."""
-        jvm = self.spark._jvm
-        path = jvm.org.apache.hadoop.fs.Path(self.root)
-        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+        self._files(self.root).delete(self._path(self.root), True)
