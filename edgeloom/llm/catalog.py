@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from .langid import op8_language_id
 from .line_dedup import SQL as LINE_DEDUP_SQL
 from .line_dedup import op7_line_dedup
 from .mixing import op6_mixing
+from .pieces import op9_sentencepiece
+from .urlfilter import op5_url_filter
 
-QUERIES = {q.__name__: q for q in (op6_mixing, op7_line_dedup)}
+QUERIES = {q.__name__: q for q in (op5_url_filter, op6_mixing, op7_line_dedup, op8_language_id, op9_sentencepiece)}
 SQL = {"op7_line_dedup": LINE_DEDUP_SQL}
