@@ -1,8 +1,9 @@
 """URL verdicts: rules first, then logistic regression on hashed character n-grams of host and path.
 
-The labelled URL table is small by contract: the rows it gives are reduced to a bounded, repeatable sample per verdict (by hash
-order, found by a distributed top-k) before they reach the driver, where the regression is trained in numpy. The weights, one
-per bucket, are broadcast. Rules are a short list of literals; the longest that fits wins.
+The labelled URL table is small by contract (``labelled_urls`` is the one that ships: host names of either kind under neutral
+sites and paths). A larger one is reduced to a bounded, repeatable sample per verdict (by hash order, found by a distributed top-k)
+before it reaches the driver, where the regression is trained in numpy. The weights, one per bucket, are broadcast. Rules
+are a short list of literals; the longest that fits wins.
 
 Defined results: a null url, or one without ``://``, has an empty host and path, fits no rule and is judged by the
 regression on empty text. Without labelled rows every url is allowed; with labels of one kind all get that one. Repeated
@@ -26,6 +27,20 @@ ALLOW, BLOCK = "allow", "block"
 # Fixed values: (host, path, verdict) of the rules.
 RULES = (("org", "/", ALLOW), ("example.org", "/es/", BLOCK), ("example.org", "/en/1", BLOCK), ("com", "/fr/", ALLOW), ("com", "/de/", BLOCK))
 
+# Words of host names that a reader would block, and of ordinary ones.
+BAD_WORDS = (
+    "adult", "adult-x", "ads", "ads-track", "betting", "bets", "casino", "casino-win", "cheap-meds", "cheap-pills", "clickbait", "escort", "fake-shop", "free-bets", "free-money",
+    "gambling", "hot-cams", "jackpot", "lottery-win", "malware", "payday-loan", "phishing", "pills", "poker", "popup-ads", "porn", "scam", "slots", "spam", "spam-farm", "link-farm",
+    "track", "tracker", "viagra", "warez", "win-prize", "xxx", "xxx-tube",
+)
+GOOD_WORDS = (
+    "archive", "art", "books", "bridge", "building", "camping", "cycling", "city", "cooking", "culture", "docs", "energy", "example", "farmers", "film", "forest", "forum", "garden", "guide", "health", "history", "house",
+    "journal", "language", "library", "maps", "market", "math", "museum", "music", "nature", "news", "ocean", "painting", "paper", "photo", "physics", "poetry", "radio", "reading", "recipes", "river", "school",
+    "science", "sports", "station", "stories", "street", "theatre", "thing", "thunder", "tools", "travel", "university", "village", "weather", "wiki", "winter", "world", "writing",
+)
+SITES = ("{}.example.com", "www.{}.example.net", "m.{}.example.org", "blog.{}.example.com", "{}.example.org", "{}.example.net")
+PATHS = ("/en/{}", "/de/{}/", "/fr/{}.html", "/es/{}", "/", "/en/{}/")
+
 BUCKETS, SIZES = 1 << 16, (3, 4, 5)
 #: Labelled urls of each verdict that training sees at most.
 SAMPLE = 4000
@@ -76,7 +91,7 @@ def features(hosts: Sequence[str], paths: Sequence[str]) -> tuple[np.ndarray, np
 
 
 def train(hosts: list[str], paths: list[str], blocked: np.ndarray, seed: int = 5) -> UrlModel:
-    """Adagrad on the log loss, with both verdicts weighing the same."""
+    """Adagrad on the log loss; allowed urls weigh twice as much, so that a url like none of the table is allowed."""
     model = UrlModel(np.zeros(BUCKETS), 0.0)
     if not len(blocked) or blocked.all() or not blocked.any():
         model.bias = 30.0 if len(blocked) and blocked.all() else -30.0
@@ -85,7 +100,7 @@ def train(hosts: list[str], paths: list[str], blocked: np.ndarray, seed: int = 5
     order = np.argsort(owner, kind="stable")
     owner, bucket = owner[order], bucket[order]
     begins = np.searchsorted(owner, np.arange(len(hosts) + 1))
-    weight = np.where(blocked, 0.5 / blocked.mean(), 0.5 / (1 - blocked.mean()))
+    weight = np.where(blocked, 0.5 / blocked.mean(), 1.0 / (1 - blocked.mean()))
     rng, seen, bias_seen = np.random.default_rng(seed), np.full(BUCKETS, 1e-8), 1e-8
     for _ in range(EPOCHS):
         shuffled = rng.permutation(len(hosts))
@@ -106,9 +121,19 @@ def train(hosts: list[str], paths: list[str], blocked: np.ndarray, seed: int = 5
     return model
 
 
+def labelled_urls(spark: SparkSession) -> DataFrame:
+    """(url, verdict): every word under every site, with paths that say nothing about the verdict."""
+    rows = [
+        (f"https://{site.format(word)}{PATHS[(i + k) % len(PATHS)].format((i * 997 + k * 131) % 9973)}", verdict)
+        for verdict, words in ((BLOCK, BAD_WORDS), (ALLOW, GOOD_WORDS)) for i, word in enumerate(words) for k, site in enumerate(SITES)
+    ]
+    return spark.createDataFrame(rows, "url string, verdict string")
+
+
 def fit(labelled: DataFrame, sample: int = SAMPLE) -> UrlModel:
-    """A model from (host, path, verdict), using at most ``sample`` distinct urls of each verdict."""
-    distinct = labelled.select("host", "path", "verdict").distinct()
+    """A model from (url, verdict), using at most ``sample`` distinct urls of each verdict."""
+    host, path = host_path(F.col("url"))
+    distinct = labelled.select(host.alias("host"), path.alias("path"), "verdict").distinct()
     rows = [r for verdict in (ALLOW, BLOCK) for r in distinct.where(F.col("verdict") == verdict).orderBy(F.xxhash64("host", "path"), "host", "path").limit(sample).collect()]
     return train([r["host"] for r in rows], [r["path"] for r in rows], np.array([r["verdict"] == BLOCK for r in rows], bool))
 
@@ -137,7 +162,6 @@ def judge(pages: DataFrame, model: UrlModel, rules: Sequence[tuple[str, str, str
 
 
 def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The verdict on every page's url; what the rules say about the urls they fit is what the model learns from."""
+    """The verdict on every page's url."""
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
-    model = fit(ruled(pages).where("rule is not null"))
-    return judge(pages, model).drop("url")
+    return judge(pages, fit(labelled_urls(spark))).drop("url")
