@@ -7,7 +7,9 @@ from .line_dedup import SQL as LINE_DEDUP_SQL
 from .line_dedup import op7_line_dedup
 from .mixing import op6_mixing
 from .pieces import op9_sentencepiece
+from .shingle_join import op10_shingle_join
+from .toxicity import op4_toxicity
 from .urlfilter import op5_url_filter
 
-QUERIES = {q.__name__: q for q in (op5_url_filter, op6_mixing, op7_line_dedup, op8_language_id, op9_sentencepiece)}
+QUERIES = {q.__name__: q for q in (op4_toxicity, op5_url_filter, op6_mixing, op7_line_dedup, op8_language_id, op9_sentencepiece, op10_shingle_join)}
 SQL = {"op7_line_dedup": LINE_DEDUP_SQL}

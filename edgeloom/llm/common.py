@@ -5,6 +5,8 @@ from __future__ import annotations
 from collections.abc import Iterable, Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -50,3 +52,13 @@ def char_ngrams(items: list[bytes], sizes: Iterable[int], buckets: int, seed: in
         code ^= code >> np.uint64(32)
         whole = np.arange(n) + size <= end[:n]
         yield owner[:n][whole], (code[whole] % np.uint64(buckets)).astype(np.int64)
+
+
+def split_words(texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """Distinct words (runs without ASCII white space), the word number of every place, and the words of each text."""
+    parts = pc.ascii_split_whitespace(pc.fill_null(texts.cast(pa.large_string()), ""))
+    flat, parents = pc.list_flatten(parts), pc.list_parent_indices(parts).to_numpy(zero_copy_only=False)
+    full = pc.greater(pc.binary_length(flat), 0)
+    counts = np.bincount(parents[full.to_numpy(zero_copy_only=False)], minlength=len(texts))
+    coded = flat.filter(full).dictionary_encode()
+    return coded.dictionary.to_pylist(), coded.indices.to_numpy(zero_copy_only=False), counts
