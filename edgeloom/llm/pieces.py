@@ -31,10 +31,11 @@ from .common import table
 
 SPACE = "▁"
 NORMAL, UNKNOWN, CONTROL, BYTE = 1, 2, 3, 6
-#: Distinct segments a worker remembers before it starts anew.
-MEMO = 300_000
+#: Distinct segments in a generation of a worker's memo; two are held.
+MEMO = 500_000
 #: Segments up to this length are merged by plain search, longer ones with a queue.
 SHORT = 40
+NEVER = float("-inf")
 UNKNOWN_SURFACE = " ⁇ "
 
 
@@ -188,15 +189,15 @@ class PieceCodec:
         parts, score = list(segment), self.scores.get
         if len(parts) > SHORT:
             return self._merge_long(parts)
-        while len(parts) > 1:
-            best, place = None, -1
-            for i in range(len(parts) - 1):
-                s = score(parts[i] + parts[i + 1])
-                if s is not None and (best is None or s > best):
-                    best, place = s, i
-            if place < 0:
-                break
-            parts[place : place + 2] = [parts[place] + parts[place + 1]]
+        gains = [score(a + b, NEVER) for a, b in zip(parts, parts[1:])]
+        while gains and (best := max(gains)) != NEVER:
+            i = gains.index(best)
+            merged = parts[i] = parts[i] + parts[i + 1]
+            del parts[i + 1], gains[i]
+            if i:
+                gains[i - 1] = score(parts[i - 1] + merged, NEVER)
+            if i < len(gains):
+                gains[i] = score(merged + parts[i + 1], NEVER)
         return parts
 
     def _merge_long(self, parts: list[str]) -> list[str]:
@@ -269,13 +270,19 @@ class PieceCodec:
 
 
 class _Memo(dict):
+    """Values by key. When full, it becomes the older generation, from which keys that are met again are taken over."""
+
     def __init__(self, make):
-        self.make = make
+        self.make, self.older = make, {}
 
     def __missing__(self, key: str) -> bytes:
         if len(self) >= MEMO:
+            self.older = dict(self)
             self.clear()
-        value = self[key] = self.make(key)
+        value = self.older.get(key)
+        if value is None:
+            value = self.make(key)
+        self[key] = value
         return value
 
 
