@@ -13,6 +13,7 @@ from .pieces import op9_sentencepiece
 from .shingle_join import op10_shingle_join
 from .toxicity import op4_toxicity
 from .urlfilter import op5_url_filter
+from .wrappers import op2_html_extraction
 
-QUERIES = {q.__name__: q for q in (op1_nearest_neighbours, op3_embedding_dedup, op4_toxicity, op5_url_filter, op6_mixing, op7_line_dedup, op8_language_id, op9_sentencepiece, op10_shingle_join)}
+QUERIES = {q.__name__: q for q in (op1_nearest_neighbours, op2_html_extraction, op3_embedding_dedup, op4_toxicity, op5_url_filter, op6_mixing, op7_line_dedup, op8_language_id, op9_sentencepiece, op10_shingle_join)}
 SQL = {"op3_embedding_dedup": GRID_JOIN_SQL, "op7_line_dedup": LINE_DEDUP_SQL}
