@@ -40,10 +40,11 @@ def line_dedup(docs: DataFrame, stage: Stage, min_docs: int = MIN_DOCS, min_char
         .select("doc_id", "version", "place", F.unhex(F.md5("key")).alias("hash")),
         "line_keys",
     )
-    common = (
+    common = stage.table(  # stored, so that both sides of the join are shuffled anew and hot hashes can be split
         keyed.select("hash", "doc_id").distinct()
         .groupBy("hash").agg(F.count("*").alias("n_docs"), F.max("doc_id").alias("keeper"))
-        .where(F.col("n_docs") >= min_docs).select("hash", "keeper")
+        .where(F.col("n_docs") >= min_docs).select("hash", "keeper"),
+        "common_lines",
     )
     dropped = (
         keyed.join(common, "hash").where(F.col("doc_id") != F.col("keeper"))
