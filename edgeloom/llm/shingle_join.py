@@ -39,11 +39,14 @@ from .common import split_words, table
 from .components import components
 
 WORDS, THRESHOLD = 5, 0.8
-TOKENS, ROOTS, BRANCH = 48, 12, 0.25
+ROOTS, BRANCH = 12, 0.25
 #: Buckets up to this size are compared; one that keeps this share of its parent is compared as it is; and so are all at the last depth.
 SMALL, STUBBORN, DEPTH = 48, 0.75, 8
+#: Every depth samples from tokens of its own, so that no path splits on a token twice.
+PER_DEPTH = 5
+TOKENS = ROOTS + (DEPTH - 1) * PER_DEPTH
 #: Sets in a block of a large bucket; columns of the comparison matrix at a time.
-BLOCK, COLUMNS = 192, 8192
+BLOCK, COLUMNS = 768, 4096
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -107,7 +110,7 @@ def _key(*parts: Column) -> Column:
 
 
 def split_buckets(reps: DataFrame, stage: Stage) -> DataFrame:
-    """(bucket, rep): the ended buckets with two sets or more. ``reps``: (rep, tokens)."""
+    """(bucket, rep, dense): the ended buckets with two sets or more; dense ones ended large. ``reps``: (rep, tokens)."""
     token = lambda at: F.element_at("tokens", at + 1)
     open_ = reps.select("rep", F.explode(F.array(*[_key(F.lit(r), token(F.lit(r))) for r in range(ROOTS)])).alias("bucket"), F.lit(None).cast("long").alias("parent_size"))
     ended = []
@@ -116,11 +119,12 @@ def split_buckets(reps: DataFrame, stage: Stage) -> DataFrame:
         sizes = stage.table(rows.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1"), f"sizes_{depth}")
         sized = rows.join(sizes, "bucket")
         end = (F.col("size") <= SMALL) | (F.coalesce(F.col("size") >= STUBBORN * F.col("parent_size"), F.lit(False))) | F.lit(depth == DEPTH)
-        ended.append(sized.where(end).select("bucket", "rep"))
+        ended.append(sized.where(end).select("bucket", "rep", (F.col("size") > SMALL).alias("dense")))
         # Whether any bucket stays open is read off the sizes where they decide alone.
         if depth == DEPTH or sizes.where(F.col("size") > SMALL).isEmpty():
             break
-        at = lambda k: F.pmod(F.xxhash64("bucket", F.lit(k)), F.lit(TOKENS)).cast("int")
+        first = ROOTS + (depth - 1) * PER_DEPTH
+        at = lambda k, first=first: (F.lit(first) + F.pmod(F.xxhash64("bucket") + k, F.lit(PER_DEPTH))).cast("int")
         more = F.pmod(F.xxhash64("bucket", F.lit("branch")), F.lit(1000)) < int(1000 * BRANCH)
         path = lambda k: F.struct(_key("bucket", F.lit(k), token(at(k))).alias("bucket"))
         open_ = (
@@ -135,8 +139,16 @@ def split_buckets(reps: DataFrame, stage: Stage) -> DataFrame:
 
 
 def distinct_buckets(buckets: DataFrame, stage: Stage) -> DataFrame:
-    """Of buckets with the same members, one: (bucket, rep, size)."""
-    rows = stage.table(buckets.distinct(), "buckets")
+    """Of buckets with the same members, one: (bucket, rep, size).
+
+    Every root leads a group of near copies to a dense bucket of nearly the same members. Those are joined first: a dense bucket
+    takes the smallest name of any dense bucket that one of its members is in, so what met in one of them still meets.
+    """
+    ended = stage.table(buckets.distinct(), "ended")
+    dense = ended.where("dense").select("bucket", "rep")
+    least = dense.groupBy("rep").agg(F.min("bucket").alias("least"))
+    names = stage.table(dense.join(least, "rep").groupBy("bucket").agg(F.min("least").alias("name")), "dense_names")
+    rows = stage.table(ended.where("not dense").select("bucket", "rep").unionAll(dense.join(names, "bucket").select(F.col("name").alias("bucket"), "rep").distinct()), "buckets")
     print_ = rows.groupBy("bucket").agg(F.count("*").alias("size"), F.bit_xor(F.xxhash64("rep")).alias("x"), F.sum(F.xxhash64("rep", F.lit(1)).bitwiseAND(F.lit((1 << 40) - 1))).alias("s"))
     kept = stage.table(print_.groupBy("size", "x", "s").agg(F.min("bucket").alias("bucket")).select("bucket", "size"), "bucket_sizes")
     return rows.join(kept, "bucket")
@@ -281,7 +293,7 @@ def near_copies(docs: DataFrame, stage: Stage, threshold: float = THRESHOLD, wor
     texts = docs.where("doc_id is not null").join(wanted.withColumnRenamed("rep", "doc_id"), "doc_id").groupBy("doc_id", "set_id").agg(F.max("copies").alias("copies"), F.max("text").alias("text"))
     sets = stage.table(gram_sets(texts.withColumnRenamed("doc_id", "rep"), words), "sets")
     compared = stage.table(compare_buckets(buckets, sets, threshold), "compared")
-    stage.drop("sets", "members", "buckets", *[f"paths_{d}" for d in range(1, DEPTH + 1)])
+    stage.drop("sets", "members", "buckets", "ended", *[f"paths_{d}" for d in range(1, DEPTH + 1)])
     found = components(compared.where("other is not null").select(F.col("rep").alias("a"), F.col("other").alias("b")), stage)
     links = compared.groupBy("rep").agg(F.sum("links").alias("links"))
     classes = stage.table(
