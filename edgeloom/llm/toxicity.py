@@ -16,7 +16,7 @@ labelled rows, or with labels of one kind, all scores are the share of label 1.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -30,12 +30,18 @@ from .common import char_ngrams, held_out, split_words, table, uniform
 WORDS, STRIDE = 48, 32
 WIDTH, STATE = 12, 8
 WORD_ROWS, CHAR_ROWS, CHAR_SIZES = 1 << 18, 1 << 17, (3, 4, 5)
-TOXIC_DOCS, CLEAN_DOCS, TRAIN_WORDS, STEPS, BATCH, RATE = 1200, 3000, 1600, 700, 256, 0.02
+TOXIC_DOCS, CLEAN_DOCS, TRAIN_WORDS, STEPS, BATCH, RATE = 1200, 3000, 800, 700, 256, 0.02
 #: Adagrad on the embeddings; the floor keeps faint gradients of chance words from moving them.
 EMBED_RATE, EMBED_FLOOR = 0.2, 1e-3
 THRESHOLD = 0.3
-#: Windows scored at once.
-CHUNK = 1024
+#: Windows scored at once; words embedded at once.
+CHUNK, WORD_CHUNK = 1024, 8192
+
+
+#: Stripped from both ends of a word.
+MARKS = b".,;:!?()[]{}|\"'*#$%&<>-_/\\"
+#: Rows of the embeddings learn only from words and n-grams of so many sampled documents; chance words keep no memory of a label.
+LEAST_WORD, LEAST_GRAM = 3, 12
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -44,7 +50,7 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
 
 def word_inputs(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(row of the word table per word; word and row of the character table per n-gram)."""
-    marked = [b"<" + w.lower() + b">" for w in words]
+    marked = [b"<" + (w.lower().strip(MARKS) or w) + b">" for w in words]
     whole = np.zeros(len(words), np.int64)
     lengths = np.fromiter(map(len, marked), np.int64, len(marked))
     data = np.frombuffer(b"".join(marked), np.uint8).astype(np.uint64)
@@ -130,6 +136,11 @@ class Network:
         """What each word adds to the gates of both directions."""
         return {way: words @ self.p[f"{way}_in"] + self.p[f"{way}_shift"] for way in "fb"}
 
+    def word_gates(self, parts: Iterable[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> dict[str, np.ndarray]:
+        """``gates`` of many words, embedded part by part."""
+        made = [self.gates(self.embed(part)) for part in parts] or [{way: np.zeros((1, 3 * STATE), np.float32) for way in "fb"}]
+        return {way: np.concatenate([m[way] for m in made]) for way in "fb"}
+
     def backward(self, wrong: np.ndarray, seen: np.ndarray, kept) -> tuple[dict[str, np.ndarray], dict[str, np.ndarray]]:
         """Gradients of the shared weights, and of the gate inputs, from the gradient of the logits."""
         both, hidden, weight, pooled, trace_f, trace_b = kept
@@ -182,7 +193,7 @@ class Scorer:
         """The score of each text, from its highest window; ``raw``: that window's logit."""
         distinct, tokens, counts = split_words(texts)
         vocabulary = [w.encode() for w in distinct]
-        inputs = self.net.gates(self.net.embed(word_inputs(vocabulary))) if vocabulary else {way: np.zeros((1, 3 * STATE), np.float32) for way in "fb"}
+        inputs = self.net.word_gates(word_inputs(vocabulary[at : at + WORD_CHUNK]) for at in range(0, len(vocabulary), WORD_CHUNK))
         begins = np.cumsum(counts) - counts
         owner, first = windows_of(counts)
         best = np.full(len(counts), -np.inf)
@@ -215,10 +226,16 @@ def train(texts: list[str], toxic: np.ndarray, steps: int = STEPS, seed: int = 1
     tokens = np.array([known.setdefault(w, len(known)) for words in split for w in words], np.int64)
     counts = np.array([len(w) for w in split], np.int64)
     begins = np.cumsum(counts) - counts
-    whole, owner, rows = word_inputs(list(known))
-    order = np.argsort(owner, kind="stable")
-    owner, rows = owner[order], rows[order]
-    spans = np.searchsorted(owner, np.arange(len(known) + 1))
+    del split
+    names = list(known)
+    parts = [_sorted_inputs(names[at : at + WORD_CHUNK]) for at in range(0, len(names), WORD_CHUNK)]
+    whole, rows = np.concatenate([p[0] for p in parts]), np.concatenate([p[2] for p in parts])
+    spans = np.cumsum(np.concatenate(([0], *[p[1] for p in parts])))
+    del names, known, parts
+    # In how many documents each word occurs, and (words counted apart) each n-gram.
+    seen_in = np.bincount(np.unique(np.repeat(np.arange(len(counts)), counts) * len(whole) + tokens) % len(whole), minlength=len(whole))
+    learns = {"words": np.zeros(WORD_ROWS, bool), "chars": np.bincount(rows, np.repeat(seen_in, np.diff(spans)), CHAR_ROWS) >= LEAST_GRAM}
+    learns["words"][whole[seen_in >= LEAST_WORD]] = True
     win_owner, win_first = windows_of(counts)
     heads = np.searchsorted(win_owner, np.arange(len(counts) + 1))
     suspicion = rng.random(len(win_owner))
@@ -256,6 +273,7 @@ def train(texts: list[str], toxic: np.ndarray, steps: int = STEPS, seed: int = 1
         n_grams = np.maximum(spans[used + 1] - spans[used], 1).astype(np.float32)
         sparse = {"words": _summed(whole[used], d_words), "chars": _summed(rows[gram_of], d_words[gram_owner] / n_grams[gram_owner][:, None])}
         for name, (at, grad) in sparse.items():
+            at, grad = at[learns[name][at]], grad[learns[name][at]]
             second[name][at] += grad * grad
             net.p[name][at] -= EMBED_RATE * grad / (np.sqrt(second[name][at]) + EMBED_FLOOR)
         for name, grad in grads.items():
@@ -263,16 +281,29 @@ def train(texts: list[str], toxic: np.ndarray, steps: int = STEPS, seed: int = 1
             second[name] += 0.01 * (grad * grad - second[name])
             net.p[name] -= pace * (first[name] / (1 - 0.9**step)) / (np.sqrt(second[name] / (1 - 0.99**step)) + 1e-6)
         if step % 100 == 0 and step < steps:  # look again for the suspicious windows of every document
+            all_gates = net.word_gates(_slices(whole, spans, rows))
             for at in range(0, len(win_owner), CHUNK):
                 part = slice(at, at + CHUNK)
                 ids, seen = _gather(tokens, begins, counts, win_owner[part], win_first[part])
-                all_gates = net.gates(net.embed((whole, owner, rows))) if at == 0 else all_gates
                 suspicion[part], _ = net.forward({way: t[ids] for way, t in all_gates.items()}, seen[:, :, None].astype(np.float32))
     if len(np.unique(spare_toxic)) == 2:
-        net.scale, net.shift = _calibrate(Scorer(net).score(pa.array(spare_texts, pa.large_string()), raw=True), spare_toxic)
+        logits = [Scorer(net).score(pa.array(spare_texts[at : at + 100], pa.large_string()), raw=True) for at in range(0, len(spare_texts), 100)]
+        net.scale, net.shift = _calibrate(np.concatenate(logits), spare_toxic)
     return net
 
 
+def _sorted_inputs(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row of each word, its number of n-grams, the n-grams' rows, word by word)."""
+    whole, owner, rows = word_inputs(words)
+    return whole.astype(np.int32), np.bincount(owner, minlength=len(words)), rows[np.argsort(owner, kind="stable")].astype(np.int32)
+
+
+def _slices(whole: np.ndarray, spans: np.ndarray, rows: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    for lo in range(0, len(whole), WORD_CHUNK):
+        hi = min(lo + WORD_CHUNK, len(whole))
+        yield whole[lo:hi], np.repeat(np.arange(hi - lo), np.diff(spans[lo : hi + 1])), rows[spans[lo] : spans[hi]]
+
+
 def _calibrate(logits: np.ndarray, toxic: np.ndarray) -> tuple[float, float]:
     """Scale (positive) and shift by Newton steps on the ridge-penalised log loss."""
     centre, spread = logits.mean(), logits.std() + 1e-6
@@ -283,6 +314,10 @@ def _calibrate(logits: np.ndarray, toxic: np.ndarray) -> tuple[float, float]:
         slope = x.T @ (chance - toxic) / len(x) + 1e-4 * w * (1, 0)
         w -= np.linalg.solve((x.T * (chance * (1 - chance))) @ x / len(x) + np.diag((1e-4, 1e-6)), slope)
     scale = max(float(w[0] / spread), 1e-3)
+    # Where the labels come apart, the threshold goes midway between the ends of their bulks.
+    clean_end, toxic_end = np.quantile(logits[toxic == 0], 0.98), np.quantile(logits[toxic == 1], 0.02)
+    if clean_end < toxic_end:
+        return scale, float(np.log(THRESHOLD / (1 - THRESHOLD)) - scale * (clean_end + toxic_end) / 2)
     return scale, float(w[1] - scale * centre)
 
 
@@ -318,8 +353,8 @@ def score(docs: DataFrame, net: Network) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(shared.value)
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
+            for at in range(0, batch.num_rows, 400):
+                part = batch.slice(at, 400)
                 scores = scorer.score(part.column("text").cast(pa.large_string()))
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in kept), pa.array(scores, pa.float64())], names=[*kept, "score"])
 
