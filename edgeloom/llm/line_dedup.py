@@ -49,7 +49,7 @@ def line_dedup(docs: DataFrame, stage: Stage, min_docs: int = MIN_DOCS, min_char
     dropped = (
         keyed.join(common, "hash").where(F.col("doc_id") != F.col("keeper"))
         .groupBy(F.col("doc_id").alias("__doc_id"), F.col("version").alias("__version"))
-        .agg(F.collect_list("place").alias("__places"))
+        .agg(F.collect_set("place").alias("__places"))
     )
     rest = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
     split = docs.select(*rest).join(dropped, (F.col("doc_id") == F.col("__doc_id")) & (version == F.col("__version")), "left").select(*rest, "__places", _lines(F.col("text")).alias("__lines"))
