@@ -61,7 +61,7 @@ def solve_tilts(sizes: DataFrame, goals: DataFrame, stage: Stage, ceiling: int)
     """(source, source_size, target, mean, tilt, full): the dual solved by safeguarded Newton rounds."""
     counts = stage.table(sizes.where("size > 0").groupBy("source", "size").agg(F.count("*").alias("n_docs")), "size_counts")
     state = stage.table(
-        goals.select("source", "source_size", "target", (F.col("source_size") / F.col("n")).alias("mean"), F.lit(0.0).alias("tilt"),
+        goals.select("source", "source_size", "target", F.coalesce(F.try_divide("source_size", "n"), F.lit(1.0)).alias("mean"), F.lit(0.0).alias("tilt"),
                      (F.col("target") >= ceiling * F.col("source_size") * (1 - 1e-12)).alias("full"), F.lit(-1e9).alias("low"), F.lit(1e9).alias("high"), F.lit(1.0).alias("miss")),
         "tilt_0",
     )
@@ -129,8 +129,9 @@ def place_offsets(sizes: DataFrame, tilts: DataFrame, stage: Stage, ceiling: int
 
 
 def _measured(docs: DataFrame) -> DataFrame:
-    kept = [c for c in docs.columns if c not in ADDED]
-    return docs.select(*kept, F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"), uniform("doc_id", "text").alias("u"))
+    """(row, source, size, u): what passes through is packed, so that its names clash with none here."""
+    kept = F.struct(*[c for c in docs.columns if c not in ADDED])
+    return docs.select(kept.alias("row"), "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"), uniform("doc_id", "text").alias("u"))
 
 
 def mix(docs: DataFrame, stage: Stage, weights: Sequence[float] = WEIGHTS, ceiling: int = CEILING) -> DataFrame:
@@ -140,8 +141,7 @@ def mix(docs: DataFrame, stage: Stage, weights: Sequence[float] = WEIGHTS, ceili
     plan = place_offsets(sizes, solve_tilts(sizes, goals, stage, ceiling), stage, ceiling)
     copies = F.when(F.col("size") == 0, 0).when(F.col("full"), ceiling).otherwise(F.size(F.filter(_gains(ceiling), lambda g: g < F.col("offset"))))
     joined = _measured(docs).join(plan.withColumnRenamed("source", "__of"), F.col("source").eqNullSafe(F.col("__of")))
-    kept = [c for c in docs.columns if c not in ADDED]
-    return joined.select(*kept, "size", "source_size", "target", copies.cast("int").alias("copies"), (copies * F.col("size")).cast("long").alias("taken"))
+    return joined.select("row.*", "size", "source_size", "target", copies.cast("int").alias("copies"), (copies * F.col("size")).cast("long").alias("taken"))
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

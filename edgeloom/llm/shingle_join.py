@@ -13,7 +13,7 @@ near copies thus cost rows in proportion to their number. Components are found f
 
 Words are separated by ASCII white space and compared as they are. A text of fewer words than an n-gram is one n-gram.
 Defined results: texts without words (null, empty, white space) and rows without an id link with nothing and stay. Repeated rows
-are copies; ``kept`` is true for all rows that have the smallest id. ``n_links``, ``component_id`` and ``kept`` are replaced if the
+are copies; rows of one id with different texts are versions of one document, whose component is that of them all; ``kept`` is true for all rows that have the smallest id. ``n_links``, ``component_id`` and ``kept`` are replaced if the
 input has them; all other columns are ignored by the join and pass through ``drop_near_copies``.
 
 Recall: a pair at the threshold t meets in a run of depth 1 with chance t, and deeper paths branch by 1.25 = 1/t, which keeps the
