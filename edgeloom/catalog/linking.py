@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,7 +12,7 @@ from ..operators import combine as cb
 from ..operators.matchers import ExactMatcher, SkuMatcher, TemporalMatcher, View, raw_edges
 from ..operators.rangejoin import window_join
 from ..operators.stats import edge_classes, raw_edge_counts, run_stats
-from ..plans.linkage import Ensemble
+from ..plans.linkage import Ensemble, run
 from ..recipe import EXACT, SKU, TEMPORAL, Recipe
 from ..session import Stage
 from ..sources import testviews as tv
@@ -115,7 +117,7 @@ _SCORED = f"""SELECT "from", "to", kind, (CAST(0 AS DOUBLE) + {_weight(EXACT)} +
 _NOTE = "joined || ' (score=' || printf('%.2f', score) || ')'"
 _LINKED = f"""SELECT "from", "to", kind, least(CAST(1 AS DOUBLE), score) AS confidence,
     {mac_sql('''"from" || '|' || "to" || '|' || kind || '|ensemble|' || proofs''')} AS proof, '{RECIPE.label}' AS recipe, "at",
-    CASE WHEN length({_NOTE}) > 200 THEN substr({_NOTE}, 1, 197) || '...' ELSE {_NOTE} END AS notes,
+    {_NOTE} AS notes,
     'link-edge/v1' AS schema_name, 'strict' AS id_mode FROM scored WHERE score >= {RECIPE.threshold}"""
 _ALL = {"raw": _RAW, "scored": _SCORED, "linked": _LINKED}
 
@@ -126,6 +128,40 @@ def linked_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flat(ensemble.run(tv.link_inputs(spark, sf_dir, ensemble.hasher), stage))
 
 
+# Every seventh subscription and fifth usage second keep their raw customer; their items must not link either.
+_SPOILED = {
+    "good_usages": 'SELECT * FROM usages WHERE "at" % 5 <> 0', "good_subs": "SELECT * FROM subs WHERE created_at % 7 <> 0", "good_invs": "SELECT * FROM invs WHERE created_at % 11 <> 0",
+    "good_items": "SELECT * FROM items WHERE created_at % 7 <> 0",
+}
+_GOOD_RAW = _RAW
+for _relation in _VIEWS:
+    for _before in ("FROM ", "JOIN "):
+        _GOOD_RAW = _GOOD_RAW.replace(f"{_before}{_relation} ", f"{_before}good_{_relation} ")
+
+
+def _spoiled_run(spark: SparkSession, sf_dir: str):
+    ensemble, stage = setting(spark)
+    inputs = tv.link_inputs(spark, sf_dir, ensemble.hasher)
+    spoil = lambda df, name, every, by: df.withColumn(name, F.when(F.col(by) % every == 0, F.concat(F.lit("cus_raw_"), name)).otherwise(F.col(name)))
+    bad = replace(inputs, usages=spoil(inputs.usages, "user", 5, "at"), subs=spoil(inputs.subs, "customer", 7, "created_at"), invs=spoil(inputs.invs, "customer", 11, "created_at"))
+    return run(bad, ensemble, stage, on_invalid="quarantine")
+
+
+@catalog.add("linked_edges_of_valid_rows", with_views("SELECT * FROM linked", *_VIEWS, extra=_SPOILED | {"raw": _GOOD_RAW, "scored": _SCORED, "linked": _LINKED}))
+def linked_edges_of_valid_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A whole run on spoiled tables, with the rejected rows in quarantine."""
+    return flat(_spoiled_run(spark, sf_dir).edges)
+
+
+@catalog.add("link_rejects", with_views("""SELECT 'usages' AS relation, 'user_not_synthetic' AS reason, count(*) AS "rows" FROM usages WHERE "at" % 5 = 0 HAVING count(*) > 0
+    UNION ALL SELECT 'subs', 'customer_not_synthetic', count(*) FROM subs WHERE created_at % 7 = 0 HAVING count(*) > 0
+    UNION ALL SELECT 'invs', 'customer_not_synthetic', count(*) FROM invs WHERE created_at % 11 = 0 HAVING count(*) > 0
+    UNION ALL SELECT 'items', 'subscription_not_valid', count(*) FROM items WHERE created_at % 7 = 0 HAVING count(*) > 0""", *_VIEWS))
+def link_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rejected rows of the same run by relation and reason."""
+    return _spoiled_run(spark, sf_dir).rejects.groupBy("relation", "reason").agg(F.count(F.lit(1)).alias("rows"))
+
+
 @catalog.add("top_linked_edges", with_views('SELECT "from", "to", kind, confidence, notes FROM linked ORDER BY confidence DESC, "from", "to", kind LIMIT 100', *_VIEWS, extra=_ALL))
 def top_linked_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linked_edges(spark, sf_dir).select("from", "to", "kind", "confidence", "notes").limit(100)
@@ -155,11 +191,13 @@ def candidate_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @catalog.add("best_single_proof", with_views(
     f"""SELECT "from", "to", kind, arg_min(proof, (-confidence, proof)) AS best_proof, max(confidence) AS best_confidence FROM raw GROUP BY "from", "to", kind""",
-    "usages", "subs", "items", extra={"raw": " UNION ALL ".join(f"({EDGES[k]})" for k in ("exact_subscription_edges", "sku_subscription_edges", "sku_item_edges"))}))
+    *_VIEWS, extra={"raw": _RAW}))
 def best_single_proof(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Over the evidence of all matchers; only a key's most confident parts are signed."""
     view, ensemble, _ = compact(spark, sf_dir)
-    evidence = ExactMatcher().subscriptions(view).unionByName(SkuMatcher().evidence(view))
-    listed = evidence.select("from", "to", "kind", "confidence", F.inline("parts")).drop("n")
+    evidence = ensemble.evidence(view)
+    best = evidence.groupBy(*cb.KEY).agg(F.max("confidence").alias("confidence"))
+    listed = evidence.join(best, [*cb.KEY, "confidence"]).select("from", "to", "kind", "confidence", F.inline("parts")).drop("n")
     return cb.best_proof(ensemble.hasher.with_columns(listed, {"proof": cb.mac(cb.proof_text(F.col("v")))}))
 
 

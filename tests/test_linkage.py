@@ -1,3 +1,5 @@
+from dataclasses import replace
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -7,7 +9,7 @@ from edgeloom.operators.combine import best_proof, combine, evidence_of, merged
 from edgeloom.operators.matchers import View, part
 from edgeloom.operators.validate import InvalidInput, check_inputs
 from edgeloom.plans.linkage import Ensemble, run
-from edgeloom.recipe import EXACT, SKU, TEMPORAL, Recipe
+from edgeloom.recipe import PASSTHROUGH, EXACT, SKU, TEMPORAL, Recipe
 
 COLUMNS = ["from", "to", "kind", "confidence", "at", "notes", "proof"]
 
@@ -128,6 +130,34 @@ def test_validation(spark, change, message):
     assert kept.usages.count() + kept.subs.count() + kept.invs.count() == 3
 
 
+RAW_ITEMS = [
+    (("sub_RAW", fx.A, fx.T, fx.P1, "price"), "subscription_not_synthetic"),
+    ((fx.S1, "cus_RAW", fx.T, fx.P1, "price"), "customer_not_synthetic"),
+    ((fx.S1, fx.A, fx.T, "price_RAW", "price"), "item_not_synthetic"),
+    ((fx.S2, fx.A, fx.T, fx.P1, "price"), "subscription_not_valid"),
+]
+
+
+@pytest.mark.parametrize("item, reason", RAW_ITEMS)
+def test_flat_items_cannot_carry_raw_ids(spark, stage, hasher, item, reason):
+    """An item's own subscription and customer are checked, and it must belong to a valid subscription."""
+    base = fx.inputs(spark, [(fx.A, "f", fx.P1, fx.T)], [(fx.S1, fx.A, [], [], fx.T, "active"), (fx.S2, "cus_RAW", [], [], fx.T, "active")], [])
+    items = spark.createDataFrame([(fx.S1, fx.A, fx.T, fx.P1, "price"), item], "sub_id string, customer string, created_at long, item_id string, item_kind string")
+    inputs = replace(base, items=items)
+    with pytest.raises(InvalidInput, match=reason):
+        run(inputs, Ensemble.default(Recipe(), hasher), stage)
+    result = run(inputs, Ensemble.default(Recipe(), hasher), stage.__class__(spark), on_invalid="quarantine")
+    assert sorted((r.relation, r.reason) for r in result.rejects.collect()) == sorted([("items", reason), ("subs", "customer_not_synthetic")])
+    assert all(r["to"].startswith("syn_") and r["from"].startswith("syn_") and r["to"] != fx.S2 for r in result.edges.collect())
+
+
+def test_passthrough_keeps_raw_ids_but_refuses_empty_ones(spark, stage, hasher):
+    inputs = fx.inputs(spark, [("cus_1", "f", "", fx.T), ("", "f", "", fx.T)], [("sub_1", "cus_1", [], [], fx.T, "active"), ("", "cus_1", [], [], fx.T, "active")], [("in_1", None, "", 1, "usd", "paid", fx.T, True)])
+    result = run(inputs, Ensemble.default(Recipe(), hasher, PASSTHROUGH), stage, on_invalid="quarantine")
+    assert {(r["from"], r["to"]) for r in result.edges.collect()} == {("cus_1", "sub_1")}
+    assert sorted((r.relation, r.reason) for r in result.rejects.collect()) == [("invs", "customer_empty"), ("subs", "id_empty"), ("usages", "user_empty")]
+
+
 def test_repeated_price_and_both_lists(spark, stage, hasher):
     inputs = fx.inputs(spark, [(fx.A, "f", fx.P1, fx.T)], [(fx.S1, fx.A, [fx.P1, fx.P1], [fx.P1], fx.T + 5000, "active")], [])
     raw = Ensemble.default(Recipe(), hasher).raw_edges(inputs)
