@@ -12,7 +12,6 @@ from ..functions.keyed_hash import KeyedHash, mac, mac_base64
 from ..functions.net import address_columns, in_ranges
 from ..schemas import BILLING_EVENT
 
-MAX_BODY_BYTES = 1_048_576
 DEFAULT_MAX_SKEW = 300
 
 # The event types that are processed.
@@ -32,6 +31,7 @@ SUPPORTED_TYPES = (
 @dataclass(frozen=True)
 class DeliveryRules:
     max_skew: int = DEFAULT_MAX_SKEW
+    max_body_bytes: int = 1_048_576
     allowed_ranges: tuple[str, ...] = ()
 
 
@@ -76,7 +76,32 @@ def with_signature_error(df: DataFrame, hasher: KeyedHash, max_skew: int, alias:
 
 
 def parse_event(body: Column) -> Column:
-    return F.from_json(body, BILLING_EVENT, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"})
+    """The event's fields; names are read in any case. Single quotes are refused."""
+    for name in ("id", "type", "created", "data", "object"):
+        body = F.regexp_replace(body, rf'(?i)"{name}"(\s*:)', f'"{name}"$1')
+    return F.from_json(body, BILLING_EVENT, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt", "allowSingleQuotes": "false"})
+
+
+def leftover(body: Column) -> Column:
+    """Whether anything but white space follows the first JSON object."""
+    bare = F.regexp_replace(body, r'(?s)"(?:[^"\\]|\\.)*+"', '""')
+    shape = F.regexp_replace(bare, r"[^{}\[\]]", "")
+    # Depth after every bracket; the first zero must be the last bracket, and nothing but space may follow it.
+    steps = F.transform(F.split(shape, ""), lambda c: F.when(c.isin("{", "["), 1).when(c.isin("}", "]"), -1).otherwise(0))
+    walk = F.aggregate(
+        steps, F.struct(F.lit(0).alias("depth"), F.lit(0).alias("ended")),
+        lambda acc, step: F.struct((acc["depth"] + step).alias("depth"), (acc["ended"] + F.when((step == -1) & (acc["depth"] == 1), 1).otherwise(0)).alias("ended")),
+    )
+    return ~F.coalesce(F.rtrim(F.regexp_replace(bare, r"\s+$", "")).endswith("}"), F.lit(False)) | (walk["ended"] != 1) | ~F.coalesce(F.regexp_replace(bare, r"^\s+", "").startswith("{"), F.lit(False))
+
+
+def wrong_types(body: Column) -> Column:
+    """Whether the event's id or type is there but no text."""
+    def bad(path: str) -> Column:
+        raw = F.get(F.regexp_extract_all(body, F.lit(rf'(?si)"{path}"\s*:\s*(.)'), F.lit(1)), F.lit(0))
+        return F.coalesce(~raw.isin('"', "n"), F.lit(False))
+
+    return bad("id") | bad("type")
 
 
 def route(kind: Column) -> Column:
@@ -92,9 +117,9 @@ def checked(deliveries: DataFrame, hasher: KeyedHash, rules: DeliveryRules) -> D
     """Each delivery with the reason it is refused (null if it stands) and its event's metadata."""
     placed = address_columns(deliveries.withColumn("body", F.coalesce("body", F.lit(""))), "remote_addr")
     signed = with_signature_error(placed, hasher, rules.max_skew, "_signature")
-    early = F.when(~in_ranges(list(rules.allowed_ranges)), "ip_not_allowed").when(F.octet_length("body") > MAX_BODY_BYTES, "body_too_large")
+    early = F.when(~in_ranges(list(rules.allowed_ranges)), "ip_not_allowed").when(F.octet_length("body") > rules.max_body_bytes, "body_too_large")
     parsed = signed.withColumn("_event", parse_event(F.col("body")))
-    broken = F.when(F.col("_event").isNull() | F.col("_event._corrupt").isNotNull(), "json_parse_error")
+    broken = F.when(F.col("_event").isNull() | F.col("_event._corrupt").isNotNull() | leftover(F.col("body")) | wrong_types(F.col("body")), "json_parse_error")
     # One flat coalesce: filters on `detail` are pushed down as expressions, so it must not nest.
     parsed = parsed.withColumn("detail", F.coalesce(early, F.col("_signature"), broken))
     detail = F.col("detail")

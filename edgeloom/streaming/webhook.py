@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.keyed_hash import KeyedHash
-from ..operators.deliveries import DeliveryRules, checked, message_error
+from ..operators.deliveries import DeliveryRules, checked, message_error, outside_skew
 from ..operators.quarantine import quarantined
 
 DEFAULT_HORIZON = "1 hour"
@@ -24,10 +24,29 @@ def first_deliveries(checked_stream: DataFrame, horizon: str = DEFAULT_HORIZON)
     return good.withWatermark("received_at", horizon).dropDuplicatesWithinWatermark(["event_id"])
 
 
-def first_messages(messages: DataFrame, hasher: KeyedHash, max_skew: int, ttl: str = DEFAULT_HORIZON) -> DataFrame:
-    """Signed messages that stand, each nonce once within ``ttl``."""
-    valid = hasher.with_columns(messages, {"reason": message_error(max_skew, F.lit(False))}).where(F.col("reason").isNull())
-    return valid.withWatermark("received_at", ttl).dropDuplicatesWithinWatermark(["nonce"])
+class MessageIntake:
+    """A micro-batch sink for signed messages, with a stored table of spent nonces.
+
+    A message in the skew window spends its nonce before its signature is checked, as in batch, so a wrong signature
+    followed by a right one with the same nonce gives none. A nonce stays spent for good: the table is read by join, not
+    held as state, so no horizon ends it and no late message is lost. Each micro-batch writes folders of its own and
+    ignores what it wrote itself, so a replay gives the same.
+    """
+
+    def __init__(self, root: str, hasher: KeyedHash, max_skew: int):
+        self.root, self.hasher, self.max_skew = root.rstrip("/"), hasher, max_skew
+
+    def __call__(self, batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        live = batch.where((F.coalesce("signature", F.lit("")) != "") & ~outside_skew(F.col("received_at"), F.col("ts"), self.max_skew))
+        first = live.groupBy("nonce").agg(F.min_by(F.struct(*[c for c in live.columns if c != "nonce"]), F.struct("received_at", "message_id")).alias("m")).select("nonce", "m.*")
+        nonces = f"{self.root}/nonces"
+        if batch_id > 0:
+            earlier = spark.read.schema("nonce string, batch bigint").parquet(nonces).where(F.col("batch") < batch_id).select("nonce")
+            first = first.join(earlier, "nonce", "left_anti")
+        first.select("nonce").write.mode("overwrite").parquet(f"{nonces}/batch={batch_id}")
+        stands = self.hasher.with_columns(first, {"reason": message_error(self.max_skew, F.lit(False))}).where(F.col("reason").isNull()).drop("reason")
+        stands.write.mode("overwrite").parquet(f"{self.root}/messages/batch={batch_id}")
 
 
 def rejects(rows: DataFrame) -> DataFrame:

@@ -154,7 +154,7 @@ def test_deliveries(spark):
         (BODY, good, "1.2.3.4:5", T0), (BODY, f"t={T0},v1={SIG[:-1]}0", "x", T0), (BODY, "", "x", T0), (BODY, None, "x", T0), (BODY, good, "x", T0 + 301),
         (BODY, good, "x", T0 - 301), (BODY, good, "x", T0 + 300), (BODY, f"t=abc,t={T0},v1={SIG}", "x", T0), (BODY, f"v1={SIG}", "x", T0), (BODY, f"t={T0}", "x", T0),
         (BODY, f"t=1, t=+{T0} , v0=a, v1=bad, v1={SIG}", "x", T0 + 1), (BODY, f"t=99999999999999999999,v1={SIG}", "x", T0), (BODY, f"t=9223372036854775807,v1={SIG}", "x", T0),
-        (None, good, "x", T0), (BODY + " " * dl.MAX_BODY_BYTES, good, "x", T0),
+        (None, good, "x", T0), (BODY + " " * dl.DeliveryRules().max_body_bytes, good, "x", T0),
     ]
     assert deliver(spark, rows) == [
         ("accepted", None), ("rejected", "signature_mismatch"), ("rejected", "missing_header"), ("rejected", "missing_header"), ("rejected", "outside_skew"),
@@ -165,6 +165,17 @@ def test_deliveries(spark):
     assert deliver(spark, rows[:1], seen=seen) == [("duplicate", None)]
 
 
+def test_only_one_json_object_with_text_ids_is_sound(spark):
+    sound = ['{"id":"a"}', ' {"ID":"a", "x":"} {\\" ["}\n', '{"id":"a","data":{"object":{"id":"b"}},"list":[{"k":[1]}]}', '{"id":null}', '{}']
+    broken = ["{'id':'a'}", '{"id":"a"} trailing', '{"id":"a"}{"id":"b"}', '{"id":5}', '{"id":"a"', '[{"id":"a"}]', '"id"', "", '{"id":"a","type":7}']
+    rows = spark.createDataFrame([(b,) for b in sound + broken], "body string")
+    event = dl.parse_event(F.col("body"))
+    bad = rows.select("body", (event.isNull() | event["_corrupt"].isNotNull() | dl.leftover(F.col("body")) | dl.wrong_types(F.col("body"))).alias("bad"), event["id"].alias("id"))
+    got = {r.body: r for r in bad.collect()}
+    assert [b for b in sound if got[b].bad] == [] and [b for b in broken if not got[b].bad] == []
+    assert got[sound[1]].id == "a"
+
+
 def test_delivery_metadata_and_ranges(spark):
     rules = dl.DeliveryRules(allowed_ranges=("192.168.1.0/24", "10.0.0.0/8"))
     data = [(1, BODY, f"t={T0},v1={SIG}", "192.168.1.100:12345", at(T0)), (2, BODY, f"t={T0},v1={SIG}", "172.16.0.1:12345", at(T0))]

@@ -4,8 +4,9 @@ from pyspark.sql import functions as F
 
 import fixtures as fx
 from edgeloom import schemas
-from edgeloom.functions.keyed_hash import KeyedHash
+from edgeloom.functions.keyed_hash import KeyedHash, mac_base64
 from edgeloom.operators.combine import combine
+from edgeloom.operators.deliveries import verified_messages
 from edgeloom.operators.matchers import ExactMatcher, TemporalMatcher, View
 from edgeloom.plans.linkage import Ensemble
 from edgeloom.recipe import EXACT, TEMPORAL, Recipe
@@ -38,6 +39,33 @@ def test_intake_survives_restarts_and_drops_repeats(spark, tmp_path):
     assert run() == ([("evt_test", "invoice")], 2)
 
 
+def test_a_nonce_is_spent_for_good_and_before_its_signature_is_checked(spark, tmp_path):
+    """Several micro-batches with a restart in between: batch and stream agree on every message."""
+    hasher, landed = KeyedHash(spark, b"key-of-the-test"), str(tmp_path / "landed")
+    schema = "message_id long, nonce string, ts long, body string, signature string, received_at timestamp"
+
+    def message(i, nonce, sign=True, wait=0):
+        row = spark.createDataFrame([(i, nonce, T0 + wait, "b", None, at(T0 + wait))], schema)
+        right = mac_base64(F.concat_ws("|", F.col("ts").cast("string"), "nonce", "body"))
+        return hasher.with_columns(row, {"signature": right if sign else F.lit("AAAA")})
+
+    def land(*messages):
+        for m in messages:
+            m.coalesce(1).write.mode("append").parquet(landed)
+
+    def stood():
+        stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(landed)
+        sinks.start(stream, webhook.MessageIntake(str(tmp_path / "out"), hasher, 300), str(tmp_path / "cp"), ONCE).awaitTermination()
+        return sorted(r.message_id for r in spark.read.parquet(str(tmp_path / "out/messages")).collect())
+
+    land(message(1, "a", sign=False), message(2, "b"))
+    assert stood() == [2]
+    land(message(3, "a"), message(4, "b"), message(5, "c", wait=90_000), message(6, "a", wait=90_000), message(7, "d"))
+    assert stood() == stood() == [2, 5, 7]
+    batch = verified_messages(spark.read.schema(schema).parquet(landed).where("message_id < 6"), hasher, ttl=10**9)
+    assert sorted(r.message_id for r in batch.where("reason is null").collect()) == [2, 5]
+
+
 def test_streamed_links_equal_batch_links(spark, stage, tmp_path):
     """Usage and invoices arrive over several micro-batches; the touched keys are combined again each time."""
     hasher, recipe = KeyedHash(spark, fx.MATCHER_SALT), Recipe()
