@@ -134,9 +134,9 @@ def quarantine_reprocess(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sent.select("stream", F.lit("sent").alias("fate"), "payload").unionByName(stay.select("stream", F.lit("stays").alias("fate"), F.col("original_event").alias("payload")))
 
 
-@catalog.add("quarantine_listing", with_events("SELECT * FROM merged ORDER BY first_attempt, original_event LIMIT 100", "entries", extra=_MERGED_VIEW))
+@catalog.add("quarantine_listing", with_events("SELECT * FROM merged", "entries", extra=_MERGED_VIEW))
 def quarantine_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _plain(qr.listed(_merged(spark, sf_dir), 0))
+    return _plain(qr.listed(_merged(spark, sf_dir)))
 
 
 @catalog.add("quarantined_usage", with_views(
@@ -156,14 +156,16 @@ def _billing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return billing_stream(tv.raw_subscription_pages(spark, sf_dir), tv.raw_invoices(spark, sf_dir), test_hasher(spark))
 
 
-@catalog.add("billing_records", with_views(f"""SELECT 'billing' AS stream, 'subscription' AS record_type, {id_sql('sub_id', 'syn_sub')} AS id, {id_sql('customer', 'syn_cust')} AS customer, created_at, quantity AS amount FROM raw_items
+@catalog.add("billing_records", with_views(f"""SELECT 'billing' AS stream, 'subscription' AS record_type, {id_sql('sub_id', 'syn_sub')} AS id, {id_sql('customer', 'syn_cust')} AS customer, created_at, quantity + 1 AS amount FROM raw_items
     UNION ALL SELECT 'billing', 'invoice', id, customer, created_at, total FROM invs""", "raw_items", "invs"))
 def billing_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The billing stream's JSON, read back."""
+    """The billing stream's JSON, read back; a subscription's amount is the sum over all its items (each page also has one of quantity 1)."""
     field = lambda path: F.get_json_object("payload", path)
+    quantities = F.from_json(field("$.items[*].quantity"), "array<bigint>")
+    quantities = F.coalesce(quantities, F.when(field("$.items[*].quantity").isNotNull(), F.array(field("$.items[*].quantity").try_cast("bigint"))))
     return _billing(spark, sf_dir).select(
         "stream", "record_type", field("$.id").alias("id"), field("$.customer").alias("customer"), field("$.created_at").cast("bigint").alias("created_at"),
-        F.coalesce(field("$.items[0].quantity"), field("$.total")).cast("bigint").alias("amount"))
+        F.coalesce(F.aggregate(quantities, F.lit(0).cast("bigint"), lambda total, q: total + q), field("$.total").cast("bigint")).alias("amount"))
 
 
 @catalog.add("leak_audit", """SELECT (SELECT count(*) FROM lineitem JOIN orders ON l_orderkey = o_orderkey) + (SELECT count(*) FROM events WHERE event_type = 'purchase') AS records,

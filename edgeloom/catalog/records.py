@@ -108,7 +108,7 @@ def invoices_of_subscription(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out
 
 
-@catalog.add("source_listing_sizes", """SELECT least(10, (SELECT count(*) FROM lineitem)) AS subscriptions, least(10, count(*)) AS invoices, least(25, count(*)) AS invoices_25,
+@catalog.add("source_listing_sizes", """SELECT (SELECT count(*) FROM lineitem) AS subscriptions, count(*) AS invoices, least(25, count(*)) AS invoices_25,
     least(5, (SELECT count(*) FROM customer)) AS probed FROM events WHERE event_type = 'purchase'""")
 def source_listing_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
     size = lambda df: df.agg(F.count(F.lit(1))).scalar()

@@ -6,8 +6,6 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 TEMPORAL_BASE = 0.6
-NOTE_LIMIT = 200
-NOTE_KEPT = 197
 
 
 def within(ts: Column, center: Column, window: int | Column) -> Column:
@@ -28,11 +26,14 @@ def two_decimals(value: Column) -> Column:
     return F.replace(F.format_number(value, 2), F.lit(","), F.lit(""))
 
 
-def combined_note(notes: Column, score: Column) -> Column:
-    """Distinct notes in byte order plus the score, at most 200 characters. ``notes`` must be sorted."""
+def combined_note(notes: Column, score: Column, limit: int | None = None) -> Column:
+    """Distinct notes in byte order plus the score. ``notes`` must be sorted. A text over ``limit`` characters, if
+    one is given, ends in ``...`` at that length."""
     tail = F.concat(F.lit(" (score="), two_decimals(score), F.lit(")"))
     text = F.concat(F.array_join(notes, "; "), tail)
-    return F.when(F.length(text) > NOTE_LIMIT, F.concat(F.substring(text, 1, NOTE_KEPT), F.lit("..."))).otherwise(text)
+    if limit is None:
+        return text
+    return F.when(F.length(text) > limit, F.concat(F.substring(text, 1, limit - 3), F.lit("..."))).otherwise(text)
 
 
 def confidence_class(confidence: Column) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .skew import previous_in_order
@@ -18,10 +18,15 @@ def latest(beats: DataFrame) -> DataFrame:
     return beats.groupBy("agent_id").agg(newest).select("agent_id", "_last.*")
 
 
-def gaps(beats: DataFrame, interval: int, slot: int = SLOT) -> DataFrame:
-    """Silences longer than two intervals, ended by a later heartbeat."""
+def gaps(beats: DataFrame, interval: int, slot: int = SLOT, now: Column | int | None = None) -> DataFrame:
+    """Silences longer than two intervals, ended by a later heartbeat or, if ``now`` is given, still going on then
+    (``ts`` is null for those)."""
     seconds = beats.select("agent_id", "ts").distinct()
     with_previous = previous_in_order(seconds, "agent_id", "ts", slot, "previous_ts")
+    if now is not None:
+        now = F.lit(now) if isinstance(now, int) else now
+        last = beats.groupBy("agent_id").agg(F.max("ts").alias("previous_ts")).select("agent_id", "previous_ts", F.lit(None).cast("bigint").alias("ts"), (now - F.col("previous_ts")).alias("silent_seconds"))
+        return gaps(beats, interval, slot).unionByName(last.where(F.col("silent_seconds") > 2 * interval))
     return with_previous.select("agent_id", "previous_ts", "ts", (F.col("ts") - F.col("previous_ts")).alias("silent_seconds")).where(
         F.col("silent_seconds") > 2 * interval
     )

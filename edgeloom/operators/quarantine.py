@@ -57,5 +57,7 @@ def reprocessed(entries: DataFrame, chosen: Column) -> tuple[DataFrame, DataFram
     return entries.where(picked).select("stream", F.col("original_event").alias("payload")), entries.where(~picked)
 
 
-def listed(entries: DataFrame, limit: int = 100, order: tuple[str, ...] = ("first_attempt_at", "original_event")) -> DataFrame:
-    return entries.orderBy(*order).limit(limit if limit > 0 else 100)
+def listed(entries: DataFrame, limit: int | None = None, order: tuple[str, ...] = ("first_attempt_at", "original_event")) -> DataFrame:
+    """The entries in order: all, or the first ``limit``."""
+    ordered = entries.orderBy(*order)
+    return ordered if limit is None else ordered.limit(limit)

@@ -24,7 +24,7 @@ def _in_unit(name: str, value: float) -> None:
 
 @dataclass(frozen=True)
 class Recipe:
-    """How evidence is weighed. ``None`` takes the default; an explicit 0 is kept as 0."""
+    """How evidence is weighed. ``None`` takes the default; an explicit 0 is kept as 0. Notes are whole unless ``note_limit`` is given."""
 
     name: str = "default"
     version: str = "v1"
@@ -32,6 +32,7 @@ class Recipe:
     threshold: float | None = None
     window_sec: int | None = None
     sku_overlap_min: float | None = None
+    note_limit: int | None = None
     checked: bool = field(default=True, repr=False)
 
     def __post_init__(self) -> None:
@@ -52,6 +53,8 @@ class Recipe:
         _in_unit("sku_overlap_min", self.sku_overlap_min)
         if self.window_sec < 0:
             raise SettingsError(f"window_sec must not be negative, got {self.window_sec}")
+        if self.note_limit is not None and self.note_limit < 4:
+            raise SettingsError(f"note_limit must be 4 or more, got {self.note_limit}")
         for matcher, weight in self.weights.items():
             if weight < 0:
                 raise SettingsError(f"weight of {matcher!r} must not be negative, got {weight:.2f}")

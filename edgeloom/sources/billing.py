@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from .. import schemas
 from ..operators.sanitize import whitelist_invoices, whitelist_subscriptions
 
-DEFAULT_LIMIT = 10
 PROBE_ROWS = 5
 
 
@@ -29,13 +28,15 @@ def raw_invoices(source: DataFrame, customer: str | None = None, subscription: s
     return out if limit is None else out.limit(limit)
 
 
-def subscriptions(source: DataFrame, limit: int = 0) -> DataFrame:
-    """Whitelisted subscriptions with raw ids; 10 rows unless a positive limit is given."""
-    return whitelist_subscriptions(source).limit(limit if limit > 0 else DEFAULT_LIMIT)
+def subscriptions(source: DataFrame, limit: int | None = None) -> DataFrame:
+    """Whitelisted subscriptions with raw ids: all, or at most ``limit``."""
+    out = whitelist_subscriptions(source)
+    return out if limit is None else out.limit(limit)
 
 
-def invoices(source: DataFrame, limit: int = 0) -> DataFrame:
-    return whitelist_invoices(source).limit(limit if limit > 0 else DEFAULT_LIMIT)
+def invoices(source: DataFrame, limit: int | None = None) -> DataFrame:
+    out = whitelist_invoices(source)
+    return out if limit is None else out.limit(limit)
 
 
 def probe(source: DataFrame) -> int:

@@ -14,11 +14,11 @@ from .testviews import WEBHOOK_SECRET, mac_sql, table
 
 TYPES = (*SUPPORTED_TYPES, "customer.created")
 RANGES = ("192.168.1.0/24", "10.0.0.0/8", "2001:db8::/32")
-MESSAGE_KEY = b"test-secret-key"
+MESSAGE_KEY = b"message-key-of-the-test-views"
 
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "events", "event_id")
+    return table(spark, sf_dir, "events")
 
 
 def stream(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -19,14 +19,9 @@ BASE_TIME = 1_704_067_200
 SPREAD_FACTOR, SPREAD_SECONDS = 7_919, 2_592_000
 
 
-def table(spark: SparkSession, sf_dir: str, name: str, spread_by: str | None = None) -> DataFrame:
-    """A driver table. Hashing is the costly step on these rows, so a table of fewer files than the cluster
-    has cores is spread first; one with enough files is read as it is."""
-    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    cores = spark.sparkContext.defaultParallelism
-    if spread_by and len(df.inputFiles()) < cores:
-        df = df.repartition(cores, spread_by)
-    return df
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A driver table, read in splits of the session's size."""
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def _seconds(ts: str) -> Column:
@@ -39,7 +34,7 @@ def _order_time(key: str) -> Column:
 
 def raw_usage(spark: SparkSession, sf_dir: str, events: DataFrame | None = None) -> DataFrame:
     """``events`` may be a stream of the same rows."""
-    events = table(spark, sf_dir, "events", "event_id") if events is None else events
+    events = table(spark, sf_dir, "events") if events is None else events
     parts = table(spark, sf_dir, "part").agg(F.count(F.lit(1))).scalar()
     k = F.get_json_object("props", "$.k").cast("bigint")
     return events.where(F.col("event_type").isin("view", "click", "error")).select(
@@ -57,7 +52,7 @@ def _status() -> Column:
 def raw_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Subscriptions that have at least one item."""
     lines = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"))
-    return table(spark, sf_dir, "orders", "o_orderkey").join(lines, "o_orderkey", "left_semi").select(
+    return table(spark, sf_dir, "orders").join(lines, "o_orderkey", "left_semi").select(
         F.concat(F.lit("sub_"), "o_orderkey").alias("id"), F.concat(F.lit("cus_"), "o_custkey").alias("customer"),
         _order_time("o_orderkey").alias("created_at"), _status().alias("status"),
     )
@@ -72,21 +67,21 @@ def _product(part: str) -> Column:
 
 
 def raw_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "lineitem", "l_orderkey").select(
+    return table(spark, sf_dir, "lineitem").select(
         F.concat(F.lit("sub_"), "l_orderkey").alias("id"), _price("l_partkey").alias("price"), _product("l_partkey").alias("product")
     )
 
 
 def raw_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All orders as subscriptions, with or without items."""
-    return table(spark, sf_dir, "orders", "o_orderkey").select(
+    return table(spark, sf_dir, "orders").select(
         F.concat(F.lit("sub_"), "o_orderkey").alias("id"), F.concat(F.lit("cus_"), "o_custkey").alias("customer"), _order_time("o_orderkey").alias("created_at")
     )
 
 
 def raw_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey", "o_orderstatus")
-    return table(spark, sf_dir, "lineitem", "l_orderkey").select("l_orderkey", "l_linenumber", "l_partkey", "l_quantity").join(orders, "l_orderkey").select(
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_quantity").join(orders, "l_orderkey").select(
         F.concat(F.lit("sub_"), "l_orderkey").alias("sub_id"), F.concat(F.lit("cus_"), "o_custkey").alias("customer"),
         _order_time("l_orderkey").alias("created_at"), _price("l_partkey").alias("price"), _product("l_partkey").alias("product"),
         F.col("l_quantity").cast("bigint").alias("quantity"), F.col("l_linenumber").cast("bigint").alias("line"), _status().alias("status"),
@@ -117,7 +112,7 @@ def raw_invoices(spark: SparkSession, sf_dir: str, events: DataFrame | None = No
     ref = lambda value: F.struct(value.alias("id"))
     none = F.lit(None).cast("struct<id:string>")
     named = F.when(F.col("event_id") % 2 == 0, ref(F.concat(F.lit("sub_"), (F.col("event_id") % 1000).cast("string"))))
-    events = table(spark, sf_dir, "events", "event_id") if events is None else events
+    events = table(spark, sf_dir, "events") if events is None else events
     return (
         events
         .where(F.col("event_type") == "purchase")

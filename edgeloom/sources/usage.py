@@ -5,20 +5,19 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-SAMPLED = 5
 PERSONAL_KEYS = "(?i)email|user|token|cookie"
 
 
-def sample_usage(items: DataFrame) -> DataFrame:
-    """Sample events for the first five subscriptions that come first by (created_at, id).
+def sample_usage(items: DataFrame, subscriptions: int = 5) -> DataFrame:
+    """Sample events for the ``subscriptions`` that come first by (created_at, id).
 
     ``items`` is (sub_id, customer, created_at, line, price, product). The event for the first item's price
     follows the creation by 60 s per place, the one for its product by 120 s.
     """
     first = F.min(F.struct("line", "price", "product")).alias("first")
     subs = items.groupBy("sub_id", "customer", "created_at").agg(first)
-    chosen = subs.orderBy("created_at", "sub_id").limit(SAMPLED)
-    place = F.row_number().over(Window.orderBy("created_at", "sub_id")) - 1  # over the five rows only
+    chosen = subs.orderBy("created_at", "sub_id").limit(subscriptions)
+    place = F.row_number().over(Window.orderBy("created_at", "sub_id")) - 1  # over the sampled rows only
     event = lambda feature, sku, step: F.struct(
         F.col("customer").alias("user"), F.lit(feature).alias("feature"), sku.alias("sku"), (F.col("created_at") + step * F.col("_place")).alias("at")
     )

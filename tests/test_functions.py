@@ -93,10 +93,11 @@ def test_temporal_scores_print_as_c_does(spark):
     assert one(spark, a=scoring.two_decimals(F.lit(1234.5))).a == "1234.50"
 
 
-def test_long_notes_are_cut(spark):
+def test_notes_are_whole_unless_a_limit_is_given(spark):
     notes = [f"usage within {d}s of subscription creation" for d in range(10)]
-    row = one(spark, a=scoring.combined_note(F.array(*[F.lit(n) for n in notes]), F.lit(1.0)))
-    assert row.a == ("; ".join(notes) + " (score=1.00)")[:197] + "..."
+    listed = F.array(*[F.lit(n) for n in notes])
+    row = one(spark, a=scoring.combined_note(listed, F.lit(1.0)), b=scoring.combined_note(listed, F.lit(1.0), 200))
+    assert row.a == "; ".join(notes) + " (score=1.00)" and row.b == row.a[:197] + "..."
 
 
 def test_recipe():
