@@ -162,6 +162,17 @@ def link_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _spoiled_run(spark, sf_dir).rejects.groupBy("relation", "reason").agg(F.count(F.lit(1)).alias("rows"))
 
 
+_LOW = Recipe(threshold=0.5)
+_LOW_LINKED = _LINKED.replace(f"score >= {RECIPE.threshold}", f"score >= {_LOW.threshold}")
+
+
+@catalog.add("linked_edges_low_threshold", with_views("SELECT * FROM linked", *_VIEWS, extra=_ALL | {"linked": _LOW_LINKED}))
+def linked_edges_low_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A threshold that time, SKU or id alone can reach, so all evidence takes part and only accepted keys are signed."""
+    stage, hasher = Stage(spark), test_hasher(spark)
+    return flat(Ensemble.default(_LOW, hasher).run(tv.link_inputs(spark, sf_dir, hasher), stage))
+
+
 @catalog.add("top_linked_edges", with_views('SELECT "from", "to", kind, confidence, notes FROM linked ORDER BY confidence DESC, "from", "to", kind LIMIT 100', *_VIEWS, extra=_ALL))
 def top_linked_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linked_edges(spark, sf_dir).select("from", "to", "kind", "confidence", "notes").limit(100)
