@@ -30,7 +30,7 @@ from .common import char_ngrams, held_out, split_words, table, uniform
 WORDS, STRIDE = 48, 32
 WIDTH, STATE = 12, 8
 WORD_ROWS, CHAR_ROWS, CHAR_SIZES = 1 << 18, 1 << 17, (3, 4, 5)
-TOXIC_DOCS, CLEAN_DOCS, TRAIN_WORDS, STEPS, BATCH, RATE = 1200, 3000, 800, 700, 256, 0.02
+TOXIC_DOCS, CLEAN_DOCS, TRAIN_WORDS, STEPS, BATCH, RATE = 1200, 3000, 800, 400, 256, 0.02
 #: Adagrad on the embeddings; the floor keeps faint gradients of chance words from moving them.
 EMBED_RATE, EMBED_FLOOR = 0.2, 1e-3
 THRESHOLD = 0.3
