@@ -63,8 +63,8 @@ def shingle_sets(texts: pa.Array, words: int = WORDS) -> list[np.ndarray]:
     given = hashed[tokens]
     ends = np.cumsum(counts)
     rolled = given.copy()
-    for k in range(1, words):
-        rolled[: len(given) - k] = rolled[: len(given) - k] * _PRIME + given[k:] if len(given) > k else rolled[:0]
+    for k in range(1, min(words, len(given))):
+        rolled[: len(given) - k] = rolled[: len(given) - k] * _PRIME + given[k:]
     rolled = _mixed(rolled)
     sets = []
     for end, count in zip(ends.tolist(), counts.tolist()):

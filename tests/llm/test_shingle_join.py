@@ -1,7 +1,10 @@
 import random
 from collections import Counter
 
-from edgeloom.llm.shingle_join import drop_near_copies, near_copies
+import pyarrow as pa
+import pytest
+
+from edgeloom.llm.shingle_join import drop_near_copies, near_copies, shingle_sets
 
 from .helpers import LONG, corpus, words
 
@@ -80,3 +83,14 @@ def test_versions_under_one_id_are_one_document(spark, stage):
 
 def test_no_rows(spark, stage):
     assert near_copies(corpus(spark, []), stage).count() == 0
+
+
+@pytest.mark.parametrize("text", ["one", "one two", "one two three", "one two three four", "one two three four five"])
+def test_slice_of_one_short_text(text):
+    alone, beside = shingle_sets(pa.array([text]))[0], shingle_sets(pa.array([text, "six seven eight nine ten eleven"]))[0]
+    assert len(alone) == 1 and alone.tolist() == beside.tolist()
+
+
+def test_table_of_one_short_text(spark, stage):
+    out = near_copies(corpus(spark, [(1, "hello world"), (2, None)]), stage).collect()
+    assert sorted((r.doc_id, r.n_links, r.kept) for r in out) == [(1, 0, True), (2, 0, True)]
