@@ -1,10 +1,10 @@
 """Similarity join of texts on the Jaccard similarity of their word n-grams, by chosen paths.
 
 Every text is a set of hashed word n-grams. Sets that are equal form a class, and only one representative of a class is compared.
-Each set is embedded as ``TOKENS`` min-hash tokens; two sets share a token with their similarity as the chance. Starting from
-``ROOTS`` sampled tokens, sets that share a sampled token fall into one bucket; buckets that are still large are split again
-on one or (a quarter of the time, so that paths of similar pairs do not die out) two more tokens chosen by the bucket. A
-bucket ends when it is small, or when splitting hardly shrinks it, because its sets are near copies of each other. Ended buckets
+Each set is embedded as min-hash tokens; two sets share a token with their similarity as the chance. The search is repeated: a
+repetition starts from a token of its own, and sets that share it fall into one bucket; buckets that are still large are split again
+on one or (a quarter of the time, so that paths of similar pairs do not die out) two more tokens, chosen by the bucket from those
+that the repetition has for this depth. A bucket ends when it is small, or when splitting hardly shrinks it, because its sets are near copies of each other. Ended buckets
 are compared by brute force on the full sets, in blocks, so a large group is spread over many tasks.
 
 A pair that meets in several buckets is counted in the first of them only, which is known from the buckets of its two sets.
@@ -16,15 +16,20 @@ Defined results: texts without words (null, empty, white space) and rows without
 are copies; rows of one id with different texts are versions of one document, whose component is that of them all; ``kept`` is true for all rows that have the smallest id. ``n_links``, ``component_id`` and ``kept`` are replaced if the
 input has them; all other columns are ignored by the join and pass through ``drop_near_copies``.
 
-Recall: a pair at the threshold t meets in a run of depth 1 with chance t, and deeper paths branch by 1.25 = 1/t, which keeps the
-expected number of shared paths at one; with 12 roots a pair of similarity 0.8 is missed with chance under 1e-8 at depth 1 and
-about 1e-3 in the deepest buckets. Similarities are computed on 64-bit hashes of whole n-gram sets.
+Recall: no two repetitions share a token, so their misses are independent. ``survival`` computes exactly with which chance a pair at the
+threshold still shares a bucket of one repetition at each depth (branching by 1/t keeps the expected number of shared paths at t), and
+``repetitions`` is the least number of them with which the chance to meet reaches ``RECALL`` = 0.999 at the last depth, and so at every
+depth: 18 for 0.8. Buckets that end earlier, and more similar pairs, do better. Deep tokens are one byte; that they agree by chance only
+adds pairs to compare. Similarities are computed on 64-bit hashes of whole n-gram sets.
 """
 
 from __future__ import annotations
 
 import hashlib
+import itertools
+import math
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -39,17 +44,51 @@ from .common import split_words, table
 from .components import components
 
 WORDS, THRESHOLD = 5, 0.8
-ROOTS, BRANCH = 12, 0.25
+#: Chance with which a pair at the threshold meets, whatever the depth of its buckets.
+RECALL = 0.999
 #: Buckets up to this size are compared; one that keeps this share of its parent is compared as it is; and so are all at the last depth.
 SMALL, STUBBORN, DEPTH = 48, 0.75, 8
-#: Every depth samples from tokens of its own, so that no path splits on a token twice.
-PER_DEPTH = 5
-TOKENS = ROOTS + (DEPTH - 1) * PER_DEPTH
+#: Every repetition has so many tokens of its own for every depth, so that no path splits on a token twice.
+PER_DEPTH = 3
 #: Sets in a block of a large bucket; columns of the comparison matrix at a time.
 BLOCK, COLUMNS = 768, 4096
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
 
 
+def branching(threshold: float) -> float:
+    """The chance of a second path that keeps the expected number of shared paths of a pair at the threshold."""
+    return min(1.0, 1 / threshold - 1)
+
+
+def survival(similarity: float, branch: float, depth: int = DEPTH) -> list[float]:
+    """The chance that a pair shares a bucket of one repetition, at each depth from 1.
+
+    The shared buckets of a depth choose among the same ``PER_DEPTH`` tokens, which is taken into account: over every choice of the
+    tokens that agree, the buckets that follow from each shared bucket are independent.
+    """
+    shared, out = np.array([1 - similarity, similarity]), [similarity]
+    for _ in range(1, depth):
+        following = np.zeros(2 * len(shared) - 1)
+        for agree in itertools.product((0, 1), repeat=PER_DEPTH):
+            chance = similarity ** sum(agree) * (1 - similarity) ** (PER_DEPTH - sum(agree))
+            one = sum(agree) / PER_DEPTH
+            two = np.bincount([agree[k] + agree[(k + 1) % PER_DEPTH] for k in range(PER_DEPTH)], minlength=3) / PER_DEPTH
+            each, total = (1 - branch) * np.array([1 - one, one, 0]) + branch * two, np.ones(1)
+            for p in shared:
+                following[: len(total)] += chance * p * total
+                total = np.convolve(total, each)
+        shared = following
+        out.append(float(1 - shared[0]))
+    return out
+
+
+@lru_cache
+def repetitions(threshold: float) -> int:
+    """The least number of repetitions with which a pair at the threshold meets with chance ``RECALL`` at every depth."""
+    missed = 1 - min(survival(threshold, branching(threshold)))
+    return 1 if missed <= 1 - RECALL else math.ceil(math.log(1 - RECALL) / math.log(missed))
+
+
 def _mixed(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
@@ -78,16 +117,23 @@ def shingle_sets(texts: pa.Array, words: int = WORDS) -> list[np.ndarray]:
     return sets
 
 
-def _factors() -> np.ndarray:
-    return np.random.default_rng(20).integers(1, 1 << 63, TOKENS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+def _factors(n: int) -> np.ndarray:
+    return np.random.default_rng(20).integers(1, 1 << 63, n, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def _lists(values: np.ndarray, kind: pa.DataType) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.arange(0, values.size + 1, values.shape[1]), pa.int32()), pa.array(values.ravel(), kind))
 
 
-def sketch(docs: DataFrame, words: int = WORDS) -> DataFrame:
-    """(doc_id, set_id, tokens) of the documents that have an id and a word."""
-    schema = T.StructType([docs.schema["doc_id"], T.StructField("set_id", T.BinaryType()), T.StructField("tokens", T.ArrayType(T.IntegerType()))])
+def sketch(docs: DataFrame, words: int = WORDS, threshold: float = THRESHOLD) -> DataFrame:
+    """(doc_id, set_id, tokens, deep) of the documents that have an id and a word: the first token of every repetition, and those of
+    the further depths, depth by depth and in it repetition by repetition."""
+    schema = T.StructType([docs.schema["doc_id"], T.StructField("set_id", T.BinaryType()), T.StructField("tokens", T.ArrayType(T.IntegerType())), T.StructField("deep", T.ArrayType(T.ByteType()))])
+    roots = repetitions(threshold)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        factors = _factors()
+        factors = _factors(roots * (1 + (DEPTH - 1) * PER_DEPTH))
+        first, further = factors[:roots], (factors[roots:] >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
@@ -97,10 +143,12 @@ def sketch(docs: DataFrame, words: int = WORDS) -> DataFrame:
                     continue
                 flat = np.concatenate([sets[i] for i in full])
                 heads = np.cumsum([0] + [len(sets[i]) for i in full[:-1]])
-                tokens = np.stack([np.minimum.reduceat(flat * f, heads) for f in factors], 1) >> np.uint64(32)
+                tokens = np.stack([np.minimum.reduceat(flat * f, heads) for f in first], 1) >> np.uint64(32)
+                half = (flat >> np.uint64(32)).astype(np.uint32)
+                deep = np.stack([np.minimum.reduceat(half * f, heads).astype(np.uint8) for f in further], 1)
                 ids = [hashlib.blake2b(sets[i].tobytes(), digest_size=16).digest() for i in full]
-                lists = pa.ListArray.from_arrays(pa.array(np.arange(0, tokens.size + 1, TOKENS), pa.int32()), pa.array(tokens.astype(np.uint32).view(np.int32).ravel(), pa.int32()))
-                yield pa.RecordBatch.from_arrays([part.column("doc_id").take(pa.array(full)), pa.array(ids, pa.binary()), lists], names=["doc_id", "set_id", "tokens"])
+                lists = [_lists(tokens.astype(np.uint32).view(np.int32), pa.int32()), _lists(deep.view(np.int8), pa.int8())]
+                yield pa.RecordBatch.from_arrays([part.column("doc_id").take(pa.array(full)), pa.array(ids, pa.binary()), *lists], names=["doc_id", "set_id", "tokens", "deep"])
 
     return docs.where("doc_id is not null and text is not null").select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(run, schema)
 
@@ -109,10 +157,10 @@ def _key(*parts: Column) -> Column:
     return F.xxhash64(*parts)
 
 
-def split_buckets(reps: DataFrame, stage: Stage) -> DataFrame:
-    """(bucket, rep, dense): the ended buckets with two sets or more; dense ones ended large. ``reps``: (rep, tokens)."""
-    token = lambda at: F.element_at("tokens", at + 1)
-    open_ = reps.select("rep", F.explode(F.array(*[_key(F.lit(r), token(F.lit(r))) for r in range(ROOTS)])).alias("bucket"), F.lit(None).cast("long").alias("parent_size"))
+def split_buckets(reps: DataFrame, stage: Stage, threshold: float = THRESHOLD) -> DataFrame:
+    """(bucket, rep, dense): the ended buckets with two sets or more; dense ones ended large. ``reps``: (rep, tokens, deep)."""
+    roots, branch = repetitions(threshold), branching(threshold)
+    open_ = reps.select("rep", F.posexplode("tokens").alias("root", "token")).select("rep", F.col("root").cast("byte").alias("root") if roots < 128 else "root", _key("root", "token").alias("bucket"), F.lit(None).cast("long").alias("parent_size"))
     ended = []
     for depth in range(1, DEPTH + 1):
         rows = stage.table(open_, f"paths_{depth}")
@@ -123,14 +171,15 @@ def split_buckets(reps: DataFrame, stage: Stage) -> DataFrame:
         # Whether any bucket stays open is read off the sizes where they decide alone.
         if depth == DEPTH or sizes.where(F.col("size") > SMALL).isEmpty():
             break
-        first = ROOTS + (depth - 1) * PER_DEPTH
-        at = lambda k, first=first: (F.lit(first) + F.pmod(F.xxhash64("bucket") + k, F.lit(PER_DEPTH))).cast("int")
-        more = F.pmod(F.xxhash64("bucket", F.lit("branch")), F.lit(1000)) < int(1000 * BRANCH)
-        path = lambda k: F.struct(_key("bucket", F.lit(k), token(at(k))).alias("bucket"))
+        # Only the tokens of this depth move.
+        given = reps.select("rep", F.slice("deep", (depth - 1) * roots * PER_DEPTH + 1, roots * PER_DEPTH).alias("given"))
+        at = lambda k: F.col("root") * PER_DEPTH + F.pmod(F.xxhash64("bucket") + k, F.lit(PER_DEPTH)).cast("int")
+        more = F.pmod(F.xxhash64("bucket", F.lit("branch")), F.lit(1000)) < int(1000 * branch)
+        path = lambda k: F.struct(_key("bucket", F.lit(k), F.element_at("given", at(k) + 1)).alias("bucket"))
         open_ = (
-            sized.where(~end).join(reps, "rep")
-            .select("rep", F.col("size").alias("parent_size"), F.explode(F.when(more, F.array(path(1), path(2))).otherwise(F.array(path(1)))).alias("next"))
-            .select("rep", "next.bucket", "parent_size")
+            sized.where(~end).join(given, "rep")
+            .select("rep", "root", F.col("size").alias("parent_size"), F.explode(F.when(more, F.array(path(1), path(2))).otherwise(F.array(path(1)))).alias("next"))
+            .select("rep", "root", "next.bucket", "parent_size")
         )
     found = ended[0]
     for more_rows in ended[1:]:
@@ -224,17 +273,16 @@ def compare(bucket: int, first: list[dict], second: list[dict], threshold: float
         yield reps[a], reps[b], 0
 
 
-def compare_buckets(buckets: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
-    """(rep, other, links) from (bucket, rep, size) and sets (rep, copies, grams)."""
-    lists = buckets.groupBy("rep").agg(F.sort_array(F.collect_list("bucket")).alias("buckets"))
-    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
+def compare_buckets(sets: DataFrame, threshold: float) -> DataFrame:
+    """(rep, other, links) from sets (rep, copies, places, grams); places: the (bucket, size) that the set is in, in order."""
     own = F.pmod(F.xxhash64("rep", F.lit("block")), F.col("blocks")).cast("int")
-    tasks = (
-        buckets.withColumn("blocks", blocks).withColumn("own", own)
-        .select("bucket", "rep", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-        .select("bucket", "rep", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).alias("second"))
+    rows = (
+        sets.select("rep", "copies", "grams", F.col("places.bucket").alias("buckets"), F.explode("places").alias("place"))
+        .withColumn("bucket", F.col("place.bucket")).withColumn("blocks", F.ceil(F.col("place.size") / BLOCK).cast("int")).withColumn("own", own)
+        .select("rep", "copies", "grams", "buckets", "bucket", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+        .select("bucket", "rep", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).alias("second"), "copies", "grams", "buckets")
+        .repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
     )
-    rows = tasks.join(sets.join(lists, "rep"), "rep").repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
     schema = "rep long, other long, links long"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -270,38 +318,45 @@ def _records(rows: list[tuple]) -> pa.RecordBatch:
 
 
 def gram_sets(docs: DataFrame, words: int = WORDS) -> DataFrame:
-    """(rep, copies, grams) from (rep, copies, text)."""
+    """The other columns and ``grams`` for ``text``."""
+    kept = [c for c in docs.columns if c != "text"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
                 grams = [s.tobytes() for s in shingle_sets(part.column("text"), words)]
-                yield pa.RecordBatch.from_arrays([part.column("rep"), part.column("copies"), pa.array(grams, pa.binary())], names=["rep", "copies", "grams"])
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in kept), pa.array(grams, pa.binary())], names=[*kept, "grams"])
 
-    return docs.select("rep", "copies", "text").mapInArrow(run, "rep long, copies long, grams binary")
+    return docs.mapInArrow(run, T.StructType([*(docs.schema[c] for c in kept), T.StructField("grams", T.BinaryType())]))
 
 
 def near_copies(docs: DataFrame, stage: Stage, threshold: float = THRESHOLD, words: int = WORDS) -> DataFrame:
     """(doc_id, n_links, component_id, kept) of every row: links with other rows of similarity ``threshold`` or more."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    sketches = stage.table(sketch(docs, words), "sketches")
-    reps = stage.table(sketches.groupBy("set_id").agg(F.min(F.struct("doc_id", "tokens")).alias("m"), F.count("*").alias("copies")).select("set_id", F.col("m.doc_id").alias("rep"), "copies", F.col("m.tokens").alias("tokens")), "reps")
-    buckets = stage.table(distinct_buckets(split_buckets(reps.select("rep", "tokens"), stage), stage), "members")
-    wanted = reps.join(buckets.select("rep").distinct(), "rep", "left_semi").select("rep", "copies", "set_id")
+    sketches = stage.table(sketch(docs, words, threshold), "sketches")
+    reps = stage.table(sketches.groupBy("set_id").agg(F.min(F.struct("doc_id", "tokens", "deep")).alias("m"), F.count("*").alias("copies")).select("set_id", F.col("m.doc_id").alias("rep"), "copies", F.col("m.tokens").alias("tokens"), F.col("m.deep").alias("deep")), "reps")
+    # The tokens are needed no longer than the buckets take to be split.
+    sets_of = stage.table(sketches.select("doc_id", "set_id"), "sets_of")
+    stage.drop("sketches")
+    buckets = stage.table(distinct_buckets(split_buckets(reps.select("rep", "tokens", "deep"), stage, threshold), stage), "members")
+    reps_of = stage.table(reps.select("set_id", "rep", "copies"), "reps_of")
+    stage.drop("reps", "buckets", "ended", *[f"paths_{d}" for d in range(1, DEPTH + 1)])
+    places = buckets.groupBy("rep").agg(F.sort_array(F.collect_list(F.struct("bucket", "size"))).alias("places"))
+    wanted = reps_of.join(places, "rep").select(F.col("rep").alias("doc_id"), "copies", "set_id", "places")
     # A repeated id may stand for several texts; the set tells which one is meant.
-    texts = docs.where("doc_id is not null").join(wanted.withColumnRenamed("rep", "doc_id"), "doc_id").groupBy("doc_id", "set_id").agg(F.max("copies").alias("copies"), F.max("text").alias("text"))
-    sets = stage.table(gram_sets(texts.withColumnRenamed("doc_id", "rep"), words), "sets")
-    compared = stage.table(compare_buckets(buckets, sets, threshold), "compared")
-    stage.drop("sets", "members", "buckets", "ended", *[f"paths_{d}" for d in range(1, DEPTH + 1)])
+    texts = docs.where("doc_id is not null").join(wanted, "doc_id").groupBy("doc_id", "set_id").agg(F.max("copies").alias("copies"), F.max("text").alias("text"), F.first("places").alias("places"))
+    sets = gram_sets(texts.select(F.col("doc_id").alias("rep"), "copies", "places", "text"), words)
+    compared = stage.table(compare_buckets(sets, threshold), "compared")
+    stage.drop("members")
     found = components(compared.where("other is not null").select(F.col("rep").alias("a"), F.col("other").alias("b")), stage)
     links = compared.groupBy("rep").agg(F.sum("links").alias("links"))
     classes = stage.table(
-        reps.select("set_id", "rep", "copies").join(links, "rep", "left").join(found.withColumnRenamed("node", "rep"), "rep", "left")
+        reps_of.join(links, "rep", "left").join(found.withColumnRenamed("node", "rep"), "rep", "left")
         .select("set_id", F.coalesce("component", "rep").alias("component_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")),
         "classes",
     )
-    linked = sketches.select("doc_id", "set_id").join(classes, "set_id").select("doc_id", "n_links", "component_id")
+    linked = sets_of.join(classes, "set_id").select("doc_id", "n_links", "component_id")
     alone = docs.where("doc_id is null or text is null or length(btrim(text, ' \\t\\n\\u000b\\f\\r')) = 0").select("doc_id", F.lit(0).cast("long").alias("n_links"), F.col("doc_id").alias("component_id"))
     return linked.unionAll(alone).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 

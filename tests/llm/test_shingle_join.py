@@ -4,7 +4,8 @@ from collections import Counter
 import pyarrow as pa
 import pytest
 
-from edgeloom.llm.shingle_join import drop_near_copies, near_copies, shingle_sets
+from edgeloom.llm import shingle_join
+from edgeloom.llm.shingle_join import RECALL, branching, drop_near_copies, near_copies, repetitions, shingle_sets, survival
 
 from .helpers import LONG, corpus, words
 
@@ -94,3 +95,27 @@ def test_slice_of_one_short_text(text):
 def test_table_of_one_short_text(spark, stage):
     out = near_copies(corpus(spark, [(1, "hello world"), (2, None)]), stage).collect()
     assert sorted((r.doc_id, r.n_links, r.kept) for r in out) == [(1, 0, True), (2, 0, True)]
+
+
+def test_repetitions_reach_the_recall_at_every_depth():
+    chances = survival(0.8, branching(0.8))
+    assert len(chances) == shingle_join.DEPTH and chances == sorted(chances, reverse=True)
+    assert all(1 - (1 - c) ** repetitions(0.8) >= RECALL for c in chances)
+    assert 1 - (1 - chances[-1]) ** (repetitions(0.8) - 1) < RECALL
+    # Nothing agrees, or everything.
+    assert survival(0.0, 0.25)[-1] == 0 and survival(1.0, 0.25)[-1] == 1 and repetitions(1.0) == 1
+
+
+def test_pairs_in_deep_buckets(spark, stage, monkeypatch):
+    """Every word is in half of the texts, so buckets only halve and are split down to the last depth; planted pairs lie just above 0.8."""
+    monkeypatch.setattr(shingle_join, "SMALL", 2)
+    rng, known, rows = random.Random(8), [f"s{k}" for k in range(400)], []
+    for k in range(1000):
+        mixed = rng.sample(known, 400)
+        rows += [(2 * k, " ".join(mixed[:200])), (2 * k + 1, " ".join(mixed[22:222]))]
+    sets = [set(t.split()) for _, t in rows]
+    links = Counter(i for a in range(2000) for b in range(a) if 9 * len(sets[a] & sets[b]) >= 4 * 400 for i in (a, b))
+    assert links == {i: 1 for i in range(2000)}
+    out = near_copies(corpus(spark, rows), stage, words=1).collect()
+    assert len(out) == 2000 and all(r.component_id == r.doc_id - r.doc_id % 2 * r.n_links for r in out)
+    assert sum(r.n_links for r in out) / 2000 >= 0.997
