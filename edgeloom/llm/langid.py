@@ -5,11 +5,12 @@ softmax. A filter on one-hot bytes is a sum of table rows, one per offset, so th
 for pairs of bytes. It is trained in numpy on windows of a bounded sample of labelled documents; whole texts are
 predicted: the class probabilities of all windows of a text are averaged, weighted by the bytes they hold.
 
-The sample draws about ``per_language`` documents of each language, and ``excerpts`` windows of each; that bounds what the driver
-sees. Training is repeatable (rows are ordered by a hash and the generator is seeded).
+Every language that labels a text with a letter is learned. The sample draws about ``per_language`` documents of each language, and
+``excerpts`` windows of each and one from its first letter on; over ``FULL_SAMPLE`` languages fewer of each, down to ``LEAST``, in more steps.
+That bounds what the driver sees for each language. Training is repeatable (rows are ordered by a hash and the generator is seeded).
 
-Defined results: a null text, or one without a letter, is ``und`` with score 0. Without any labelled row all texts are
-``und`` with score 0. Repeated rows get equal results. Other columns pass through, except the added ones, which are replaced.
+Defined results: a null text, or one without a letter, is ``und`` with score 0. Without any labelled row that has a letter all texts
+are ``und`` with score 0. Repeated rows get equal results. Other columns pass through, except the added ones, which are replaced.
 """
 
 from __future__ import annotations
@@ -28,8 +29,8 @@ from .common import held_out, table, uniform
 
 WINDOW, WIDTHS, FILTERS = 256, (2, 3, 4), 16
 PER_LANGUAGE, EXCERPTS, STEPS, BATCH, RATE = 400, 3, 500, 96, 0.02
-#: Languages learned at most; beyond it the commonest are taken and the rest cannot be predicted.
-MOST_LANGUAGES = 400
+#: Languages of which the full sample is drawn; beyond it, documents drawn of each at least.
+FULL_SAMPLE, LEAST = 400, 40
 CHUNK = 64
 LETTER = re.compile(r"[^\W\d_]")
 UNDETERMINED = "und"
@@ -148,29 +149,30 @@ def _softmax(x: np.ndarray) -> np.ndarray:
 
 def fit(labelled: DataFrame, per_language: int = PER_LANGUAGE, excerpts: int = EXCERPTS, steps: int = STEPS, seed: int = 7) -> ByteNetwork | None:
     """A network from (doc_id, text, lang); None if nothing is labelled. Takes a bounded sample to the driver."""
-    usable = labelled.where("lang is not null and text is not null and length(text) > 0")
-    counts = {r["lang"]: r["n"] for r in usable.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES).collect()}
-    if not counts:
+    usable = labelled.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
+    counts = usable.groupBy("lang").agg(F.count("*").alias("n"))
+    languages = counts.count()
+    if not languages:
         return None
-    share = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, per_language / n)])
+    wider = max(1.0, languages / FULL_SAMPLE)
+    drawn = max(per_language / wider, min(per_language, LEAST))
     # Windows start anywhere in the text, at its first part at least once.
     starts = F.array(F.lit(0), *[(uniform("doc_id", "text", F.lit(k)) * F.greatest(F.length("text") - WINDOW, F.lit(0))).cast("int") for k in range(1, excerpts)])
+    first = F.regexp_extract("text", rf"(?s)\p{{L}}.{{0,{WINDOW - 1}}}", 0)
     rows = (
-        usable.where(uniform("doc_id", F.lit("sample")) < F.try_element_at(share, F.col("lang")))
-        .select("doc_id", "lang", F.transform(starts, lambda s: F.substring(F.col("text"), s + 1, F.lit(WINDOW))).alias("parts")).collect()
+        usable.join(F.broadcast(counts), "lang").where(uniform("doc_id", F.lit("sample")) * F.col("n") < drawn)
+        .select("doc_id", "lang", F.concat(F.transform(starts, lambda s: F.substring(F.col("text"), s + 1, F.lit(WINDOW))), F.array(first)).alias("parts")).collect()
     )
     rows.sort(key=lambda r: (str(r["doc_id"]), r["parts"]))
-    labels = sorted({r["lang"] for r in rows})
+    excerpts_of = [(part.encode()[:WINDOW].ljust(WINDOW, b"\0"), r["lang"]) for r in rows for part in dict.fromkeys(r["parts"]) if LETTER.search(part)]
+    labels = sorted({lang for _, lang in excerpts_of})
     if not labels:
         return None
     index = {lang: i for i, lang in enumerate(labels)}
-    samples = [(part.encode()[:WINDOW].ljust(WINDOW, b"\0"), index[r["lang"]]) for r in rows for part in dict.fromkeys(r["parts"]) if LETTER.search(part)]
     rng = np.random.default_rng(seed)
     net = ByteNetwork.fresh(labels, rng)
-    if len(labels) > 1 and samples:
-        present = sorted({c for _, c in samples})
-        if len(present) == len(labels):
-            net.train(np.frombuffer(b"".join(s for s, _ in samples), np.uint8).reshape(-1, WINDOW), np.array([c for _, c in samples]), rng, steps)
+    if len(labels) > 1:
+        net.train(np.frombuffer(b"".join(s for s, _ in excerpts_of), np.uint8).reshape(-1, WINDOW), np.array([index[lang] for _, lang in excerpts_of]), rng, round(steps * wider))
     return net
 
 

@@ -32,3 +32,19 @@ def test_nothing_to_learn_from(spark):
     only = fit(corpus(spark, [(1, "some text", "en"), (2, "more text", "en")]), steps=5)
     assert [r.lang_pred for r in identify(corpus(spark, [(1, "text"), (2, "7")]), only).orderBy("doc_id").collect()] == ["en", "und"]
     assert identify(corpus(spark, []), only).count() == 0
+
+
+def test_labels_without_letters_do_not_stop_training(spark):
+    made = rows()
+    late = "1 " * 400 + "über die Straße"
+    odd = [(2000, "123 456", "x1"), (2001, " \n\t ", "x2"), (2002, None, "x3"), (2004, late, "late")]
+    net = fit(corpus(spark, made + odd), per_language=60, steps=120)
+    assert net.labels == sorted(["en", "de", "fr", "late"])
+    out = identify(corpus(spark, made), net).collect()
+    assert sum(r.lang_pred == r.lang for r in out) / len(out) > 0.95
+    assert fit(corpus(spark, odd[:3])) is None
+
+
+def test_every_language_is_learned(spark):
+    net = fit(corpus(spark, [(i, f"text number {i}", f"l{i % 450}") for i in range(500)]), steps=1)
+    assert len(net.labels) == 450
