@@ -54,6 +54,19 @@ def char_ngrams(items: list[bytes], sizes: Iterable[int], buckets: int, seed: in
         yield owner[:n][whole], (code[whole] % np.uint64(buckets)).astype(np.int64)
 
 
+def slices(batch: pa.RecordBatch, column: str = "text", rows: int = 500, size: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+    """The batch in parts of at most ``rows`` rows and, but for single longer texts, ``size`` bytes of ``column``."""
+    sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    ends = np.cumsum(sizes)
+    at = 0
+    while at < batch.num_rows:
+        before = ends[at - 1] if at else 0
+        fits = int(np.searchsorted(ends, before + size, "right"))
+        stop = max(at + 1, min(at + rows, fits))
+        yield batch.slice(at, stop - at)
+        at = stop
+
+
 def split_words(texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
     """Distinct words (runs without ASCII white space), the word number of every place, and the words of each text."""
     parts = pc.ascii_split_whitespace(pc.fill_null(texts.cast(pa.large_string()), ""))

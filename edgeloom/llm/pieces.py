@@ -4,7 +4,7 @@ A text is normalised by taking, at each position, the longest prefix that the mo
 trie with a pool of replacements) holds; every byte written is recorded with the byte it came from. Pieces are formed on the
 normalised text by pair merging, and their bounds are projected through that record to byte spans of the original.
 Pieces never cross certain boundaries (before a word's space mark, say, if no piece of the vocabulary does), so merging
-runs once per distinct segment; a bounded memo holds the pieces of segments already met by the worker.
+runs once per distinct short segment; a memo bounded in bytes holds the pieces of segments already met by the worker.
 
 The model file is a parameter. It is read on the driver; executors get its parsed tables (its size bounds the broadcast).
 Supported are BPE models with spaces as prefixes and without user-defined or unused pieces; others raise ValueError.
@@ -27,12 +27,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import table
+from .common import slices, table
 
 SPACE = "▁"
 NORMAL, UNKNOWN, CONTROL, BYTE = 1, 2, 3, 6
-#: Distinct segments in a generation of a worker's memo; two are held.
-MEMO = 500_000
+#: Bytes in a generation of a worker's memo of segments; two are held.
+MEMO_BYTES = 24 << 20
+#: What an entry of the memo takes besides the bytes of its key and value.
+ENTRY_BYTES = 200
 #: Segments up to this length are merged by plain search, longer ones with a queue.
 SHORT = 40
 NEVER = float("-inf")
@@ -239,10 +241,13 @@ class PieceCodec:
                 found += (self.model.unknown, len(raw))
         return np.array(found, "<u4").tobytes()
 
+    def _segment(self, segment: str) -> bytes:
+        return self.memo[segment] if len(segment) <= SHORT else self._encode_segment(segment)
+
     def encode(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Ids with begin and end ids around them; for each, its byte span in the original text."""
         normal, starts = self.normalise(text)
-        pairs = np.frombuffer(b"".join(map(self.memo.__getitem__, self.segments.findall(normal.decode()))), "<u4").reshape(-1, 2)
+        pairs = np.frombuffer(b"".join(map(self._segment, self.segments.findall(normal.decode()))), "<u4").reshape(-1, 2)
         ids, bounds = pairs[:, 0], np.concatenate(([0], np.cumsum(pairs[:, 1], dtype=np.int64)))
         first, last = bounds[:-1], bounds[1:]
         if not self.model.byte_fallback and len(ids):  # a run of unknown pieces is one
@@ -270,19 +275,21 @@ class PieceCodec:
 
 
 class _Memo(dict):
-    """Values by key. When full, it becomes the older generation, from which keys that are met again are taken over."""
+    """Values by key, up to ``MEMO_BYTES``. When full, it becomes the older generation, from which keys that are met again are taken over."""
 
     def __init__(self, make):
-        self.make, self.older = make, {}
+        self.make, self.older, self.held = make, {}, 0
 
     def __missing__(self, key: str) -> bytes:
-        if len(self) >= MEMO:
+        if self.held >= MEMO_BYTES:
             self.older = dict(self)
             self.clear()
+            self.held = 0
         value = self.older.get(key)
         if value is None:
             value = self.make(key)
         self[key] = value
+        self.held += ENTRY_BYTES + 2 * len(key) + len(value)
         return value
 
 
@@ -322,7 +329,7 @@ def encode_documents(docs: DataFrame, model_path: str, outputs: tuple[str, ...]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(model)
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole)):
             made: list[list] = [[] for _ in outputs]
             for value in batch.column("text"):
                 ids, begins, ends = codec.encode(value.as_py() or "")
