@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.keyed_hash import KeyedHash
 from ..operators import deliveries as dl
 from ..operators import fleet
+from ..session import Stage
 from ..sources import testevents as te
 from ..sources import testviews as tv
 from ..sources.testevents import with_events
@@ -20,7 +21,7 @@ TTL = 3600
 
 def classified(spark: SparkSession, sf_dir: str) -> DataFrame:
     hasher = te.webhook_hasher(spark)
-    return dl.classified(te.deliveries(te.events(spark, sf_dir), hasher), hasher, RULES)
+    return dl.classified(te.deliveries(te.events(spark, sf_dir), hasher), hasher, RULES, stage=Stage(spark))
 
 
 @catalog.add("classified_deliveries", with_events("SELECT * FROM classified", "classified"))
@@ -40,7 +41,7 @@ def deliveries_after_earlier_run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A third of the event ids was handled by an earlier run."""
     hasher = te.webhook_hasher(spark)
     seen = te.events(spark, sf_dir).where(F.col("event_id") % 3 == 0).select(F.concat(F.lit("evt_"), "event_id").alias("event_id"))
-    return dl.classified(te.deliveries(te.events(spark, sf_dir), hasher), hasher, RULES, seen).select("delivery_id", "outcome")
+    return dl.classified(te.deliveries(te.events(spark, sf_dir), hasher), hasher, RULES, seen, Stage(spark)).select("delivery_id", "outcome")
 
 
 @catalog.add("canonical_invoices_of_events", with_events(

@@ -13,6 +13,7 @@ from ..functions.net import address_columns, in_ranges
 from ..schemas import BILLING_EVENT
 
 DEFAULT_MAX_SKEW = 300
+REJECTED, DUPLICATE, IGNORED, ACCEPTED = "rejected", "duplicate", "ignored", "accepted"
 
 # The event types that are processed.
 SUPPORTED_TYPES = (
@@ -75,11 +76,16 @@ def with_signature_error(df: DataFrame, hasher: KeyedHash, max_skew: int, alias:
     return read.withColumn(alias, error).drop("_times", "_given", "_stamp", "_expected")
 
 
-def parse_event(body: Column) -> Column:
-    """The event's fields; names are read in any case. Single quotes are refused."""
+def plain_names(body: Column) -> Column:
+    """The names of an event's fields in lower case."""
     for name in ("id", "type", "created", "data", "object"):
         body = F.regexp_replace(body, rf'(?i)"{name}"(\s*:)', f'"{name}"$1')
-    return F.from_json(body, BILLING_EVENT, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt", "allowSingleQuotes": "false"})
+    return body
+
+
+def parse_event(body: Column) -> Column:
+    """The event's fields; names are read in any case. Single quotes are refused."""
+    return F.from_json(plain_names(body), BILLING_EVENT, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt", "allowSingleQuotes": "false"})
 
 
 def leftover(body: Column) -> Column:
@@ -96,11 +102,11 @@ def leftover(body: Column) -> Column:
 
 
 def wrong_types(body: Column) -> Column:
-    """Whether the event's id or type is there but no text."""
-    def bad(path: str) -> Column:
-        raw = F.get(F.regexp_extract_all(body, F.lit(rf'(?si)"{path}"\s*:\s*(.)'), F.lit(1)), F.lit(0))
-        return F.coalesce(~raw.isin('"', "n"), F.lit(False))
-
+    """Whether the event's own id or type is there but no text. Fields of nested objects do not count; of repeated fields the last
+    one does, as in parsing."""
+    top = F.try_parse_json(plain_names(body))
+    kind = lambda name: F.schema_of_variant(F.try_variant_get(top, f"$.{name}", "variant"))
+    bad = lambda name: ~F.coalesce(kind(name), F.lit("VOID")).isin("STRING", "VOID")
     return bad("id") | bad("type")
 
 
@@ -140,20 +146,25 @@ def first_per_key(df: DataFrame, key: str, row_id: str, order: list[str], counts
     return firsts.select(F.col(f"_first.{row_id}").alias(row_id), key)
 
 
-def classified(deliveries: DataFrame, hasher: KeyedHash, rules: DeliveryRules, seen: DataFrame | None = None) -> DataFrame:
+def outcome(first: Column) -> Column:
+    """What becomes of a checked delivery; ``first`` is null unless it is the first of its event."""
+    return F.when(F.col("detail").isNotNull(), REJECTED).when(first.isNull(), DUPLICATE).when(F.col("supported"), ACCEPTED).otherwise(IGNORED)
+
+
+def classified(deliveries: DataFrame, hasher: KeyedHash, rules: DeliveryRules, seen: DataFrame | None = None, stage=None) -> DataFrame:
     """Adds ``outcome``: rejected, duplicate, ignored or accepted. ``seen`` holds event ids of earlier runs.
 
-    The first delivery of each event is found by event id and joined back by the unique delivery id.
+    The first delivery of each event is found by event id and joined back by the unique delivery id. With a ``stage`` the checked
+    rows are stored, so that no body is hashed and parsed for each of the two.
     """
     rows = checked(deliveries, hasher, rules)
+    if stage is not None:
+        rows = stage.table(rows, "checked")
     firsts = first_per_key(rows, "event_id", "delivery_id", ["received_at"], F.col("detail").isNull())
     if seen is not None:
         firsts = firsts.join(seen.select("event_id"), "event_id", "left_anti")
     marked = rows.join(firsts.select("delivery_id", F.lit(True).alias("_first")), "delivery_id", "left")
-    outcome = (
-        F.when(F.col("detail").isNotNull(), "rejected").when(F.col("_first").isNull(), "duplicate").when(F.col("supported"), "accepted").otherwise("ignored")
-    )
-    return marked.withColumn("outcome", outcome).drop("_first")
+    return marked.withColumn("outcome", outcome(F.col("_first"))).drop("_first")
 
 
 def delivery_counters(rows: DataFrame) -> DataFrame:
@@ -176,9 +187,10 @@ def message_error(max_skew: int, nonce_seen: Column) -> Column:
     )
 
 
-def _spending(live: DataFrame, ttl: int) -> DataFrame:
-    """Ids of the messages that spend their nonce: the first with it, and each later one that arrives more
-    than ``ttl`` seconds after the time stated by the message that spent it before.
+def spending(live: DataFrame, ttl: int, spent: DataFrame | None = None) -> DataFrame:
+    """(nonce, message_id, ts, place) of the messages that spend their nonce: the first with it, and each later one that arrives
+    more than ``ttl`` seconds after the time stated by the message that spent it before. ``spent`` holds the (nonce, ts) of
+    the last ones of earlier runs.
 
     Only the first arrival of each second can spend a nonce, so the chain walked per nonce is at most one
     entry per second however often the nonce is replayed.
@@ -186,17 +198,22 @@ def _spending(live: DataFrame, ttl: int) -> DataFrame:
     second = F.floor(F.unix_micros("received_at") / 1_000_000)
     order = F.struct("received_at", "message_id")
     firsts = live.groupBy("nonce", second.alias("s")).agg(F.min_by("message_id", order).alias("id"), F.min_by("ts", order).alias("ts"))
-    chain = F.sort_array(F.collect_list(F.struct("s", "id", "ts")))
-    start = F.struct(F.lit(None).cast("bigint").alias("ts"), F.array().cast("array<bigint>").alias("ids"))
+    chains = firsts.groupBy("nonce").agg(F.sort_array(F.collect_list(F.struct("s", "id", "ts"))).alias("chain"))
+    before = F.lit(None).cast("bigint")
+    if spent is not None:
+        chains = chains.join(spent.select("nonce", F.col("ts").alias("_before")), "nonce", "left")
+        before = F.col("_before")
+    start = F.struct(before.alias("ts"), F.array().cast("array<struct<id:bigint,ts:bigint>>").alias("found"))
     step = lambda acc, m: F.when(
-        acc["ts"].isNull() | (m["s"] - acc["ts"] > ttl), F.struct(m["ts"].alias("ts"), F.concat(acc["ids"], F.array(m["id"])).alias("ids"))
+        acc["ts"].isNull() | (m["s"] - acc["ts"] > ttl), F.struct(m["ts"].alias("ts"), F.concat(acc["found"], F.array(F.struct(m["id"].alias("id"), m["ts"].alias("ts")))).alias("found"))
     ).otherwise(acc)
-    chains = firsts.groupBy("nonce").agg(chain.alias("chain"))
-    return chains.select(F.explode(F.aggregate("chain", start, step, lambda acc: acc["ids"])).alias("message_id"), F.lit(True).alias("_spends"))
+    walked = chains.select("nonce", F.posexplode(F.aggregate("chain", start, step, lambda acc: acc["found"])).alias("place", "_m"))
+    return walked.select("nonce", F.col("_m.id").alias("message_id"), F.col("_m.ts").alias("ts"), "place")
 
 
 def verified_messages(messages: DataFrame, hasher: KeyedHash, max_skew: int = DEFAULT_MAX_SKEW, ttl: int = 3600) -> DataFrame:
     """Adds ``reason``. The nonce of a signed message inside the skew window can be used once per ``ttl``."""
     stale = (F.coalesce("signature", F.lit("")) == "") | outside_skew(F.col("received_at"), F.col("ts"), max_skew)
-    marked = messages.join(_spending(messages.where(~stale), ttl), "message_id", "left")
+    spends = spending(messages.where(~stale), ttl).select("message_id", F.lit(True).alias("_spends"))
+    marked = messages.join(spends, "message_id", "left")
     return hasher.with_columns(marked, {"reason": message_error(max_skew, F.col("_spends").isNull())}).drop("_spends")

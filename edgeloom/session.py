@@ -5,7 +5,9 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
+from functools import partial
 
 from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
@@ -45,6 +47,12 @@ def shared_dir(spark: SparkSession) -> str:
     return folder
 
 
+def side_by_side(spark: SparkSession, *steps: Callable[[], object]) -> list:
+    """Run independent driver steps at once; their results in the order given."""
+    with ThreadPoolExecutor(max_workers=len(steps)) as pool:
+        return [future.result() for future in [pool.submit(inheritable_thread_target(spark)(step)) for step in steps]]
+
+
 class Stage:
     """Writes intermediate tables once, so later reads neither recompute them nor depend on the
     executors that made them."""
@@ -67,9 +75,7 @@ class Stage:
 
     def tables(self, frames: dict[str, DataFrame]) -> dict[str, DataFrame]:
         """Stage independent tables side by side, so small writes do not leave the cluster idle."""
-        with ThreadPoolExecutor(max_workers=len(frames)) as pool:
-            made = {name: pool.submit(inheritable_thread_target(self.spark)(self.table), df, name) for name, df in frames.items()}
-            return {name: future.result() for name, future in made.items()}
+        return dict(zip(frames, side_by_side(self.spark, *[partial(self.table, df, name) for name, df in frames.items()])))
 
     def drop(self, *names: str) -> None:
         """Remove staged tables that nothing will read any more."""

@@ -131,6 +131,14 @@ def usages(spark: SparkSession, sf_dir: str, hasher: KeyedHash) -> DataFrame:
     return sanitize_usage(raw_usage(spark, sf_dir), hasher)
 
 
+def whole_subscriptions(spark: SparkSession, sf_dir: str, hasher: KeyedHash) -> DataFrame:
+    """Subscriptions as a service would send them, one row each with the lists of their prices and products."""
+    items = sanitize_items(raw_orders(spark, sf_dir), raw_lines(spark, sf_dir), hasher)
+    of = lambda kind: F.collect_list(F.when(F.col("item_kind") == kind, F.col("item_id"))).alias(f"{kind}_ids")
+    listed = items.groupBy(F.col("sub_id").alias("id")).agg(of("price"), of("product"))
+    return sanitize_subscription_headers(raw_headers(spark, sf_dir), hasher).join(listed, "id").select("id", "customer", "price_ids", "product_ids", "created_at")
+
+
 def link_inputs(spark: SparkSession, sf_dir: str, hasher: KeyedHash) -> LinkInputs:
     return LinkInputs(
         usages(spark, sf_dir, hasher),

@@ -1,46 +1,58 @@
 import uuid
 
+import pytest
 from pyspark.sql import functions as F
 
 import fixtures as fx
 from edgeloom import schemas
 from edgeloom.functions.keyed_hash import KeyedHash, mac_base64
 from edgeloom.operators.combine import combine
-from edgeloom.operators.deliveries import verified_messages
-from edgeloom.operators.matchers import ExactMatcher, TemporalMatcher, View
+from edgeloom.operators.deliveries import classified, verified_messages
+from edgeloom.operators.matchers import ExactMatcher, LinkInputs, TemporalMatcher, View
 from edgeloom.plans.linkage import Ensemble
 from edgeloom.recipe import EXACT, TEMPORAL, Recipe
 from edgeloom.streaming import linkage, sinks, webhook
+from edgeloom.streaming.tables import LiveTable
 from test_linkage import rows
 from test_operators import BODY, SIG, T0, at
 
 ONCE = {"availableNow": True}
 
 
-def test_intake_survives_restarts_and_drops_repeats(spark, tmp_path):
-    """Three runs from one checkpoint: nothing is processed twice, a repeat in a later run is dropped."""
+def stream(spark, path, schema, files=1):
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(path)
+
+
+def test_an_event_id_is_handled_once_and_for_good(spark, tmp_path):
+    """Runs from one checkpoint: a repeat after any time is refused, also after a restart; batch and stream give equal rows."""
     landed, hasher = str(tmp_path / "landed"), KeyedHash(spark, b"whsec_test123")
+    rules = webhook.DeliveryRules(max_skew=10**9)
     good, bad = f"t={T0},v1={SIG}", f"t={T0},v1=00"
+    seen = []
 
     def land(*deliveries):
         spark.createDataFrame(list(deliveries), schemas.DELIVERY).coalesce(1).write.mode("append").parquet(landed)
 
     def run():
-        stream = spark.readStream.schema(schemas.DELIVERY).option("maxFilesPerTrigger", 1).parquet(landed)
-        for query in webhook.start_intake(stream, hasher, webhook.DeliveryRules(), str(tmp_path / "cp"), sinks.BatchTables(str(tmp_path / "events")), sinks.BatchTables(str(tmp_path / "rejects"))):
-            query.awaitTermination()
-        events = spark.read.parquet(str(tmp_path / "events")).select("event_id", "route")
-        return sorted(map(tuple, events.collect())), spark.read.parquet(str(tmp_path / "rejects")).count()
+        intake = webhook.DeliveryIntake(str(tmp_path / "out"), hasher, rules, lambda events, number: seen.append((number, events.count())), shards=4, fan=2)
+        sinks.start(stream(spark, landed, schemas.DELIVERY), intake, str(tmp_path / "cp"), ONCE).awaitTermination()
+        return sorted((r.delivery_id, r.outcome) for r in intake.deliveries(spark).collect()), intake.rejects(spark).count(), intake
 
     land((1, BODY, good, "x", at(T0)), (2, BODY, bad, "x", at(T0)))
-    assert run() == ([("evt_test", "invoice")], 1)
-    assert run() == ([("evt_test", "invoice")], 1)
-    land((3, BODY, good, "x", at(T0 + 60)), (4, BODY, bad, "x", at(T0 + 61)))
-    assert run() == ([("evt_test", "invoice")], 2)
-
-
-def test_a_nonce_is_spent_for_good_and_before_its_signature_is_checked(spark, tmp_path):
-    """Several micro-batches with a restart in between: batch and stream agree on every message."""
+    assert run()[:2] == run()[:2] == ([(1, "accepted"), (2, "rejected")], 1)
+    for i in range(3, 8):  # months later, and one that is older than all before it
+        land((i, BODY, good, "x", at(T0 + 9_000_000 * (i - 4))))
+    outcomes, refused, intake = run()
+    assert (outcomes[2:], refused, seen) == ([(i, "duplicate") for i in range(3, 8)], 1, [(0, 1), *((i, 0) for i in range(1, 6))])
+    batch = classified(spark.read.schema(schemas.DELIVERY).parquet(landed).where("delivery_id <> 3"), hasher, rules)
+    assert sorted((r.delivery_id, r.outcome) for r in batch.collect()) == [o for o in outcomes if o[0] != 3]
+    last = spark.read.schema(schemas.DELIVERY).parquet(landed).where("delivery_id = 7")
+    intake(last, 5)  # a replay replaces what its first try wrote
+    assert sorted((r.delivery_id, r.outcome) for r in intake.deliveries(spark).collect()) == outcomes
+
+
+def test_messages_of_a_stream_are_judged_as_in_batch(spark, tmp_path):
+    """Several micro-batches with a restart in between: a nonce is spent for its time, and before its signature is checked."""
     hasher, landed = KeyedHash(spark, b"key-of-the-test"), str(tmp_path / "landed")
     schema = "message_id long, nonce string, ts long, body string, signature string, received_at timestamp"
 
@@ -49,44 +61,101 @@ def test_a_nonce_is_spent_for_good_and_before_its_signature_is_checked(spark, tm
         right = mac_base64(F.concat_ws("|", F.col("ts").cast("string"), "nonce", "body"))
         return hasher.with_columns(row, {"signature": right if sign else F.lit("AAAA")})
 
-    def land(*messages):
-        for m in messages:
-            m.coalesce(1).write.mode("append").parquet(landed)
-
-    def stood():
-        stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(landed)
-        sinks.start(stream, webhook.MessageIntake(str(tmp_path / "out"), hasher, 300), str(tmp_path / "cp"), ONCE).awaitTermination()
-        return sorted(r.message_id for r in spark.read.parquet(str(tmp_path / "out/messages")).collect())
-
-    land(message(1, "a", sign=False), message(2, "b"))
-    assert stood() == [2]
-    land(message(3, "a"), message(4, "b"), message(5, "c", wait=90_000), message(6, "a", wait=90_000), message(7, "d"))
-    assert stood() == stood() == [2, 5, 7]
-    batch = verified_messages(spark.read.schema(schema).parquet(landed).where("message_id < 6"), hasher, ttl=10**9)
-    assert sorted(r.message_id for r in batch.where("reason is null").collect()) == [2, 5]
-
-
-def test_streamed_links_equal_batch_links(spark, stage, tmp_path):
-    """Usage and invoices arrive over several micro-batches; the touched keys are combined again each time."""
-    hasher, recipe = KeyedHash(spark, fx.MATCHER_SALT), Recipe()
-    inputs = fx.matcher_inputs(spark)
-    for name, df in (("usages", inputs.usages.orderBy("at")), ("invs", inputs.invs)):
-        for i, row in enumerate(df.collect()):
-            spark.createDataFrame([row], df.schema).coalesce(1).write.mode("append").parquet(str(tmp_path / name))
-    read = lambda name, schema: spark.readStream.schema(schema).option("maxFilesPerTrigger", 2).parquet(str(tmp_path / name))
-    usages, invs = read("usages", schemas.USAGE), read("invs", schemas.INVOICE_LITE)
-    evidence = linkage.exact_evidence(usages, invs, ExactMatcher(), schemas.USER_INVOICE, 10**6, "1 day").unionByName(
-        linkage.temporal_evidence(usages, invs, TemporalMatcher(3600), schemas.USER_INVOICE, "1 day"))
+    def judged(ttl=3600):
+        intake = webhook.MessageIntake(str(tmp_path / "out"), hasher, 300, ttl, shards=4, fan=2)
+        sinks.start(stream(spark, landed, schema), intake, str(tmp_path / "cp"), ONCE).awaitTermination()
+        return {r.message_id: r.reason for r in intake.messages(spark).collect()}
+
+    for m in (message(1, "a", sign=False), message(2, "b")):
+        m.coalesce(1).write.mode("append").parquet(landed)
+    assert judged() == {1: "signature_mismatch", 2: None}
+    for m in (message(3, "a", wait=5), message(4, "b", wait=3600), message(5, "c", wait=3601), message(6, "b", wait=3601), message(7, "b", wait=7000), message(8, "a", wait=9000)):
+        m.coalesce(1).write.mode("append").parquet(landed)
+    found = judged()
+    batch = verified_messages(spark.read.schema(schema).parquet(landed), hasher)
+    assert found == judged() == {r.message_id: r.reason for r in batch.collect()}
+    assert found == {1: "signature_mismatch", 2: None, 3: "replayed", 4: "replayed", 5: None, 6: None, 7: "replayed", 8: None}
+
+
+def test_events_meet_the_newest_version_of_their_object(spark, tmp_path):
+    versions = [("in_1", 1, "open"), ("in_2", 1, "open")]
+    target = webhook.CanonicalObjects(str(tmp_path / "out"), lambda: spark.createDataFrame(versions, "id string, version long, status string"))
+    events = spark.createDataFrame([("e1", "in_1"), ("e2", "in_9")], "event_id string, object_id string")
+    target(events, 0)
+    versions.append(("in_1", 2, "paid"))
+    target(events, 1)
+    found = {(r.micro_batch, r.event_id): r.status for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    assert found == {(0, "e1"): "open", (0, "e2"): None, (1, "e1"): "paid", (1, "e2"): None}
+
+
+def test_live_table_reads_what_its_keys_need(spark, tmp_path):
+    """Twenty batches, each of one key: folders stay few, and what a batch reads does not grow with the history of other keys."""
+    total = lambda rows: rows.groupBy("k").agg(F.sum("n").alias("n"))
+    table = LiveTable(str(tmp_path / "t"), "k STRING, n BIGINT", "k", total, shards=16, fan=3)
+    opened = []
+    for batch in range(20):
+        rows = spark.createDataFrame([(f"key{batch}", 1)] * 50 + [("often", 1)], "k STRING, n BIGINT")
+        table.put(rows, batch)
+        table.put(rows, batch)  # replayed
+        found = table.read(spark, batch, rows.where("k <> 'often'"))
+        plan = found._jdf.queryExecution().executedPlan()
+        assert [tuple(r) for r in found.collect()] == [(f"key{batch}", 50)]
+        opened.append(plan.toString().count("PartitionFilters: [isnotnull(shard") or plan.toString().count("(shard"))
+        assert len(list((tmp_path / "t").glob("span=*"))) <= 12
+    assert all(opened)
+    assert {r.k: r.n for r in table.read(spark).collect()} == {"often": 20, **{f"key{b}": 50 for b in range(20)}}
+    shards = lambda batch: sum(f.stat().st_size for f in (tmp_path / "t").glob(f"span=*/shard={batch}/*.parquet"))
+    assert max(map(shards, range(16))) < 0.6 * sum(map(shards, range(16)))
+
+
+def far_apart(spark):
+    """Usage and billing rows up to a year apart: owners, users of a named SKU near in time, and others."""
+    day, users = 86_400, [f"syn_cust_{i:016x}" for i in range(6)]
+    usages = [(users[i % 6], "api", f"syn_price_{i % 4:016x}", T0 + day * (37 * i % 365)) for i in range(40)]
+    usages += [(users[1], "api", "syn_price_" + "0" * 15 + "2", T0 + 600), (users[2], "api", "syn_price_" + "0" * 15 + "3", T0 + 200 * day)]
+    subs = [(f"syn_sub_{i:016x}", users[(i * 5) % 6], [f"syn_price_{i % 4:016x}"] * (1 + i % 2), [f"syn_prod_{i % 2:016x}"], T0 + day * (83 * i % 365) + 300, "active") for i in range(12)]
+    invs = [(f"syn_inv_{i:016x}", users[(i * 7) % 6], "", 100, "usd", "paid", T0 + day * (111 * i % 365) + 900, True) for i in range(9)]
+    return LinkInputs(*(spark.createDataFrame(r, s) for r, s in ((usages, schemas.USAGE), (subs, schemas.SUBSCRIPTION_LITE), (invs, schemas.INVOICE_LITE))))
+
+
+@pytest.mark.parametrize("recipe", [Recipe(), Recipe(threshold=0.5)], ids=["pruned", "all evidence"])
+def test_live_links_equal_batch_links(spark, stage, tmp_path, recipe):
+    """Rows far apart and out of order over several micro-batches, with a restart: the links are those of one batch run."""
+    hasher, inputs, root = KeyedHash(spark, fx.MATCHER_SALT), far_apart(spark), f"{stage.root}/{uuid.uuid4().hex}"
+    ensemble = Ensemble.default(recipe, hasher)
+    tables = {"usages": inputs.usages, "subs": inputs.subs, "invs": inputs.invs}
+    for run in (0, 1):
+        for name, df in tables.items():
+            part = df.where(F.pmod(F.xxhash64(*df.columns), F.lit(2)) == run)
+            part.repartition(2).write.mode("append").parquet(str(tmp_path / name))
+        read = {name: stream(spark, str(tmp_path / name), df.schema, 1 if run else 2) for name, df in tables.items()}
+        live = linkage.LiveLinks(root, ensemble, shards=3, fan=2)
+        sinks.start(linkage.link_rows(**read), live, f"{root}/cp", ONCE).awaitTermination()
+    batch = ensemble.link(ensemble.view(inputs, stage), stage)
+    assert rows(live.current(spark)) == rows(batch) and {r["kind"] for r in batch.collect()} >= {"user->subscription", "user->invoice", "user->price"}
+
+
+def test_incremental_combine_over_stream_joins(spark, stage, tmp_path):
+    """Evidence of two stream joins; the touched keys are combined again each time, and a replayed batch replaces itself."""
+    hasher, recipe, inputs = KeyedHash(spark, fx.MATCHER_SALT), Recipe(), fx.matcher_inputs(spark)
+    for name, df in (("usages", inputs.usages), ("invs", inputs.invs)):
+        df.repartition(2).write.parquet(str(tmp_path / name))
+    usages, invs = stream(spark, str(tmp_path / "usages"), schemas.USAGE), stream(spark, str(tmp_path / "invs"), schemas.INVOICE_LITE)
+    evidence = linkage.exact_evidence(usages, invs, ExactMatcher(), schemas.USER_INVOICE).unionByName(linkage.temporal_evidence(usages, invs, TemporalMatcher(3600), schemas.USER_INVOICE))
     root = f"{stage.root}/{uuid.uuid4().hex}"
     target = linkage.IncrementalCombine(recipe, hasher, [EXACT, TEMPORAL], f"{root}/evidence", f"{root}/edges", shards=4)
-    sinks.start(evidence, target, f"{root}/cp", ONCE).awaitTermination()
+    batches = []
+
+    def kept(rows, number):
+        batches.append((stage.table(rows, f"batch-{number}"), number))
+        target(batches[-1][0], number)
+
+    sinks.start(evidence, kept, f"{root}/cp", ONCE).awaitTermination()
     view = View.compact(inputs)
     plain = ExactMatcher().invoices(view).unionByName(TemporalMatcher(3600).invoices(view))
     batch = combine(plain, recipe, hasher, stage, Ensemble.default(recipe, hasher).names)
     assert rows(target.current(spark)) == rows(batch) and len(rows(batch)) == 2
-
-    again = stage.table(spark.read.schema(schemas.EVIDENCE).parquet(f"{root}/evidence/batch=0"), "again")
-    target(again, 0)  # a replayed batch replaces itself
+    target(*batches[-1])
     assert rows(target.current(spark)) == rows(batch)
 
 
