@@ -46,20 +46,40 @@ def address_columns(df: DataFrame, remote: str) -> DataFrame:
     return hosted.withColumns({"_v4": ipv4_number(F.col("_host")), "_v6": ipv6_digits(F.col("_host"))}).drop("_host")
 
 
-def in_ranges(cidrs: list[str]) -> Column:
-    """Whether the address of `address_columns` lies in one of the ranges. No range allows every address;
-    malformed ranges are passed over; an address that cannot be read is in none."""
-    if not cidrs:
-        return F.lit(True)
-    inside = F.lit(False)
+def _disjoint(cidrs: list[str], version: int) -> list[tuple[int, int]]:
+    """The ranges of one address version, in order, with those that overlap or touch made one; malformed ones are passed over."""
+    spans = []
     for cidr in cidrs:
         try:
             net = ipaddress.ip_network(cidr, strict=False) if "/" in cidr else None
         except ValueError:
-            net = None
-        if net is None:
             continue
-        low, high = int(net.network_address), int(net.broadcast_address)
-        test = F.col("_v4").between(low, high) if net.version == 4 else F.col("_v6").between(f"{low:032x}", f"{high:032x}")
-        inside = inside | F.coalesce(test, F.lit(False))
-    return inside
+        if net is not None and net.version == version:
+            spans.append((int(net.network_address), int(net.broadcast_address)))
+    merged: list[tuple[int, int]] = []
+    for low, high in sorted(spans):
+        if merged and low <= merged[-1][1] + 1:
+            merged[-1] = (merged[-1][0], max(high, merged[-1][1]))
+        else:
+            merged.append((low, high))
+    return merged
+
+
+def _in_spans(digits: Column, spans: list[tuple[int, int]], width: int) -> Column:
+    """Whether hex digits lie in one of the ordered spans, by binary search. The bounds are one folded literal each, so the plan is
+    as small for many spans as for one."""
+    if not spans:
+        return F.lit(False)
+    lows, highs = (F.split(F.lit(",".join(f"{s[side]:0{width}x}" for s in spans)), ",") for side in (0, 1))
+    steps = F.array(*[F.lit(1 << k) for k in reversed(range(len(spans).bit_length()))])
+    last = F.aggregate(steps, F.lit(-1), lambda at, step: F.when(F.get(lows, at + step) <= digits, at + step).otherwise(at))
+    return F.coalesce(digits <= F.get(highs, last), F.lit(False))
+
+
+def in_ranges(cidrs: list[str]) -> Column:
+    """Whether the address of `address_columns` lies in one of the ranges, which may be many. No range allows every address;
+    malformed ranges are passed over; an address that cannot be read is in none."""
+    if not cidrs:
+        return F.lit(True)
+    v4 = F.lower(F.lpad(F.hex("_v4"), 8, "0"))
+    return _in_spans(v4, _disjoint(cidrs, 4), 8) | _in_spans(F.col("_v6"), _disjoint(cidrs, 6), 32)

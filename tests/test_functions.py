@@ -1,5 +1,7 @@
 import hashlib
 import hmac
+import ipaddress
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -128,3 +130,16 @@ def test_address_ranges(spark):
     wrong = [tuple(r) for r in df.select("a", "want", net.in_ranges(ranges).alias("got")).collect() if r.want != r.got]
     assert wrong == []
     assert df.where(net.in_ranges([])).count() == len(ADDRESSES)
+
+
+def test_long_allow_lists_agree_with_brute_force(spark):
+    """Ten thousand ranges, nested and touching ones among them, in one small plan."""
+    rng = random.Random(9)
+    nets = [ipaddress.ip_network((rng.getrandbits(32), rng.choice([12, 20, 24, 30, 32])), strict=False) for _ in range(6_000)]
+    nets += [ipaddress.ip_network(((0x2001 << 112) | rng.getrandbits(90), rng.choice([48, 64, 96, 128])), strict=False) for _ in range(4_000)]
+    near = [ipaddress.ip_address(int(n[side]) + off) for n in rng.sample(nets, 150) for side in (0, -1) for off in (-1, 0, 1) if 0 < int(n[side]) + off < 1 << n.max_prefixlen - 1]
+    far = [ipaddress.ip_address(rng.getrandbits(32)) for _ in range(200)]
+    asked = [(str(a), any(a in n for n in nets if n.version == a.version)) for a in near + far]
+    df = net.address_columns(spark.createDataFrame(asked, "a string, want boolean"), "a").select("a", "want", net.in_ranges([str(n) for n in nets]).alias("got"))
+    assert [tuple(r) for r in df.collect() if r.want != r.got] == []
+    assert {r.got for r in df.collect()} == {True, False}
