@@ -8,8 +8,11 @@ from pyspark.sql import functions as F
 from ..operators import audit
 from ..operators import quarantine as qr
 from ..operators import retention as rt
-from ..operators.validate import split, usage_reason
+from ..operators import sanitize as sz
+from ..operators.matchers import LinkInputs
+from ..operators.validate import checked_inputs, split, usage_reason
 from ..plans.billing_export import billing_stream
+from ..session import Stage
 from ..sinks.export import edge_records, numbered
 from ..sources import testevents as te
 from ..sources import testviews as tv
@@ -149,6 +152,32 @@ def quarantined_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy(F.get_json_object("original_event", "$.user").alias("original_user"), "stream", "reason").agg(F.sum("attempt_count").alias("attempts"))
 
 
+@catalog.add("quarantine_of_a_run", with_views(
+    """SELECT source, stream, reason, error_message, count(*) AS entries FROM (
+    SELECT 'sanitize' AS source, 'billing' AS stream, CASE WHEN total % 17 = 0 THEN 'empty_id' WHEN total % 19 = 0 THEN 'empty_customer' END AS reason, 'invoices' AS error_message FROM raw_invoices
+    UNION ALL SELECT 'sanitize', 'billing', CASE WHEN created_at % 17 = 0 THEN 'empty_id' WHEN created_at % 19 = 0 THEN 'empty_customer' END, 'headers' FROM raw_headers
+    UNION ALL SELECT 'sanitize', 'usage', CASE WHEN "at" % 13 = 0 THEN 'empty_user' END, 'usage' FROM raw_usage
+    UNION ALL SELECT 'checks', 'usage', CASE WHEN "at" % 13 <> 0 AND "at" % 11 = 0 THEN 'user_not_synthetic' END, 'usages' FROM raw_usage)
+    WHERE reason IS NOT NULL GROUP BY ALL""", "raw_invoices", "raw_headers", "raw_usage"))
+def quarantine_of_a_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spoiled raw tables through the sanitisers and the checks of a linking run: all that was refused, read back from one table."""
+    hasher, kept = test_hasher(spark), qr.Quarantine(f"{Stage(spark).root}/quarantine")
+    unless = lambda column, by, every: F.when(F.col(by) % every != 0, F.col(column))
+    invoices = tv.raw_invoices(spark, sf_dir).withColumns({"id": unless("id", "total", 17), "customer": unless("customer", "total", 19)})
+    headers = tv.raw_headers(spark, sf_dir).withColumns({"id": unless("id", "created_at", 17), "customer": unless("customer", "created_at", 19)})
+    usage = tv.raw_usage(spark, sf_dir).withColumn("user", unless("user", "at", 13))
+    refused = qr.rejected_rows(invoices, sz.INVOICES, F.timestamp_seconds("created"))
+    for raw, relation, at in ((headers, sz.HEADERS, "created_at"), (usage, sz.USAGE, "at")):
+        refused = refused.unionByName(qr.rejected_rows(raw, relation, F.timestamp_seconds(at)))
+    kept.put(refused, "sanitize", 0)
+    usages = sz.sanitize_usage(usage, hasher).withColumn("user", F.when(F.col("at") % 11 == 0, F.concat(F.lit("cus_"), "user")).otherwise(F.col("user")))
+    subs, invs = sz.sanitize_subscription_headers(headers, hasher), sz.invoice_lite(sz.sanitize_invoices(invoices, hasher))
+    items = sz.sanitize_items(headers.select("id", "customer", "created_at"), tv.raw_lines(spark, sf_dir), hasher)
+    _, rejects = checked_inputs(LinkInputs(usages, subs, invs, items))
+    kept.put(qr.invalid_inputs(rejects, F.lit(0).cast("timestamp")), "checks", 0)
+    return kept.entries(spark).groupBy("source", "stream", "reason", "error_message").agg(F.sum("attempt_count").alias("entries"))
+
+
 # ---------------------------------------------------------------- exports
 
 

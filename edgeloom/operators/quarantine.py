@@ -2,26 +2,67 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..schemas import STREAM_DLQ
+from ..schemas import QUARANTINE, STREAM_BILLING, STREAM_DLQ, STREAM_USAGE
+from . import sanitize as sz
 
 COLUMNS = [
     "original_event", "stream", "reason", "error_message", "first_attempt_at", "last_attempt_at", "attempt_count", "http_status_code",
 ]
 
 
-def quarantined(rejects: DataFrame, event: Column, stream: Column, reason: Column, at: Column, message: Column | None = None, http_status: Column | None = None) -> DataFrame:
+def quarantined(rejects: DataFrame, event: Column, stream: Column, reason: Column, at: Column, message: Column | None = None, http_status: Column | None = None, attempts: Column | None = None) -> DataFrame:
     """Quarantine rows of ``rejects``. Rows that come from the quarantine itself are not accepted again."""
     out = rejects.select(
         event.alias("original_event"), stream.alias("stream"), reason.alias("reason"),
         (message if message is not None else F.lit("")).alias("error_message"), at.alias("first_attempt_at"), at.alias("last_attempt_at"),
-        F.lit(1).alias("attempt_count"), (http_status if http_status is not None else F.lit(None)).cast("int").alias("http_status_code"),
+        (attempts if attempts is not None else F.lit(1)).cast("int").alias("attempt_count"), (http_status if http_status is not None else F.lit(None)).cast("int").alias("http_status_code"),
     )
     return out.where(F.col("stream") != STREAM_DLQ)
 
 
+# The fields of a raw row that its quarantine row keeps: what is needed to find it again, and nothing personal.
+KEPT = {
+    sz.SUBSCRIPTIONS: ("id", "customer.id", "status", "created"), sz.INVOICES: ("id", "customer.id", "total", "status", "created"),
+    sz.HEADERS: ("id", "customer", "status", "created_at"), sz.LINES: ("id", "price", "product"), sz.USAGE: ("user", "feature", "sku", "at"),
+}
+
+
+def rejected_rows(raw: DataFrame, relation: str, at: Column) -> DataFrame:
+    """What a sanitiser refuses of ``raw``, as quarantine rows."""
+    _, rejected = sz.split_raw(raw, relation)
+    event = F.to_json(F.struct(*[F.col(c).alias(c.replace(".", "_")) for c in KEPT[relation]]))
+    return quarantined(rejected, event, F.lit(STREAM_USAGE if relation == sz.USAGE else STREAM_BILLING), F.col("reason"), at, F.lit(relation))
+
+
+def invalid_inputs(rejects: DataFrame, at: Column) -> DataFrame:
+    """Rejects of a linking run (relation, reason, row), as quarantine rows."""
+    stream = F.when(F.col("relation") == "usages", STREAM_USAGE).otherwise(STREAM_BILLING)
+    return quarantined(rejects, F.col("row"), stream, F.col("reason"), at, F.col("relation"))
+
+
+def failed_batches(outcome: DataFrame, at: Column) -> DataFrame:
+    """Batches that no attempt of the HTTP sink delivered, each as one entry with its status and all its attempts."""
+    failed = outcome.where(~F.col("delivered"))
+    return quarantined(failed, F.col("line"), F.col("stream"), F.lit("http_error"), at, F.col("error_message"), F.col("http_status_code"), F.col("attempts"))
+
+
+class Quarantine:
+    """One table for everything that was refused: by sanitisers, checks, the intake and the sinks. Each source of a run, or of a
+    micro-batch, writes a folder of its own, so that a repetition replaces it."""
+
+    def __init__(self, path: str):
+        self.path = path.rstrip("/")
+
+    def put(self, rows: DataFrame, source: str, run: str | int) -> None:
+        rows.select(*COLUMNS).write.mode("overwrite").parquet(f"{self.path}/source={source}/run={run}")
+
+    def entries(self, spark: SparkSession) -> DataFrame:
+        return spark.read.schema(f"{QUARANTINE}, source STRING, run STRING").parquet(self.path)
+
+
 def merged_attempts(entries: DataFrame) -> DataFrame:
     """One row per event and stream: attempts add up, the last attempt's reason and error stand."""
     last = F.struct("last_attempt_at", "reason", "error_message", "http_status_code")

@@ -17,14 +17,37 @@ def _text(value: Column) -> Column:
     return F.coalesce(value, F.lit(""))
 
 
-def reject_reason() -> Column:
-    """Why a raw object cannot be sanitised; null if it can."""
-    return F.when(_text(F.col("id")) == "", "empty_id").when(_text(F.col("customer.id")) == "", "empty_customer")
+def _first_reason(*checks: tuple[Column, str]) -> Column:
+    out = F.lit(None).cast("string")
+    for bad, reason in reversed(checks):
+        out = F.when(bad, reason).otherwise(out)
+    return out
+
+
+def _empty(value: Column) -> Column:
+    return _text(value) == ""
+
+
+#: Why a raw row of a relation cannot be sanitised, null if it can: nested objects, flat subscriptions and their lines, usage.
+SUBSCRIPTIONS, INVOICES, HEADERS, LINES, USAGE = "subscriptions", "invoices", "headers", "lines", "usage"
 
 
-def split_raw(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(usable raw objects, rejected ones with a reason)."""
-    checked = raw.withColumn("reason", reject_reason())
+def reject_reason(relation: str = SUBSCRIPTIONS) -> Column:
+    col = F.col
+    if relation in (SUBSCRIPTIONS, INVOICES):
+        return _first_reason((_empty(col("id")), "empty_id"), (_empty(col("customer.id")), "empty_customer"))
+    if relation == HEADERS:
+        return _first_reason((_empty(col("id")), "empty_id"), (_empty(col("customer")), "empty_customer"))
+    if relation == LINES:
+        return _first_reason((_empty(col("id")), "empty_id"), (_empty(col("price")) & _empty(col("product")), "no_item"))
+    if relation == USAGE:
+        return _first_reason((_empty(col("user")), "empty_user"), (col("at").isNull(), "missing_time"))
+    raise ValueError(f"unknown relation {relation!r}")
+
+
+def split_raw(raw: DataFrame, relation: str = SUBSCRIPTIONS) -> tuple[DataFrame, DataFrame]:
+    """(usable raw rows, rejected ones with a reason). Every sanitiser takes the first; `quarantine.rejected_rows` stores the second."""
+    checked = raw.withColumn("reason", reject_reason(relation))
     return checked.where(F.col("reason").isNull()).drop("reason"), checked.where(F.col("reason").isNotNull())
 
 
@@ -89,7 +112,8 @@ def invoice_lite(invs: DataFrame) -> DataFrame:
 
 def sanitize_usage(raw: DataFrame, hasher: KeyedHash, mode: str = STRICT) -> DataFrame:
     """Usage rows keyed by raw customer and price ids."""
-    return hasher.attach(raw).select(
+    usable, _ = split_raw(raw, USAGE)
+    return hasher.attach(usable).select(
         map_id(F.col("user"), "customer", mode).alias("user"), "feature", _text(map_id(F.col("sku"), "price", mode)).alias("sku"), "at"
     )
 
@@ -100,6 +124,7 @@ def sanitize_items(headers: DataFrame, lines: DataFrame, hasher: KeyedHash, mode
     The flat form keeps a subscription with any number of items from becoming one huge row. Each
     subscription's own ids are hashed once, before the join with its lines.
     """
+    (headers, _), (lines, _) = split_raw(headers, HEADERS), split_raw(lines, LINES)
     head = hasher.detach(hasher.attach(headers).select(
         "id", map_id(F.col("id"), "subscription", mode).alias("sub_id"), map_id(F.col("customer"), "customer", mode).alias("customer"), "created_at"
     ))
@@ -110,6 +135,7 @@ def sanitize_items(headers: DataFrame, lines: DataFrame, hasher: KeyedHash, mode
 
 def sanitize_subscription_headers(raw: DataFrame, hasher: KeyedHash, mode: str = STRICT) -> DataFrame:
     """Flat subscriptions (id, customer, created_at, status) without their items."""
-    return hasher.attach(raw).select(
+    usable, _ = split_raw(raw, HEADERS)
+    return hasher.attach(usable).select(
         map_id(F.col("id"), "subscription", mode).alias("id"), map_id(F.col("customer"), "customer", mode).alias("customer"), "created_at", "status"
     )

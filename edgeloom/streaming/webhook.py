@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.keyed_hash import KeyedHash
 from ..operators.deliveries import ACCEPTED, DeliveryRules, canonical, checked, first_per_key, message_error, outcome, outside_skew, spending
-from ..operators.quarantine import quarantined
+from ..operators.quarantine import Quarantine, quarantined
 from ..session import Stage
 from .tables import FAN, SHARDS, LiveTable
 
@@ -29,12 +29,13 @@ class DeliveryIntake:
     """A micro-batch sink for webhook deliveries.
 
     Each delivery is checked once and stored with its ``outcome`` (rejected, duplicate, ignored or accepted) under ``deliveries``;
-    refused ones also as quarantine rows under ``rejects``. The ids of handled events are kept for good, by hash of the id; a
+    refused ones also as quarantine rows in ``quarantine``. The ids of handled events are kept for good, by hash of the id; a
     batch looks its own ids up there. ``on_events`` receives the accepted deliveries of the batch, stored, and its number.
     """
 
     def __init__(self, root: str, hasher: KeyedHash, rules: DeliveryRules, on_events: Callable[[DataFrame, int], None] | None = None, shards: int = SHARDS, fan: int = FAN):
         self.root, self.hasher, self.rules, self.on_events = root.rstrip("/"), hasher, rules, on_events
+        self.quarantine = Quarantine(f"{self.root}/quarantine")
         self.handled = LiveTable(f"{self.root}/handled", "event_id STRING", "event_id", DataFrame.distinct, shards, fan)
 
     def __call__(self, batch: DataFrame, number: int) -> None:
@@ -50,7 +51,7 @@ class DeliveryIntake:
             marked = rows.join(fresh.select("delivery_id", F.lit(True).alias("_first")), "delivery_id", "left")
             folder = f"{self.root}/deliveries/micro_batch={number}"
             marked.withColumn("outcome", outcome(F.col("_first"))).drop("_first").write.mode("overwrite").parquet(folder)
-            rejects(rows).write.mode("overwrite").parquet(f"{self.root}/rejects/micro_batch={number}")
+            self.quarantine.put(rejects(rows), "intake", number)
             if self.on_events:
                 self.on_events(spark.read.parquet(folder).where(F.col("outcome") == ACCEPTED), number)
         finally:
@@ -60,7 +61,7 @@ class DeliveryIntake:
         return spark.read.parquet(f"{self.root}/deliveries").drop("micro_batch")
 
     def rejects(self, spark: SparkSession) -> DataFrame:
-        return spark.read.parquet(f"{self.root}/rejects").drop("micro_batch")
+        return self.quarantine.entries(spark)
 
 
 class CanonicalObjects:

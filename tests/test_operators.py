@@ -176,6 +176,12 @@ def test_only_one_json_object_with_text_ids_is_sound(spark):
     assert got[sound[1]].id == "a"
 
 
+def test_types_count_at_the_top_level_only(spark):
+    bodies = ['{"data":{"object":{"id":7}},"id":"evt_1","type":"x"}', '{"id":"evt_1","type":"x","data":{"type":3}}', '{"ID":"evt_1","type":null}', "{}", '{"id":7,"type":"x"}', '{"a":{"id":"x"},"id":[1],"type":"x"}', '{"id":"a","Type":{}}']
+    found = spark.createDataFrame([(i, b) for i, b in enumerate(bodies)], "i int, body string").select("i", dl.wrong_types(F.col("body")).alias("bad")).orderBy("i")
+    assert [r.bad for r in found.collect()] == [False, False, False, False, True, True, True]
+
+
 def test_delivery_metadata_and_ranges(spark):
     rules = dl.DeliveryRules(allowed_ranges=("192.168.1.0/24", "10.0.0.0/8"))
     data = [(1, BODY, f"t={T0},v1={SIG}", "192.168.1.100:12345", at(T0)), (2, BODY, f"t={T0},v1={SIG}", "172.16.0.1:12345", at(T0))]
@@ -239,6 +245,33 @@ def test_quarantine(spark):
     assert [r.original_event for r in quarantine.listed(entries, 1).collect()] == ["a"]
 
 
+def test_every_sanitiser_parts_what_it_cannot_use(spark):
+    hasher = KeyedHash(spark, b"salt-of-this-test")
+    usage = spark.createDataFrame([("cus_1", "f", "price_1", 5), ("", "f", "price_1", 5), (None, "f", None, 5), ("cus_2", "f", None, None)], schemas.USAGE)
+    assert sz.sanitize_usage(usage, hasher).count() == 1
+    refused = quarantine.rejected_rows(usage, sz.USAGE, F.lit(T0).cast("timestamp"))
+    assert sorted(r.reason for r in refused.collect()) == ["empty_user", "empty_user", "missing_time"] and refused.columns == quarantine.COLUMNS
+    headers = spark.createDataFrame([("sub_1", "cus_1", 5, "active"), ("", "cus_1", 5, "active"), ("sub_3", None, 5, "active")], "id string, customer string, created_at long, status string")
+    lines = spark.createDataFrame([("sub_1", "price_1", None), ("sub_1", None, ""), (None, "price_1", "prod_1"), ("sub_3", "price_1", "prod_1")], "id string, price string, product string")
+    assert sz.sanitize_subscription_headers(headers, hasher).count() == 1
+    assert [r.item_kind for r in sz.sanitize_items(headers, lines, hasher).collect()] == ["price"]
+    by_reason = lambda df, relation: sorted(r.reason for r in sz.split_raw(df, relation)[1].collect())
+    assert by_reason(headers, sz.HEADERS) == ["empty_customer", "empty_id"] and by_reason(lines, sz.LINES) == ["empty_id", "no_item"]
+
+
+def test_exhausted_batches_are_quarantined_with_their_status(spark, stage, tmp_path):
+    log = str(tmp_path / "calls")
+    open(log, "w").close()
+    settings = ex.ExportSettings("http", base_url="https://x", routes={"edges": "/e"}, batch_size=2, retry=RetryPolicy(max_attempts=3))
+    records = spark.range(10).coalesce(1).select(F.col("id").alias("offset"), F.concat(F.lit('{"id":'), "id", F.lit("}")).alias("payload"))
+    done = ex.export(records, "edges", settings, Privacy(b"s"), stage, "run", endpoint(log), wait=lambda seconds: None)
+    kept = quarantine.Quarantine(str(tmp_path / "quarantine"))
+    for _ in range(2):  # a repetition replaces itself
+        kept.put(quarantine.failed_batches(done.failed, F.lit(T0).cast("timestamp")), "http", "run")
+    found = {json.loads(r.original_event)[0]["id"]: (r.http_status_code, r.attempt_count, r.source) for r in kept.entries(spark).collect()}
+    assert found == {4: (422, 1, "http"), 6: (0, 3, "http"), 8: (500, 3, "http")}
+
+
 def test_fleet(spark):
     base = {"organization_id": "o", "version": "1", "uptime_seconds": 1, "mode": "m", "queue_depth": 1, "dlq_size": 0, "dropped_count": 0, "retry_count": 0, "last_flush_ts": 0}
     rows = [dict(base, agent_id="a", ts=t, queue_depth=d, dropped_count=c) for t, d, c in ((600, 20000, 1), (700, 10001, 2), (1200, 5, 2), (90000, 5, 2))]
