@@ -32,7 +32,7 @@ from .common import slices, table
 SPACE = "▁"
 NORMAL, UNKNOWN, CONTROL, BYTE = 1, 2, 3, 6
 #: Bytes in a generation of a worker's memo of segments; two are held.
-MEMO_BYTES = 24 << 20
+MEMO_BYTES = 56 << 20
 #: What an entry of the memo takes besides the bytes of its key and value.
 ENTRY_BYTES = 200
 #: Segments up to this length are merged by plain search, longer ones with a queue.
@@ -241,13 +241,10 @@ class PieceCodec:
                 found += (self.model.unknown, len(raw))
         return np.array(found, "<u4").tobytes()
 
-    def _segment(self, segment: str) -> bytes:
-        return self.memo[segment] if len(segment) <= SHORT else self._encode_segment(segment)
-
     def encode(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Ids with begin and end ids around them; for each, its byte span in the original text."""
         normal, starts = self.normalise(text)
-        pairs = np.frombuffer(b"".join(map(self._segment, self.segments.findall(normal.decode()))), "<u4").reshape(-1, 2)
+        pairs = np.frombuffer(b"".join(map(self.memo.__getitem__, self.segments.findall(normal.decode()))), "<u4").reshape(-1, 2)
         ids, bounds = pairs[:, 0], np.concatenate(([0], np.cumsum(pairs[:, 1], dtype=np.int64)))
         first, last = bounds[:-1], bounds[1:]
         if not self.model.byte_fallback and len(ids):  # a run of unknown pieces is one
@@ -275,12 +272,14 @@ class PieceCodec:
 
 
 class _Memo(dict):
-    """Values by key, up to ``MEMO_BYTES``. When full, it becomes the older generation, from which keys that are met again are taken over."""
+    """Values by key, those of short keys kept up to ``MEMO_BYTES``. When full, it becomes the older generation, from which keys that are met again are taken over."""
 
     def __init__(self, make):
         self.make, self.older, self.held = make, {}, 0
 
     def __missing__(self, key: str) -> bytes:
+        if len(key) > SHORT:
+            return self.make(key)
         if self.held >= MEMO_BYTES:
             self.older = dict(self)
             self.clear()
