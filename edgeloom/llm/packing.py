@@ -18,6 +18,7 @@ table gives no rows. Lengths are at least 1 and at most ``capacity``; others rai
 
 from __future__ import annotations
 
+import os
 import zlib
 from collections.abc import Iterator
 from functools import reduce
@@ -42,35 +43,105 @@ CHUNK = 65_536
 #: Underfull sequences that meet in a node of the tree.
 NODE = 8_192
 LEAST_GAIN = 0.001
+#: A private character that parts words while they are encoded together.
+MARK = "\ue000"
+#: Marks that are tried as words of their own beside letters.
+MARKS = ',.;:!?()[]"$&#%*=+-/~^@'
+#: Words up to this length are kept in a worker's memo, of up to so many bytes in each of two generations.
+SHORT, MEMO_BYTES, ENTRY_BYTES = 40, 96 << 20, 170
 
 PIECE = "piece int, start long, length long, ids_crc32 long"
 
 
 class WordIds:
-    """Token ids of texts by way of their distinct words."""
+    """Token ids of texts by way of their distinct words.
 
-    def __init__(self, path: str):
-        import os
+    New words are encoded many at a time, with a mark between them; a memo bounded in bytes holds the ids of short words. When it is
+    full it becomes the older generation, from which words that are met again are taken over.
+    """
 
+    def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        probe = [" \t a1'd \n\n b\r\nC,  d ", "a1'd", "b", "C,", "d"]
-        whole, *parts = [e.ids for e in self.tokenizer.encode_batch(probe, add_special_tokens=False)]
-        if whole != [i for part in parts for i in part]:
+        whole, *parts = self._alone([" \t a1'd \n\n b\r\nC,  d ", "a1'd", "b", "C,", "d"])
+        if whole != b"".join(parts):
             raise ValueError("the tokeniser must drop white space")
+        self.mark = np.frombuffer(self._alone([MARK])[0], np.uint32)
+        together = lambda *parts: self._alone(["".join(parts)])[0] == b"".join(self._alone(list(parts)))
+        self.marks = "".join(m for m in MARKS if together("ab", m) and together(m, "ab") and together("ab", m + m))
+        self.lowers = len(set(self._alone(["Abc", "ABC", "abc"]))) == 1
+        self.memo: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+        self.held = 0
+
+    def _alone(self, words: list[str]) -> list[bytes]:
+        return [np.array(e.ids, np.uint32).tobytes() for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+
+    def _together(self, words: list[str]) -> list[bytes]:
+        """Ids of words without the mark, from one text."""
+        ids = np.array(self.tokenizer.encode_batch_fast([f" {MARK} ".join(words)], add_special_tokens=False)[0].ids, np.uint32)
+        n = len(self.mark)
+        found = np.ones(max(0, len(ids) - n + 1), bool)
+        for k, part in enumerate(self.mark):
+            found &= ids[k : k + len(found)] == part
+        at = np.flatnonzero(found)
+        if not n or len(at) != len(words) - 1:  # the mark is no token of its own here
+            return self._alone(words)
+        data = ids.tobytes()
+        return [data[4 * lo : 4 * hi] for lo, hi in zip([0, *(at + n).tolist()], [*at.tolist(), len(ids)])]
+
+    def _parts(self, word: str) -> tuple[str, ...]:
+        """The word, or its letters and the marks around them, whose ids follow one another."""
+        if word.isalpha():
+            return (word.lower(),) if self.lowers and word.isascii() else (word,)
+        stem = word.rstrip(self.marks)
+        bare = stem.lstrip(self.marks)
+        if not bare.isalpha():
+            return (word,)
+        letters = bare.lower() if self.lowers and bare.isascii() else bare
+        return tuple(filter(None, (stem[: len(stem) - len(bare)], letters, word[len(stem) :])))
+
+    def _encoded(self, words: list[str]) -> list[bytes]:
+        memo, older = self.memo, self.older
+        out: list[bytes | None] = [memo.get(w) for w in words]
+        split: list[tuple[int, tuple[str, ...]]] = []
+        parts: dict[str, bytes | None] = {}
+        for i, ids in enumerate(out):
+            if ids is None:
+                word = words[i]
+                own = (word,) if word in older else self._parts(word)
+                split.append((i, own))
+                for part in own:
+                    if part not in parts:
+                        found = memo.get(part)
+                        parts[part] = older.get(part) if found is None else found
+        plain = [p for p, ids in parts.items() if ids is None and MARK not in p]
+        for at in range(0, len(plain), 4096):
+            some = plain[at : at + 4096]
+            parts.update(zip(some, self._together(some)))
+        marked = [p for p, ids in parts.items() if ids is None]
+        parts.update(zip(marked, self._alone(marked)))
+        for i, own in split:
+            out[i] = parts[own[0]] if len(own) == 1 else b"".join([parts[p] for p in own])
+        new = {p: ids for p, ids in parts.items() if len(p) <= SHORT and p not in memo} | {words[i]: out[i] for i, own in split if len(words[i]) <= SHORT}
+        memo.update(new)
+        self.held += ENTRY_BYTES * len(new) + sum(map(len, new.values()))
+        if self.held > MEMO_BYTES:
+            self.memo, self.older, self.held = {}, memo, 0
+        return out
 
     def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids one after another, and how many each text has."""
         words, codes, counts = split_words(texts)
-        encoded = [e.ids for at in range(0, len(words), 4096) for e in self.tokenizer.encode_batch_fast(words[at : at + 4096], add_special_tokens=False)]
-        sizes = np.fromiter(map(len, encoded), np.int64, len(encoded))
-        vocabulary = np.fromiter((i for ids in encoded for i in ids), np.uint32, int(sizes.sum()))
-        starts = np.concatenate(([0], np.cumsum(sizes)))[:-1]
-        per_place = sizes[codes] if len(codes) else np.zeros(0, np.int64)
+        encoded = self._encoded(words)
+        sizes = np.fromiter(map(len, encoded), np.int64, len(encoded)) // 4
+        vocabulary = np.frombuffer(b"".join(encoded), np.uint32)
+        starts = np.cumsum(sizes) - sizes
+        per_place = sizes[codes]
         bounds = np.concatenate(([0], np.cumsum(per_place)))
-        source = np.repeat(starts[codes] - bounds[:-1], per_place) + np.arange(bounds[-1]) if len(codes) else np.zeros(0, np.int64)
+        source = np.repeat(starts[codes] - bounds[:-1], per_place) + np.arange(bounds[-1])
         places = np.concatenate(([0], np.cumsum(counts)))
         return vocabulary[source], np.diff(bounds[places])
 
@@ -94,7 +165,7 @@ def token_pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end: int
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = _word_ids(path)
-        for batch in (part for whole in batches for part in slices(whole)):
+        for batch in (part for whole in batches for part in slices(whole, rows=10_000, size=16 << 20)):
             words, counts = tokens(batch.column("text"))
             ends = np.cumsum(counts)
             ids = np.insert(words, ends, end).astype("<u4")

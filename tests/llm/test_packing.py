@@ -10,7 +10,7 @@ from edgeloom.llm.packing import best_fit, default_tokenizer, op11_best_fit_pack
 
 from .helpers import LONG, corpus
 
-ODD = [None, "", " \n\t ", "don't STOP  we'll go", "<|endoftext|>a <|startoftext|>", "é é ́x", "日本語の文　テスト", "12345 ½ ② a_b--c", "İstanbul ΣΑΣ Σ", "x" * 5000, "👍🏽 naïve​word", "\x85\x1c\x1d end"]
+ODD = [None, "", " \n\t ", "don't STOP  we'll go", "<|endoftext|>a <|startoftext|>", "é é ́x", "日本語の文　テスト", "12345 ½ ② a_b--c", "İstanbul ΣΑΣ Σ", "x" * 5000, "👍🏽 naïve​word", "\x85\x1c\x1d end", "a\ue000b \ue000 c \ue000\ue000", "\u0301 \u0301a e \u0301", "(Abc), \"ÉT\" $$x## don't. 's' a'b; --A- x\u0301. ,\u0301a é\u0301,"]
 
 
 def library_ids(texts):
