@@ -40,7 +40,8 @@ def flat(edges: DataFrame) -> DataFrame:
 
 def _matcher_edges(spark: SparkSession, sf_dir: str, evidence) -> DataFrame:
     hasher = test_hasher(spark)
-    return raw_edges(evidence(View.raw(tv.link_inputs(spark, sf_dir, hasher))), hasher).select(*FLAT_EDGE)
+    view = View.raw(tv.link_inputs(spark, sf_dir, hasher)).stored(Stage(spark))
+    return raw_edges(evidence(view), hasher).select(*FLAT_EDGE)
 
 
 # ---------------------------------------------------------------- raw edges as SQL
@@ -249,7 +250,7 @@ _NEAR = f'invs t JOIN usages u ON u."user" = t.customer AND u."at" BETWEEN t.cre
 def time_proximity_of_own_invoices(spark: SparkSession, sf_dir: str) -> DataFrame:
     data = tv.link_inputs(spark, sf_dir, test_hasher(spark))
     own = data.invs.select(F.col("customer").alias("user"), F.col("id").alias("invoice"), "created_at")
-    pairs = window_join(data.usages.select("user", "at"), own, "at", "created_at", 2 * W, on=["user"], salt_by=["invoice"])
+    pairs = window_join(data.usages.select("user", "at"), own, "at", "created_at", 2 * W, on=["user"])
     diff = F.abs(F.col("at") - F.col("created_at"))
     conf = temporal_confidence(diff, W)
     return pairs.select("user", "invoice", "at", diff.alias("diff"), within(F.col("at"), F.col("created_at"), W).alias("in_window"),

@@ -19,8 +19,9 @@ from ..functions.keyed_hash import KeyedHash, mac
 from ..functions.scoring import temporal_confidence
 from ..recipe import EXACT, SKU, STRICT, TEMPORAL
 from ..schemas import EDGE_SCHEMA_NAME, USER_INVOICE, USER_PRICE, USER_PRODUCT, USER_SUBSCRIPTION
+from ..session import Stage
 from .rangejoin import window_join
-from .skew import HOT_ROWS, hot_keys, skew_join
+from .skew import HOT_ROWS, balanced_join
 
 
 @dataclass(frozen=True)
@@ -59,6 +60,7 @@ class View:
     index: DataFrame
     hot_rows: int = HOT_ROWS
     by_user: DataFrame | None = None
+    stage: Stage | None = None
 
     @classmethod
     def raw(cls, inputs: LinkInputs, hot_rows: int = HOT_ROWS) -> "View":
@@ -80,10 +82,17 @@ class View:
         columns = ("id", "customer", "created_at")
         return inputs.subs.select(*columns), inputs.invs.select(*columns), inputs.index()
 
-    def staged(self, stage) -> "View":
+    def stored(self, stage: Stage) -> "View":
         """Stored once: every matcher reads these tables several times."""
-        names = ("by_sku", "by_time", "subs", "invs", "index")
-        stored = replace(self, **stage.tables({name: getattr(self, name) for name in names}))
+        frames = {name: getattr(self, name) for name in ("by_sku", "by_time", "subs", "invs", "index")}
+        if self.by_time is self.by_sku:
+            del frames["by_time"]
+        kept = stage.tables(frames)
+        return replace(self, **{"by_time": kept["by_sku"]} | kept, stage=stage)
+
+    def staged(self, stage: Stage) -> "View":
+        """Stored, with the list of SKUs per user."""
+        stored = self.stored(stage)
         per_user = stored.by_sku.groupBy("user").agg(
             F.max("at").alias("at"), F.sum("n").alias("n"), F.collect_list(F.struct("sku", "n")).alias("skus")
         )
@@ -97,7 +106,7 @@ class View:
         named = self.hits().groupBy("sku").agg(F.count(F.lit(1)).alias("subs"), F.sum("hits").alias("hits"))
         by_sku = self.by_sku.join(named, ["sku"])
         return self.by_sku.sparkSession.range(1).select(
-            size(self.by_sku).alias("by_sku"), size(self.subs).alias("subs"), size(self.invs).alias("invs"), size(self.index).alias("index"),
+            size(self.by_sku).alias("by_sku"), size(self.by_time).alias("by_time"), size(self.by_sku if self.by_user is None else self.by_user).alias("by_user"), size(self.subs).alias("subs"), size(self.invs).alias("invs"), size(self.index).alias("index"),
             by_sku.agg(F.coalesce(F.sum(F.col("subs").cast("double")), F.lit(0.0))).scalar().alias("sku_pairs"),
             most(by_sku, F.col("n").cast("double") * F.col("hits")).alias("most_item_edges"),
             most(self.by_sku.groupBy("user").agg(F.sum("n").alias("n")), "n").alias("most_user_events"),
@@ -115,9 +124,16 @@ class View:
         both = F.col("price_hits") + F.col("product_hits")
         return self.index.select("sku", "id", "customer", "created_at", both.alias("hits"), (F.col("price_hits") > 0).alias("is_price"))
 
-    def hot(self, table: DataFrame, *on: str, name: str) -> DataFrame | None:
-        """Hot keys of ``table``, a projection of the stored table ``name``."""
-        return hot_keys(table, list(on), self.hot_rows, self.figures[name] if self.by_user is not None else None)
+    def sizes(self, left: str, right: str) -> tuple[int, int] | None:
+        """Rows of two stored tables, where they have been counted."""
+        return (self.figures[left], self.figures[right]) if self.by_user is not None else None
+
+    def join(self, left: DataFrame, right: DataFrame, on: list[str], left_by: list[str], right_by: list[str], sizes: tuple[int, int] | None) -> DataFrame:
+        return balanced_join(left, right, on, left_by, right_by, self.hot_rows, self.stage, sizes)
+
+    def near(self, times: DataFrame, targets: DataFrame, window: int, sizes: tuple[int, int] | None, on: list[str] | None = None) -> DataFrame:
+        """Usage times and (id, created_at) rows at most ``window`` apart."""
+        return window_join(times, targets, "at", "created_at", window, on, ["user", "at"], ["id"], self.hot_rows, self.stage, sizes)
 
 
 class Matcher(Protocol):
@@ -164,11 +180,11 @@ class ExactMatcher:
         """All of a user's SKUs count for each of their targets, so one row per (user, target) carries the list."""
         owned = targets.select(F.col("customer").alias("user"), "id")
         if view.by_user is None:
-            usage = view.by_sku.select("user", "sku", "at", "n")
+            usage, by = view.by_sku.select("user", "sku", "at", "n"), ["sku", "at"]
         else:
             parts = F.transform("skus", lambda s: F.struct(self._detail(s["sku"]).alias("v"), s["n"].alias("n")))
-            usage = view.by_user.select("user", "at", "n", parts.alias("parts"))
-        pairs = skew_join(usage, owned, ["user"], view.hot(owned, "user", name=name), ["id"])
+            usage, by = view.by_user.select("user", "at", "n", parts.alias("parts")), ["at"]
+        pairs = view.join(usage, owned, ["user"], by, ["id"], view.sizes("by_user", name))
         return self.rows(pairs, kind)
 
     def rows(self, pairs: DataFrame, kind: str) -> DataFrame:
@@ -193,7 +209,7 @@ class ExactMatcher:
         is_price = F.col("item_kind") == "price"
         n = F.col("n") * F.col("entries")
         return _rows(
-            view.by_sku.join(entries, ["user", "sku"]), F.col("sku"), _item_kind(is_price), self.name, F.lit(1.0),
+            view.join(view.by_sku, entries, ["user", "sku"], ["at"], ["item_kind"], view.sizes("by_sku", "index")), F.col("sku"), _item_kind(is_price), self.name, F.lit(1.0),
             part(self._detail(F.col("sku")), n), n, _item_note(is_price),
         )
 
@@ -209,20 +225,19 @@ class TemporalMatcher:
         return self.subscriptions(view).unionByName(self.invoices(view))
 
     def subscriptions(self, view: View) -> DataFrame:
-        return self._near(view, view.subs, USER_SUBSCRIPTION)
+        return self._near(view, "subs", USER_SUBSCRIPTION)
 
     def invoices(self, view: View) -> DataFrame:
-        return self._near(view, view.invs, USER_INVOICE)
+        return self._near(view, "invs", USER_INVOICE)
 
-    def _near(self, view: View, targets: DataFrame, kind: str) -> DataFrame:
-        times, targets = view.by_time.select("user", "at", "n"), targets.select("id", "created_at")
-        return self.rows(window_join(times, targets, "at", "created_at", self.window_sec, salt_by=["id"], hot_rows=view.hot_rows), kind)
+    def _near(self, view: View, name: str, kind: str) -> DataFrame:
+        times, targets = view.by_time.select("user", "at", "n"), getattr(view, name).select("id", "created_at")
+        return self.rows(view.near(times, targets, self.window_sec, view.sizes("by_time", name)), kind)
 
     def for_keys(self, view: View, keys: DataFrame, kind: str, rows: int | None = None) -> DataFrame:
         """Evidence of the given (user, id, created_at) keys only: an equality on user as well as on time."""
-        times = view.by_time.select("user", "at", "n")
-        pairs = window_join(times, keys, "at", "created_at", self.window_sec, ["user"], ["id"], view.hot_rows, rows)
-        return self.rows(pairs, kind)
+        sizes = None if rows is None or view.by_user is None else (view.figures["by_time"], rows)
+        return self.rows(view.near(view.by_time.select("user", "at", "n"), keys, self.window_sec, sizes, ["user"]), kind)
 
     def rows(self, pairs: DataFrame, kind: str) -> DataFrame:
         diff = F.abs(F.col("at") - F.col("created_at"))
@@ -247,7 +262,7 @@ class SkuMatcher:
         return F.concat_ws("|", F.lit(self.name), F.col("sku"))
 
     def subscriptions(self, view: View) -> DataFrame:
-        pairs = skew_join(view.by_sku, view.hits(), ["sku"], view.hot(view.index, "sku", name="index"), ["id"])
+        pairs = view.join(view.by_sku, view.hits(), ["sku"], ["user", "at"], ["id"], view.sizes("by_sku", "index"))
         return self.subscription_rows(pairs)
 
     def subscription_rows(self, pairs: DataFrame) -> DataFrame:
@@ -260,7 +275,7 @@ class SkuMatcher:
         totals = view.hits().groupBy("sku", "is_price").agg(F.sum("hits").alias("hits"))
         is_price, n = F.col("is_price"), F.col("n") * F.col("hits")
         return _rows(
-            skew_join(totals, view.by_sku, ["sku"], view.hot(view.by_sku, "sku", name="by_sku"), ["user"]),
+            view.join(view.by_sku, totals, ["sku"], ["user", "at"], ["is_price"], view.sizes("by_sku", "index")),
             F.col("sku"), _item_kind(is_price), self.name, F.lit(0.9),
             part(self._detail(), n), n, _item_note(is_price),
         )

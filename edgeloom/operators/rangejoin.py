@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scoring import within
-from .skew import hot_keys, skew_join
+from ..session import Stage
+from .skew import balanced_join
 
 
 def window_join(
@@ -16,27 +17,38 @@ def window_join(
     right_time: str,
     window: int,
     on: list[str] | None = None,
-    salt_by: list[str] | None = None,
+    left_by: list[str] | None = None,
+    right_by: list[str] | None = None,
     hot_rows: int | None = None,
-    right_rows: int | None = None,
+    stage: Stage | None = None,
+    sizes: tuple[int, int] | None = None,
 ) -> DataFrame:
     """Pairs at most ``window`` apart, optionally also equal on ``on``.
 
-    Time is cut into buckets as wide as the window. Each left row is placed in its own bucket and the
-    two beside it, each right row in one, so a bucket equality replaces the nested loop and every pair
-    meets in exactly one bucket. With ``hot_rows`` set, overfull buckets are salted by ``salt_by``.
+    Time is cut into buckets as wide as the window. Each row of one side is placed in its own bucket and the two beside it, each row of
+    the other in one, so a bucket equality replaces the nested loop and every pair meets in exactly one bucket. The side placed three times is
+    the smaller one by ``sizes``, without them the right one. With ``hot_rows`` set, overfull buckets are spread over cells
+    (`balanced_join`), rows told apart by ``left_by`` and ``right_by``.
     """
     on = on or []
     width = max(window, 1)  # a window <= 0 matches nothing: `within` is then constant false
-    bucket = F.floor(F.col(left_time) / width)
-    spread = left.withColumn("_bucket", F.explode(F.array(bucket - 1, bucket, bucket + 1)))
-    placed = right.withColumn("_bucket", F.floor(F.col(right_time) / width))
+    thrice_left = sizes is not None and sizes[0] < sizes[1]
+    left, right = _placed(left, left_time, width, thrice_left), _placed(right, right_time, width, not thrice_left)
     keys = [*on, "_bucket"]
-    hot = hot_keys(placed, keys, hot_rows, right_rows) if hot_rows and window > 0 else None
-    pairs = skew_join(spread, placed, keys, hot, salt_by or [right_time])
+    if hot_rows and window > 0:
+        if sizes is not None:
+            sizes = (sizes[0] * (3 if thrice_left else 1), sizes[1] * (1 if thrice_left else 3))
+        pairs = balanced_join(left, right, keys, left_by or [left_time], right_by or [right_time], hot_rows, stage, sizes)
+    else:
+        pairs = left.join(right, keys)
     return pairs.where(within(F.col(left_time), F.col(right_time), window)).drop("_bucket")
 
 
+def _placed(side: DataFrame, time: str, width: int, thrice: bool) -> DataFrame:
+    bucket = F.floor(F.col(time) / width)
+    return side.withColumn("_bucket", F.explode(F.array(bucket - 1, bucket, bucket + 1)) if thrice else bucket)
+
+
 def count_within(left: DataFrame, right: DataFrame, left_time: str, right_time: str, window: int) -> DataFrame:
     """One row ``pairs``: how many (left, right) pairs lie within the window, without forming them.
     A left row stands for ``n`` events.

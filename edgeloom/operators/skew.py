@@ -2,46 +2,63 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-# A key is salted once it has more rows than one task should handle. Only the heaviest keys are looked
-# up, so the list is bounded whatever the data: a key below the cut has under 1/1000 of the rows.
+from ..session import Stage
+
+# What one task should hold of a key at most: so many rows of a side, and so many pairs per such row.
 HOT_ROWS = 1_000_000
-MAX_HOT_KEYS = 1_000
-MAX_SALTS = 4_096
+PAIRS_PER_ROW = 1_000
+
 
+def may_be_hot(left_rows: int, right_rows: int, hot_rows: int = HOT_ROWS) -> bool:
+    """Whether sides of these sizes can hold a key that `cells` would split."""
+    return max(left_rows, right_rows) > hot_rows or left_rows * right_rows > hot_rows * PAIRS_PER_ROW
 
-def hot_keys(df: DataFrame, on: list[str], hot_rows: int = HOT_ROWS, rows: int | None = None) -> DataFrame | None:
-    """The heaviest keys of ``df`` with the number of salts each needs, or None if no key is heavy.
 
-    A table no larger than ``hot_rows`` has none; pass ``rows`` when its size is known. The counts are pre-aggregated before the shuffle, and
-    at most MAX_HOT_KEYS rows reach the driver. ``df`` should be a stored table: it is read twice here.
+def cells(left: DataFrame, right: DataFrame, on: list[str], hot_rows: int = HOT_ROWS) -> DataFrame:
+    """(key, ``_rows``, ``_columns``): the grid that spreads the pairs of each key too heavy for one task.
+
+    Rows cut the left side of the key and columns the right side, each by that side's count; where the pairs alone are too many, both
+    are cut so finely that a cell forms about ``hot_rows * PAIRS_PER_ROW``. Counts are pre-aggregated before the shuffle. Keys of
+    one side only, and null keys, join with nothing and need no cells.
     """
-    if (df.count() if rows is None else rows) <= hot_rows:
-        return None
-    counts = df.groupBy(*on).agg(F.count(F.lit(1)).alias("_rows"))
-    rows = counts.where(F.col("_rows") > hot_rows).orderBy(F.desc("_rows")).limit(MAX_HOT_KEYS).collect()
-    if not rows:
-        return None
-    salts = [tuple(r[k] for k in on) + (min(-(-r["_rows"] // hot_rows), MAX_SALTS),) for r in rows]
-    fields = ", ".join(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in on)
-    return df.sparkSession.createDataFrame(salts, f"{fields}, _salts BIGINT")
-
-
-def skew_join(small: DataFrame, large: DataFrame, on: list[str], hot: DataFrame | None, salt_by: list[str]) -> DataFrame:
-    """Inner join on ``on``. Rows of ``large`` with a hot key are spread by the hash of ``salt_by``;
-    the matching rows of ``small`` are repeated once per salt. Every pair is produced exactly once."""
-    if hot is None:
-        return small.join(large, on)
-    hot = F.broadcast(hot)  # at most MAX_HOT_KEYS rows by construction
-    spread = large.join(hot, on, "left").withColumn(
-        "_salt", F.coalesce(F.pmod(F.xxhash64(*salt_by), F.col("_salts")), F.lit(0).cast("bigint"))
-    )
-    repeated = small.join(hot, on, "left").withColumn(
-        "_salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.coalesce(F.col("_salts") - 1, F.lit(0).cast("bigint"))))
-    )
-    return repeated.drop("_salts").join(spread.drop("_salts"), [*on, "_salt"]).drop("_salt")
+    edge = min(hot_rows, max(1, int((hot_rows * PAIRS_PER_ROW) ** 0.5)))
+    rows = F.count(F.lit(1))
+    counts = left.groupBy(*on).agg(rows.alias("_l")).join(right.groupBy(*on).agg(rows.alias("_r")), on)
+    crowded = F.col("_l").cast("double") * F.col("_r") > float(hot_rows * PAIRS_PER_ROW)
+    cut = lambda n: F.ceil(F.col(n) / F.when(crowded, edge).otherwise(hot_rows)).alias("_rows" if n == "_l" else "_columns")
+    return counts.where(crowded | (F.greatest("_l", "_r") > hot_rows)).select(*on, cut("_l"), cut("_r"))
+
+
+def balanced_join(
+    left: DataFrame, right: DataFrame, on: list[str], left_by: list[str], right_by: list[str],
+    hot_rows: int = HOT_ROWS, stage: Stage | None = None, sizes: tuple[int, int] | None = None,
+) -> DataFrame:
+    """Inner join on ``on`` that no key overloads, whichever side, or both, it is heavy on.
+
+    Of a heavy key a left row belongs to one row of the grid of `cells`, by the hash of ``left_by``, and goes to all its columns; a right row
+    to one column, by ``right_by``, and to all its rows. So each pair meets in exactly one cell, and a side is repeated only as often as
+    the other is cut. The grid is stored and joined in like any table: Spark broadcasts it only while its size allows.
+    Known ``sizes`` of the sides spare the counts where no key can be heavy. The sides are read twice, so they should be stored tables.
+    """
+    if sizes is not None and not may_be_hot(*sizes, hot_rows):
+        return left.join(right, on)
+    grid = (stage or Stage(left.sparkSession)).table(cells(left, right, on, hot_rows), f"cells-{uuid.uuid4().hex}")
+    placed = _in_cells(left, grid, on, left_by, "_rows", "_columns").join(_in_cells(right, grid, on, right_by, "_columns", "_rows"), [*on, "_rows", "_columns"])
+    return placed.drop("_rows", "_columns")
+
+
+def _in_cells(side: DataFrame, grid: DataFrame, on: list[str], by: list[str], own: str, other: str) -> DataFrame:
+    """``side`` with one number of its ``own`` cut per row, repeated for all numbers of the ``other``."""
+    known = side.join(grid, on, "left")
+    first = F.lit(0).cast("bigint")
+    one = F.coalesce(F.pmod(F.xxhash64(*by), F.col(own)), first)
+    every = F.sequence(first, F.coalesce(F.col(other) - 1, first))
+    return known.select(*side.columns, one.alias(own), F.explode(every).alias(other))
 
 
 def previous_in_order(df: DataFrame, key: str, order: str, slot: int, alias: str) -> DataFrame:

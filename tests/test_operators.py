@@ -11,7 +11,7 @@ from edgeloom.operators import audit, fleet, quarantine, retention
 from edgeloom.operators import deliveries as dl
 from edgeloom.operators import sanitize as sz
 from edgeloom.operators.rangejoin import count_within, window_join
-from edgeloom.operators.skew import hot_keys, previous_in_order, skew_join
+from edgeloom.operators.skew import balanced_join, cells, may_be_hot, previous_in_order
 from edgeloom.plans.billing_export import billing_stream, check_sources
 from edgeloom.recipe import Privacy, RetryPolicy, SettingsError
 from edgeloom.sinks import export as ex
@@ -112,20 +112,42 @@ def test_window_join_and_count_against_brute_force(spark, window):
     right = [(i, rnd.choice([5, rnd.randint(-300, 300)])) for i in range(90)]
     ldf, rdf = spark.createDataFrame(left, "l long, at long"), spark.createDataFrame(right, "r long, c long")
     want = sorted((a, b) for a, x in left for b, y in right if window > 0 and abs(x - y) <= window)
-    for hot in (None, 3):
-        got = sorted((p.l, p.r) for p in window_join(ldf, rdf, "at", "c", window, salt_by=["r"], hot_rows=hot).collect())
-        assert got == want
+    for hot, sizes in ((None, None), (3, None), (3, (80, 90)), (3, (90, 80)), (1, (3, 1))):
+        pairs = window_join(ldf, rdf, "at", "c", window, left_by=["l"], right_by=["r"], hot_rows=hot, sizes=sizes)
+        assert sorted((p.l, p.r) for p in pairs.collect()) == want
     assert count_within(ldf.withColumn("n", F.lit(2)), rdf, "at", "c", window).first().pairs == 2 * len(want)
 
 
-def test_skew_join_salts_hot_keys_and_keeps_every_pair(spark):
-    large = spark.range(1000).select(F.when(F.col("id") < 600, "hot").otherwise(F.concat(F.lit("k"), F.col("id") % 50)).alias("k"), "id")
-    small = spark.createDataFrame([("hot", 1), ("hot", 2), ("k3", 3), ("none", 4)], "k string, v long")
-    hot = hot_keys(large, ["k"], 100)
-    assert [tuple(r) for r in hot.collect()] == [("hot", 6)]
-    assert hot_keys(large, ["k"], 10_000) is None and hot_keys(large.where("k <> 'hot'"), ["k"], 100) is None
-    joined = skew_join(small, large, ["k"], hot, ["id"])
-    assert sorted(map(tuple, joined.select("k", "v", "id").collect())) == sorted(map(tuple, small.join(large, "k").select("k", "v", "id").collect()))
+def sided(spark, n, hot, name):
+    key = F.when(F.col("id") < hot, "hot").otherwise(F.concat(F.lit("k"), F.col("id") % 7))
+    return spark.range(n).select(key.alias("k"), F.col("id").alias(name)).unionByName(spark.createDataFrame([(None, -1)], f"k string, {name} long"))
+
+
+@pytest.mark.parametrize("left_hot, right_hot, grid", [(600, 3, (6, 1)), (3, 600, (1, 6)), (500, 700, (5, 7)), (3, 3, None)])
+def test_balanced_join_splits_the_heavy_side_or_both(spark, stage, left_hot, right_hot, grid):
+    left, right = sided(spark, left_hot + 20, left_hot, "l"), sided(spark, right_hot + 20, right_hot, "r")
+    assert [(r.k, (r._rows, r._columns)) for r in cells(left, right, ["k"], 100).collect()] == ([("hot", grid)] if grid else [])
+    for sizes in (None, (left_hot + 20, right_hot + 20)):
+        pairs = balanced_join(left, right, ["k"], ["l"], ["r"], 100, stage, sizes)
+        assert pairs.columns == ["k", "l", "r"]
+        assert pairs.exceptAll(left.join(right, "k")).isEmpty() and pairs.count() == left.join(right, "k").count()
+
+
+def test_crowded_keys_are_cut_by_their_pairs(spark):
+    """1,100 x 1,000 rows of one key fit 10,000 rows a side, but not the pairs a task of ten rows may form."""
+    left, right = sided(spark, 1100, 1100, "l"), sided(spark, 1000, 1000, "r")
+    assert cells(left, right, ["k"], 10_000).isEmpty()
+    assert [(r._rows, r._columns) for r in cells(left, right, ["k"], 1_050).collect()] == [(2, 1)]
+    assert may_be_hot(1, 1_001, 1_000) and may_be_hot(1_000, 1_000, 999) and not may_be_hot(1_000, 1_000, 1_000)
+
+
+def test_cells_share_a_heavy_key_evenly(spark, stage):
+    left, right = sided(spark, 4000, 4000, "l"), sided(spark, 2000, 2000, "r")
+    pairs = balanced_join(left, right, ["k"], ["l"], ["r"], 500, stage)
+    rows, columns = 8, 4
+    cell = pairs.groupBy(F.pmod(F.xxhash64("l"), F.lit(rows)), F.pmod(F.xxhash64("r"), F.lit(columns))).count()
+    seen = [r["count"] for r in cell.collect()]
+    assert len(seen) == rows * columns and sum(seen) == 8_000_000 and max(seen) < 2 * min(seen)
 
 
 def test_previous_in_order_is_lag(spark):
