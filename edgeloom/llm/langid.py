@@ -15,12 +15,12 @@ are ``und`` with score 0. Repeated rows get equal results. Other columns pass th
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -32,7 +32,7 @@ PER_LANGUAGE, EXCERPTS, STEPS, BATCH, RATE = 400, 3, 500, 96, 0.02
 #: Languages of which the full sample is drawn; beyond it, documents drawn of each at least.
 FULL_SAMPLE, LEAST = 400, 40
 CHUNK = 64
-LETTER = re.compile(r"[^\W\d_]")
+LETTER = regex.compile(r"\p{L}")
 UNDETERMINED = "und"
 
 

@@ -17,12 +17,12 @@ def test_held_out_accuracy_and_edge_cases(spark):
     made = rows()
     docs = corpus(spark, made)
     net = fit(docs.where(~held_out(F.col("doc_id"))), per_language=60, steps=120)
-    odd = [(1000, None, None), (1001, "", None), (1002, "123 456 !?", "en"), (None, made[0][1], None), (1003, made[1][1] * 300, None), (1004, made[2][1], "zz"), (1004, made[2][1], "zz")]
+    odd = [(1000, None, None), (1001, "", None), (1002, "123 456 !?", "en"), (1005, "½ ² Ⅷ ①", "en"), (None, made[0][1], None), (1003, made[1][1] * 300, None), (1004, made[2][1], "zz"), (1004, made[2][1], "zz")]
     out = identify(corpus(spark, made + odd).selectExpr("*", "'x' AS score", "0 AS label"), net).collect()
     right = [r.lang_pred == r.lang for r in out if r.doc_id is not None and r.doc_id < 1000]
     assert sum(right) / len(right) > 0.95
     got = {r.doc_id: (r.lang_pred, r.score) for r in out}
-    assert got[1000] == got[1001] == got[1002] == ("und", 0.0)
+    assert got[1000] == got[1001] == got[1002] == got[1005] == ("und", 0.0)
     assert got[1003][0] == "de" and got[1004][0] == "fr" and all(0 <= r.score <= 1 for r in out) and len(out) == len(made) + len(odd)
 
 
