@@ -87,3 +87,12 @@ def heartbeat_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     max(dlq_size) > 100 AS dead_letters_high, count(*) AS heartbeats FROM beats GROUP BY ALL""", "beats"))
 def fleet_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fleet.window_alerts(te.heartbeats(te.events(spark, sf_dir)))
+
+
+@catalog.add("sliding_fleet_alerts", with_events(
+    """SELECT agent_id, CAST(w AS BIGINT) AS window_start, min(queue_depth) > 10000 AS depth_high, arg_max(dropped_count, (ts, dropped_count)) > arg_min(dropped_count, (ts, dropped_count)) AS drops_rising,
+    max(dlq_size) > 100 AS dead_letters_high, count(*) AS heartbeats FROM (SELECT *, unnest([ts // 900 * 900, ts // 900 * 900 - 900, ts // 900 * 900 - 1800, ts // 900 * 900 - 2700]) AS w FROM beats)
+    GROUP BY agent_id, w""", "beats"))
+def sliding_fleet_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Windows of an hour, one every quarter."""
+    return fleet.window_alerts(te.heartbeats(te.events(spark, sf_dir)), 3600, 900)

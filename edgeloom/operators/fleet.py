@@ -32,12 +32,20 @@ def gaps(beats: DataFrame, interval: int, slot: int = SLOT, now: Column | int |
     )
 
 
-def window_alerts(beats: DataFrame, seconds: int = 600) -> DataFrame:
-    """Per agent and tumbling window: depth above the limit throughout, drops rising, too many dead letters."""
-    start = (F.floor(F.col("ts") / seconds) * seconds).cast("bigint").alias("window_start")
-    return beats.groupBy("agent_id", start).agg(
+def window_alerts(beats: DataFrame, seconds: int = 600, slide: int | None = None) -> DataFrame:
+    """Per agent and window: depth above the limit throughout, drops rising, too many dead letters.
+
+    Windows follow one another or, with ``slide``, begin every ``slide`` seconds, so that a rise across the edge of one window
+    shows in the next. A heartbeat then counts in each of the windows that hold it.
+    """
+    slide = slide or seconds
+    newest = F.floor(F.col("ts") / slide) * slide
+    oldest = (F.floor((F.col("ts") - seconds) / slide) + 1) * slide
+    placed = beats.withColumn("window_start", F.explode(F.sequence(oldest.cast("bigint"), newest.cast("bigint"), F.lit(slide).cast("bigint"))))
+    drops = F.struct("ts", "dropped_count")
+    return placed.groupBy("agent_id", "window_start").agg(
         (F.min("queue_depth") > DEPTH_LIMIT).alias("depth_high"),
-        (F.max_by("dropped_count", F.struct("ts", "dropped_count")) > F.min_by("dropped_count", F.struct("ts", "dropped_count"))).alias("drops_rising"),
+        (F.max_by("dropped_count", drops) > F.min_by("dropped_count", drops)).alias("drops_rising"),
         (F.max("dlq_size") > DLQ_LIMIT).alias("dead_letters_high"),
         F.count(F.lit(1)).alias("heartbeats"),
     )

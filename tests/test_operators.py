@@ -369,3 +369,10 @@ def test_file_trouble_does_not_stop_http(spark, stage, tmp_path):
 def test_exported_lines_read_back(spark):
     lines = spark.createDataFrame([('[{"kind":"a"},{"kind":"b"}]',), ('{"kind":"a"}',)], "value string")
     assert {r.kind: r.records for r in audit.edges_by_kind(audit.exported_records(lines)).collect()} == {"a": 2, "b": 1}
+
+
+def test_a_rise_over_a_window_edge_shows_in_sliding_windows(spark):
+    beats = spark.createDataFrame([("a", 590, 1, 0, 5), ("a", 610, 1, 0, 9)], "agent_id string, ts long, queue_depth int, dlq_size int, dropped_count long")
+    rising = lambda slide: {r.window_start: r.drops_rising for r in fleet.window_alerts(beats, 600, slide).collect()}
+    assert rising(None) == {0: False, 600: False}
+    assert rising(300) == {0: False, 300: True, 600: False}

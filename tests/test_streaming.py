@@ -1,3 +1,4 @@
+import time
 import uuid
 
 import pytest
@@ -11,7 +12,7 @@ from edgeloom.operators.deliveries import classified, verified_messages
 from edgeloom.operators.matchers import ExactMatcher, LinkInputs, TemporalMatcher, View
 from edgeloom.plans.linkage import Ensemble
 from edgeloom.recipe import EXACT, TEMPORAL, Recipe
-from edgeloom.streaming import linkage, sinks, webhook
+from edgeloom.streaming import fleet, linkage, sinks, webhook
 from edgeloom.streaming.tables import LiveTable
 from test_linkage import rows
 from test_operators import BODY, SIG, T0, at
@@ -166,3 +167,22 @@ def test_framed_stream_replay_overwrites(spark, tmp_path):
     sink(records, 0)
     sink(records, 1)
     assert spark.read.text(str(tmp_path / "out")).count() == 6
+
+
+def test_silences_are_told_when_they_begin_and_end(spark, tmp_path):
+    """Rows in no order within the delay, two files a run, a restart between the runs, an agent that falls silent for good."""
+    first = [("a", 1000), ("b", 990), ("a", 1010)], [("a", 1005), ("b", 1030), ("c", 1020)]
+    second = [("b", 1100), ("b", 1060), ("c", 1085)], [("c", 1130), ("b", 1131), ("b", None), (None, 1)]
+    told = []
+    for run in (first, second):
+        for beats in run:
+            spark.createDataFrame(beats, "agent_id string, ts long").coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+            time.sleep(1.1)  # files are taken by the second they were landed in
+        beats = spark.readStream.schema("agent_id string, ts long").option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+        query = sinks.start(fleet.silences(beats, interval=20, delay=30), sinks.BatchTables(f"{tmp_path}/out"), f"{tmp_path}/checkpoint", {"availableNow": True})
+        query.awaitTermination()
+        stored = spark.read.schema(fleet.SILENCE).parquet(f"{tmp_path}/out")
+        told.append([tuple(r) for r in stored.select("agent_id", "previous_ts", "ts", "silent_seconds").collect()])
+    assert told[0] == []  # the clock stands at 1000
+    # At 1101 b's heartbeat of 1030 is followed within the limit of 40 seconds; a and c are not.
+    assert sorted(told[1], key=str) == sorted([("a", 1010, None, None), ("c", 1020, None, None), ("c", 1020, 1085, 65)], key=str)
