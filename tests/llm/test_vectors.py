@@ -77,3 +77,20 @@ def test_recall_of_the_walk(spark, stage, monkeypatch):
     rng = np.random.default_rng(3)
     rows = [(i, [float(v) for v in x], 0) for i, x in enumerate(rng.normal(size=(1500, 24)).astype(np.float32))]
     check_nearest(spark, stage, rows, [], 50, 5, 0.9)
+
+
+def test_recall_among_close_vectors_and_of_each_length(spark, stage, monkeypatch):
+    """Within a cluster cosines differ in the fifth digit only, which 8 or 16 bits a component do not tell."""
+    monkeypatch.setattr(neighbours, "LEAF", 128)
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(3, 24))[rng.integers(0, 3, 1200)] + 0.003 * rng.normal(size=(1200, 24))
+    rows = [(i, [float(v) for v in r], 0) for i, r in enumerate(x.astype(np.float32))]
+    check_nearest(spark, stage, rows, [], 50, 5, 0.9)
+    shorter = [(i + 5000, [float(v) for v in r], 0) for i, r in enumerate(rng.normal(size=(300, 8)).astype(np.float32))]
+    found = nearest(spark.createDataFrame(rows[:400] + shorter, SCHEMA), F.col("vec_id") % 50 == 0, stage.__class__(spark)).collect()
+    sims = cosines(shorter)
+    np.fill_diagonal(sims, -2)
+    want = {(5000 + q, 5000 + int(j)) for q in range(0, 300, 50) for j in np.argsort(-sims[q])[:5]}
+    got = {(r.query_id, r.vec_id) for r in found}
+    assert len(want & got) >= 0.9 * len(want) and all((q < 5000) == (v < 5000) for q, v in got)
+    assert {q for q, _ in got} == {*range(0, 400, 50), *range(5000, 5300, 50)}
