@@ -8,6 +8,7 @@ from edgeloom.functions.keyed_hash import KeyedHash
 from edgeloom.operators.combine import best_proof, combine, evidence_of, merged
 from edgeloom.operators.matchers import View, part
 from edgeloom.operators.validate import InvalidInput, check_inputs
+from edgeloom.plans import linkage
 from edgeloom.plans.linkage import Ensemble, run
 from edgeloom.recipe import PASSTHROUGH, EXACT, SKU, TEMPORAL, Recipe
 
@@ -208,3 +209,32 @@ def test_plan_shape_and_secrecy(spark, stage, hasher):
         block = fx.MATCHER_SALT.ljust(64, b"\0")
         for pad in (0x36, 0x5C):
             assert bytes(b ^ pad for b in block).hex()[:24] not in text.lower()
+
+
+def test_stored_views_hold_only_what_is_read(spark, stage):
+    inputs = fx.matcher_inputs(spark)
+    used = {r["sku"] for r in inputs.usages.select("sku").collect()}
+    everything = {r["sku"] for r in inputs.index().select("sku").collect()}
+    view = View.compact(inputs).stored(stage)
+    assert {r["sku"] for r in view.index.select("sku").collect()} == everything & used
+    few = stage.__class__(spark)
+    View.raw(inputs).stored(few, ("by_sku", "invs"))
+    assert sorted(f.getPath().getName() for f in few._files(few.root).listStatus(few._path(few.root))) == ["by_sku", "invs"]
+
+
+@pytest.mark.parametrize("span", [1, 1024])
+def test_pairs_are_kept_by_lists_of_active_buckets(spark, stage, hasher, monkeypatch, span):
+    monkeypatch.setattr(linkage, "SPAN", span)
+    inputs, ensemble = fx.matcher_inputs(spark), Ensemble.default(Recipe(), hasher)
+    pairs = {route: linkage._sku_pairs_near_in_time(ensemble.view(inputs, stage.__class__(spark)), 1000, route) for route in ("by_sku", "by_time")}
+    assert "LeftSemi" not in pairs["by_sku"]._jdf.queryExecution().optimizedPlan().toString()
+    found = {route: sorted((r["user"], r["sku"], r["id"]) for r in df.collect()) for route, df in pairs.items()}
+    assert found["by_sku"] == found["by_time"] != []
+
+
+def test_time_alone_takes_no_part_where_it_is_not_enough(spark, stage, hasher):
+    """At 0.5 SKU alone is enough and time alone (0.3) is not."""
+    inputs, ensemble = fx.matcher_inputs(spark), Ensemble.default(Recipe(threshold=0.5), hasher)
+    evidence = ensemble.deciding_evidence(ensemble.view(inputs, stage), stage)
+    met = evidence.groupBy("from", "to", "kind").agg(F.collect_set("matcher").alias("by")).collect()
+    assert met and all(r["by"] != [TEMPORAL] for r in met)
