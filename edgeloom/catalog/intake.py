@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.keyed_hash import KeyedHash
 from ..operators import deliveries as dl
 from ..operators import fleet
-from ..session import Stage
+from ..session import Stage, spread
 from ..sources import testevents as te
 from ..sources import testviews as tv
 from ..sources.testevents import with_events
@@ -19,9 +19,9 @@ RULES = dl.DeliveryRules(allowed_ranges=te.RANGES)
 TTL = 3600
 
 
-def classified(spark: SparkSession, sf_dir: str) -> DataFrame:
+def classified(spark: SparkSession, sf_dir: str, seen: DataFrame | None = None) -> DataFrame:
     hasher = te.webhook_hasher(spark)
-    return dl.classified(te.deliveries(te.events(spark, sf_dir), hasher), hasher, RULES, stage=Stage(spark))
+    return dl.classified(te.deliveries(spread(te.events(spark, sf_dir), "event_id"), hasher), hasher, RULES, seen, Stage(spark))
 
 
 @catalog.add("classified_deliveries", with_events("SELECT * FROM classified", "classified"))
@@ -39,9 +39,8 @@ def delivery_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SELECT delivery_id, CASE WHEN outcome IN ('accepted', 'ignored') AND CAST(substr(event_id, 5) AS BIGINT) % 3 = 0 THEN 'duplicate' ELSE outcome END AS outcome FROM classified""", "classified"))
 def deliveries_after_earlier_run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A third of the event ids was handled by an earlier run."""
-    hasher = te.webhook_hasher(spark)
     seen = te.events(spark, sf_dir).where(F.col("event_id") % 3 == 0).select(F.concat(F.lit("evt_"), "event_id").alias("event_id"))
-    return dl.classified(te.deliveries(te.events(spark, sf_dir), hasher), hasher, RULES, seen, Stage(spark)).select("delivery_id", "outcome")
+    return classified(spark, sf_dir, seen).select("delivery_id", "outcome")
 
 
 @catalog.add("canonical_invoices_of_events", with_events(

@@ -13,6 +13,9 @@ _V4 = rf"{_OCTET}(?:\.{_OCTET}){{3}}"
 _V6_FORM = r"^(?!:(?!:))(?!.*:::)(?!.*::.*::)[0-9A-Fa-f:]+(?<!(?<!:):)$"
 
 
+FEW_SPANS = 8
+
+
 def host_of(remote: Column) -> Column:
     """The host of ``ip:port`` or ``[ip]:port``; anything else is taken as a bare address."""
     return (
@@ -43,7 +46,8 @@ def ipv6_digits(host: Column) -> Column:
 def address_columns(df: DataFrame, remote: str) -> DataFrame:
     """Adds the readings of an address that `in_ranges` needs, each computed once."""
     hosted = df.withColumn("_host", host_of(F.col(remote)))
-    return hosted.withColumns({"_v4": ipv4_number(F.col("_host")), "_v6": ipv6_digits(F.col("_host"))}).drop("_host")
+    v6 = F.when(F.contains("_host", F.lit(":")), ipv6_digits(F.col("_host")))  # without a colon it is none
+    return hosted.withColumns({"_v4": ipv4_number(F.col("_host")), "_v6": v6}).drop("_host")
 
 
 def _disjoint(cidrs: list[str], version: int) -> list[tuple[int, int]]:
@@ -70,6 +74,11 @@ def _in_spans(digits: Column, spans: list[tuple[int, int]], width: int) -> Colum
     as small for many spans as for one."""
     if not spans:
         return F.lit(False)
+    if len(spans) <= FEW_SPANS:  # compared one by one, without a search
+        inside = F.lit(False)
+        for low, high in spans:
+            inside = inside | digits.between(f"{low:0{width}x}", f"{high:0{width}x}")
+        return F.coalesce(inside, F.lit(False))
     lows, highs = (F.split(F.lit(",".join(f"{s[side]:0{width}x}" for s in spans)), ",") for side in (0, 1))
     steps = F.array(*[F.lit(1 << k) for k in reversed(range(len(spans).bit_length()))])
     last = F.aggregate(steps, F.lit(-1), lambda at, step: F.when(F.get(lows, at + step) <= digits, at + step).otherwise(at))

@@ -42,8 +42,8 @@ def _fields(header: Column) -> Column:
     return F.filter(pairs, lambda kv: F.size(kv) == 2)
 
 
-def _values(name: str, header: Column) -> Column:
-    return F.transform(F.filter(_fields(header), lambda kv: kv[0] == name), lambda kv: kv[1])
+def _values(name: str, pairs: Column) -> Column:
+    return F.transform(F.filter(pairs, lambda kv: kv[0] == name), lambda kv: kv[1])
 
 
 def outside_skew(arrived: Column, seconds: Column, max_skew: int) -> Column:
@@ -53,7 +53,7 @@ def outside_skew(arrived: Column, seconds: Column, max_skew: int) -> Column:
 
 
 def _last(values: Column) -> Column:
-    return F.get(values, F.size(values) - 1)
+    return F.try_element_at(values, F.lit(-1))
 
 
 def with_signature_error(df: DataFrame, hasher: KeyedHash, max_skew: int, alias: str) -> DataFrame:
@@ -62,7 +62,9 @@ def with_signature_error(df: DataFrame, hasher: KeyedHash, max_skew: int, alias:
     is evaluated twice."""
     header = F.coalesce("signature_header", F.lit(""))
     number = lambda t: F.when(t.rlike(r"^[+-]?[0-9]+$"), t.try_cast("bigint"))
-    read = df.withColumns({"_times": F.transform(_values("t", header), number), "_given": F.coalesce(_last(_values("v1", header)), F.lit(""))})
+    pairs = F.col("_pairs")
+    read = df.withColumn("_pairs", _fields(header))
+    read = read.withColumns({"_times": F.transform(_values("t", pairs), number), "_given": F.coalesce(_last(_values("v1", pairs)), F.lit(""))}).drop("_pairs")
     read = read.withColumn("_stamp", F.coalesce(_last(F.col("_times")), F.lit(0).cast("bigint")))
     read = hasher.with_columns(read, {"_expected": mac(F.concat(F.col("_stamp").cast("string"), F.lit("."), "body"))})
     error = (
@@ -76,35 +78,65 @@ def with_signature_error(df: DataFrame, hasher: KeyedHash, max_skew: int, alias:
     return read.withColumn(alias, error).drop("_times", "_given", "_stamp", "_expected")
 
 
+_NAMES = ("id", "type", "created", "data", "object")
+_NAMED = "|".join(_NAMES)
+
+
 def plain_names(body: Column) -> Column:
-    """The names of an event's fields in lower case."""
-    for name in ("id", "type", "created", "data", "object"):
-        body = F.regexp_replace(body, rf'(?i)"{name}"(\s*:)', f'"{name}"$1')
-    return body
+    """The names of an event's fields in lower case. Only a body that has one in another case is rewritten."""
+    plain = body
+    for name in _NAMES:
+        plain = F.regexp_replace(plain, rf'(?i)"{name}"(\s*:)', f'"{name}"$1')
+    return F.when(body.rlike(rf'"(?!(?:{_NAMED})")(?i:{_NAMED})"\s*:'), plain).otherwise(body)
 
 
 def parse_event(body: Column) -> Column:
     """The event's fields; names are read in any case. Single quotes are refused."""
-    return F.from_json(plain_names(body), BILLING_EVENT, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt", "allowSingleQuotes": "false"})
+    return _event(plain_names(body))
+
+
+def _event(plain: Column) -> Column:
+    return F.from_json(plain, BILLING_EVENT, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt", "allowSingleQuotes": "false"})
+
+
+def _balanced(depth: int) -> str:
+    """A pattern of one pair of braces with at most ``depth`` levels, which takes no step back."""
+    pattern = r"\{\}"
+    for _ in range(depth - 1):
+        pattern = rf"\{{(?:{pattern})*+\}}"
+    return pattern
 
 
 def leftover(body: Column) -> Column:
     """Whether anything but white space follows the first JSON object."""
-    bare = F.regexp_replace(body, r'(?s)"(?:[^"\\]|\\.)*+"', '""')
-    shape = F.regexp_replace(bare, r"[^{}\[\]]", "")
-    # Depth after every bracket; the first zero must be the last bracket, and nothing but space may follow it.
-    steps = F.transform(F.split(shape, ""), lambda c: F.when(c.isin("{", "["), 1).when(c.isin("}", "]"), -1).otherwise(0))
+    return _leftover(_bare(body))
+
+
+def _bare(body: Column) -> Column:
+    """The body with every text emptied."""
+    return F.regexp_replace(body, r'(?s)"(?:[^"\\]|\\.)*+"', '""')
+
+
+def _leftover(bare: Column) -> Column:
+    shape = F.translate(F.regexp_replace(bare, r"[^{}\[\]]", ""), "[]", "{}")
+    # Depth after every bracket; the first zero must be the last bracket, and nothing but space may follow it. Most bodies are so
+    # shallow that a pattern tells; the others are walked.
+    steps = F.transform(F.split(shape, ""), lambda c: F.when(c == "{", 1).when(c == "}", -1).otherwise(0))
     walk = F.aggregate(
         steps, F.struct(F.lit(0).alias("depth"), F.lit(0).alias("ended")),
-        lambda acc, step: F.struct((acc["depth"] + step).alias("depth"), (acc["ended"] + F.when((step == -1) & (acc["depth"] == 1), 1).otherwise(0)).alias("ended")),
+        lambda acc, step: F.struct((acc["depth"] + step).alias("depth"), (acc["ended"] + F.when((step == -1) & (acc["depth"] <= 1), 1).otherwise(0)).alias("ended")),
     )
-    return ~F.coalesce(F.rtrim(F.regexp_replace(bare, r"\s+$", "")).endswith("}"), F.lit(False)) | (walk["ended"] != 1) | ~F.coalesce(F.regexp_replace(bare, r"^\s+", "").startswith("{"), F.lit(False))
+    whole = F.when(shape.rlike(rf"^{_balanced(8)}\z"), True).otherwise(walk["ended"] == 1)
+    return ~F.coalesce(bare.rlike(r"^\s*\{") & bare.rlike(r"\}\s*\z") & whole, F.lit(False))
 
 
 def wrong_types(body: Column) -> Column:
     """Whether the event's own id or type is there but no text. Fields of nested objects do not count; of repeated fields the last
     one does, as in parsing."""
-    top = F.try_parse_json(plain_names(body))
+    return _wrong_types(F.try_parse_json(plain_names(body)))
+
+
+def _wrong_types(top: Column) -> Column:
     kind = lambda name: F.schema_of_variant(F.try_variant_get(top, f"$.{name}", "variant"))
     bad = lambda name: ~F.coalesce(kind(name), F.lit("VOID")).isin("STRING", "VOID")
     return bad("id") | bad("type")
@@ -124,8 +156,9 @@ def checked(deliveries: DataFrame, hasher: KeyedHash, rules: DeliveryRules) -> D
     placed = address_columns(deliveries.withColumn("body", F.coalesce("body", F.lit(""))), "remote_addr")
     signed = with_signature_error(placed, hasher, rules.max_skew, "_signature")
     early = F.when(~in_ranges(list(rules.allowed_ranges)), "ip_not_allowed").when(F.octet_length("body") > rules.max_body_bytes, "body_too_large")
-    parsed = signed.withColumn("_event", parse_event(F.col("body")))
-    broken = F.when(F.col("_event").isNull() | F.col("_event._corrupt").isNotNull() | leftover(F.col("body")) | wrong_types(F.col("body")), "json_parse_error")
+    read = signed.withColumns({"_plain": plain_names(F.col("body")), "_bare": _bare(F.col("body"))})  # each reading of the body once
+    parsed = read.withColumns({"_event": _event(F.col("_plain")), "_top": F.try_parse_json("_plain")})
+    broken = F.when(F.col("_event").isNull() | F.col("_event._corrupt").isNotNull() | _leftover(F.col("_bare")) | _wrong_types(F.col("_top")), "json_parse_error")
     # One flat coalesce: filters on `detail` are pushed down as expressions, so it must not nest.
     parsed = parsed.withColumn("detail", F.coalesce(early, F.col("_signature"), broken))
     detail = F.col("detail")

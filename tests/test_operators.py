@@ -198,6 +198,29 @@ def test_only_one_json_object_with_text_ids_is_sound(spark):
     assert got[sound[1]].id == "a"
 
 
+def test_what_follows_the_first_object_is_found_at_any_depth(spark):
+    """Also where closing brackets come before what opens again, and below the depth that one pattern tells."""
+    deep = '{"a":' * 12 + "{}" + "}" * 12
+    sound, broken = [deep, '{"a":[[[]],{}]} \n'], ['{"id":"a"}]{}', '{"id":"a"}}{"b":{}}', deep + deep, deep + "]{}", deep + " x}"]
+    rows = spark.createDataFrame([(b,) for b in sound + broken], "body string").select(dl.leftover(F.col("body")).alias("bad"))
+    assert [r.bad for r in rows.collect()] == [False] * len(sound) + [True] * len(broken)
+
+
+def test_names_in_any_case_are_rewritten_and_others_left(spark):
+    bodies = ['{"ID" : "a","Data":{"OBJECT":{"iD":"b"}}}', '{"id":"a","Name":"ID","IDs":1}', None]
+    got = spark.createDataFrame([(b,) for b in bodies], "body string").select(dl.plain_names(F.col("body")).alias("b")).collect()
+    assert [r.b for r in got] == ['{"id" : "a","data":{"object":{"id":"b"}}}', bodies[1], None]
+
+
+def test_deliveries_of_one_row_group_are_checked_on_all_cores(spark, tmp_path):
+    from edgeloom.catalog import intake
+
+    spark.range(400).selectExpr("id AS event_id", "timestamp_seconds(1700000000 + id) AS ts").coalesce(1).write.parquet(str(tmp_path / "events.parquet"))
+    found = intake.classified(spark, str(tmp_path))
+    assert found.count() == 458
+    assert len([f for f in found.inputFiles() if "/checked/" in f]) >= 2 * spark.sparkContext.defaultParallelism
+
+
 def test_types_count_at_the_top_level_only(spark):
     bodies = ['{"data":{"object":{"id":7}},"id":"evt_1","type":"x"}', '{"id":"evt_1","type":"x","data":{"type":3}}', '{"ID":"evt_1","type":null}', "{}", '{"id":7,"type":"x"}', '{"a":{"id":"x"},"id":[1],"type":"x"}', '{"id":"a","Type":{}}']
     found = spark.createDataFrame([(i, b) for i, b in enumerate(bodies)], "i int, body string").select("i", dl.wrong_types(F.col("body")).alias("bad")).orderBy("i")

@@ -52,6 +52,17 @@ def test_an_event_id_is_handled_once_and_for_good(spark, tmp_path):
     assert sorted((r.delivery_id, r.outcome) for r in intake.deliveries(spark).collect()) == outcomes
 
 
+def test_landed_halves_have_a_file_for_each_core(spark, tmp_path):
+    from edgeloom.catalog import streams
+
+    one_file = spark.range(1000).selectExpr("id AS k").coalesce(1)
+    cores, taken = 6, []
+    context = type("Context", (), {"defaultParallelism": cores})()
+    session = type("Session", (), {"sparkContext": context, "readStream": spark.readStream})()
+    streams._fed(session, str(tmp_path), {"rows": one_file}, lambda rows: rows, lambda batch, number: taken.append(batch.count()))
+    assert sum(taken) == 1000 and len(list((tmp_path / "landing" / "rows").glob("*.parquet"))) == 2 * cores
+
+
 def test_messages_of_a_stream_are_judged_as_in_batch(spark, tmp_path):
     """Several micro-batches with a restart in between: a nonce is spent for its time, and before its signature is checked."""
     hasher, landed = KeyedHash(spark, b"key-of-the-test"), str(tmp_path / "landed")
