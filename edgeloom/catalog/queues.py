@@ -189,12 +189,10 @@ def _billing(spark: SparkSession, sf_dir: str) -> DataFrame:
     UNION ALL SELECT 'billing', 'invoice', id, customer, created_at, total FROM invs""", "raw_items", "invs"))
 def billing_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The billing stream's JSON, read back; a subscription's amount is the sum over all its items (each page also has one of quantity 1)."""
-    field = lambda path: F.get_json_object("payload", path)
-    quantities = F.from_json(field("$.items[*].quantity"), "array<bigint>")
-    quantities = F.coalesce(quantities, F.when(field("$.items[*].quantity").isNotNull(), F.array(field("$.items[*].quantity").try_cast("bigint"))))
-    return _billing(spark, sf_dir).select(
-        "stream", "record_type", field("$.id").alias("id"), field("$.customer").alias("customer"), field("$.created_at").cast("bigint").alias("created_at"),
-        F.coalesce(F.aggregate(quantities, F.lit(0).cast("bigint"), lambda total, q: total + q), field("$.total").cast("bigint")).alias("amount"))
+    record = F.from_json("payload", "id STRING, customer STRING, created_at BIGINT, total BIGINT, items ARRAY<STRUCT<quantity: BIGINT>>")
+    quantities = F.aggregate("r.items.quantity", F.lit(0).cast("bigint"), lambda total, q: total + q)
+    return _billing(spark, sf_dir).select("stream", "record_type", record.alias("r")).select(
+        "stream", "record_type", "r.id", "r.customer", "r.created_at", F.coalesce(quantities, "r.total").alias("amount"))
 
 
 @catalog.add("leak_audit", """SELECT (SELECT count(*) FROM lineitem JOIN orders ON l_orderkey = o_orderkey) + (SELECT count(*) FROM events WHERE event_type = 'purchase') AS records,

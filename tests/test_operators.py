@@ -76,6 +76,16 @@ def test_billing_stream_has_no_personal_data(spark, raw_subs, raw_invs):
     assert audit.leaks(raw).first().asDict() == {"records": 2, "personal_fields": 2, "email_addresses": 2, "raw_ids": 2, "not_synthetic": 2}
 
 
+def test_a_payload_is_parsed_once_and_patterns_run_on_suspects_only(spark):
+    from edgeloom.catalog import queues
+
+    plan = queues.billing_records(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("from_json(") == 2 and "get_json_object" not in plan  # once for each half of the union
+    payloads = ['{"id":"syn_sub_1","customer":"syn_cust_1"}', '{"id":"syn_sub_1","email" :null}', '{"id":"cus_1"}', '{"cus_1":"syn_x"}', '{"id":"syn_1","m":"a@b.co"}', '{"id":"syn_1","m":"@"}', None]
+    frame = audit.leaks(spark.createDataFrame([(p,) for p in payloads], "payload string"))
+    assert tuple(frame.first()) == (7, 1, 1, 1, 1) and frame._jdf.queryExecution().optimizedPlan().toString().count("_suspect") >= 3
+
+
 def test_source_filters(spark, raw_subs, raw_invs, tmp_path):
     assert billing.raw_subscriptions(raw_subs, "cus_none").count() == 0
     assert billing.raw_subscriptions(raw_subs, "cus_test456", 1).count() == 1
