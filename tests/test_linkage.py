@@ -4,9 +4,11 @@ import pytest
 from pyspark.sql import functions as F
 
 import fixtures as fx
+from edgeloom import schemas
 from edgeloom.functions.keyed_hash import KeyedHash
 from edgeloom.operators.combine import best_proof, combine, evidence_of, merged
-from edgeloom.operators.matchers import View, part
+from edgeloom.operators.matchers import LinkInputs, View, part
+from edgeloom.operators.stats import proof_figures
 from edgeloom.operators.validate import InvalidInput, check_inputs
 from edgeloom.plans import linkage
 from edgeloom.plans.linkage import Ensemble, run
@@ -196,6 +198,28 @@ def test_custom_matcher_joins_the_ensemble(spark, stage, hasher):
     assert len(edges) == 4 and {e["notes"] for e in edges} == {"all (score=1.00)"}
 
 
+@pytest.mark.parametrize("repeated", [False, True], ids=["single ids", "a repeated id"])
+def test_proof_figures_equal_merged_evidence(spark, stage, hasher, repeated):
+    """Usage before and after a target at one distance, whose rows share a proof; seconds without events, other users, the window's edge."""
+    t = 1_700_000_000
+    usages = [("syn_cust_1", "api", "syn_price_1", t + d) for d in (-3600, -3601, -60, -60, 0, 60, 61, 3600, 3700)] + [("syn_cust_2", "api", "syn_price_2", t + d) for d in (-61, 60, 62)]
+    subs = [(f"syn_sub_{i}", "syn_cust_1", ["syn_price_1"], [], t + d, "active") for i, d in enumerate((0, 0, 1, -30, 7300))]
+    invs = [(f"syn_inv_{i}", "syn_cust_2", "", 1, "usd", "paid", t + d, True) for i, d in enumerate((0, 61))]
+    if repeated:
+        invs += [("syn_inv_0", "syn_cust_2", "", 1, "usd", "paid", t + 1, True)]
+    inputs = LinkInputs(*(spark.createDataFrame(r, s) for r, s in ((usages, schemas.USAGE), (subs, schemas.SUBSCRIPTION_LITE), (invs, schemas.INVOICE_LITE))))
+    ensemble = Ensemble.default(Recipe(), hasher)
+    raw = ensemble.raw_edges(inputs).groupBy(F.substring_index("recipe", "/", 1).alias("matcher"), "kind").agg(
+        F.count(F.lit(1)), F.count_distinct("proof"), F.min("proof"), F.max("proof"), F.max("at"))
+    view = ensemble.view(inputs, stage)
+    found = proof_figures(view, ensemble.matchers, hasher)
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, raw.collect()))
+    assert any(r.edges > r.proofs for r in found.where("matcher LIKE 'temporal%'").collect())
+    if not repeated:  # no pair near in time is shuffled: rows are grouped by the proof's text for the other matchers only
+        plan = proof_figures(view, [m for m in ensemble.matchers if m.name == TEMPORAL], hasher)._jdf.queryExecution().optimizedPlan().toString()
+        assert "Aggregate [from" not in plan
+
+
 def test_best_proof(spark):
     edges = spark.createDataFrame([("a", "b", "k", 0.5, "p1"), ("a", "b", "k", 0.9, "p3"), ("a", "b", "k", 0.9, "p2")], "from string, to string, kind string, confidence double, proof string")
     assert tuple(best_proof(edges).first()) == ("a", "b", "k", "p2", 0.9)
