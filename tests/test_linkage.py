@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 import fixtures as fx
 from edgeloom import schemas
 from edgeloom.functions.keyed_hash import KeyedHash
-from edgeloom.operators.combine import best_proof, combine, evidence_of, merged
+from edgeloom.operators.combine import best_proof, combine, evidence_of, merged, scored_keys, scored_rows
 from edgeloom.operators.matchers import LinkInputs, View, part
 from edgeloom.operators.stats import proof_figures
 from edgeloom.operators.validate import InvalidInput, check_inputs
@@ -220,6 +220,38 @@ def test_proof_figures_equal_merged_evidence(spark, stage, hasher, repeated):
         assert "Aggregate [from" not in plan
 
 
+def near_inputs(spark, repeated):
+    """Users with one and with several seconds around a target, keys of time alone and of time with others, a repeated id."""
+    t = 1_700_000_000
+    usages = [("syn_cust_1", "api", "syn_price_1", t + d) for d in (-3600, -3601, -60, -60, 60, 3500)] + [("syn_cust_2", "api", "syn_price_2", t + 40), ("syn_cust_3", "api", "syn_price_9", t + 9000)]
+    subs = [(f"syn_sub_{i}", f"syn_cust_{1 + i % 2}", [f"syn_price_{1 + i % 3}"], [], t + d, "active") for i, d in enumerate((0, 1, -30, 3661, 7300, 90_000))]
+    invs = [("syn_inv_0", "syn_cust_2", "", 1, "usd", "paid", t, True), ("syn_inv_1", "syn_cust_7", "", 1, "usd", "paid", t + 61, True)]
+    if repeated:
+        invs += [("syn_inv_1", "syn_cust_7", "", 1, "usd", "paid", t + 3000, True)]
+    return LinkInputs(*(spark.createDataFrame(r, s) for r, s in ((usages, schemas.USAGE), (subs, schemas.SUBSCRIPTION_LITE), (invs, schemas.INVOICE_LITE))))
+
+
+@pytest.mark.parametrize("repeated", [False, True], ids=["single ids", "a repeated id"])
+@pytest.mark.parametrize("hot_rows", [1_000_000, 1])
+def test_candidates_score_as_all_evidence(spark, stage, hasher, hot_rows, repeated):
+    ensemble = Ensemble.default(Recipe(), hasher, hot_rows=hot_rows)
+    view = ensemble.view(near_inputs(spark, repeated), stage)
+    grouped, alone = ensemble.candidates(view, stage)
+    scored = scored_rows(alone, ensemble.recipe, ensemble.names)
+    assert "Aggregate" not in scored._jdf.queryExecution().optimizedPlan().toString()  # pairs near in time are not grouped
+    assert alone.where("n > 1").count() and grouped.where(f"matcher = '{TEMPORAL}'").count()
+    want = scored_keys(ensemble.evidence(view), ensemble.recipe, ensemble.names).collect()
+    got = scored_keys(grouped, ensemble.recipe, ensemble.names).unionByName(scored).collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, want))
+
+
+def test_candidates_of_empty_inputs(spark, stage, hasher):
+    inputs = near_inputs(spark, False)
+    ensemble, none = Ensemble.default(Recipe(), hasher), {n: getattr(inputs, n).limit(0) for n in ("usages", "subs", "invs")}
+    grouped, alone = ensemble.candidates(ensemble.view(LinkInputs(**none), stage), stage)
+    assert grouped.isEmpty() and alone.isEmpty()
+
+
 def test_best_proof(spark):
     edges = spark.createDataFrame([("a", "b", "k", 0.5, "p1"), ("a", "b", "k", 0.9, "p3"), ("a", "b", "k", 0.9, "p2")], "from string, to string, kind string, confidence double, proof string")
     assert tuple(best_proof(edges).first()) == ("a", "b", "k", "p2", 0.9)
