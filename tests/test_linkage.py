@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 import fixtures as fx
 from edgeloom import schemas
+from edgeloom.catalog import linking
 from edgeloom.functions.keyed_hash import KeyedHash
 from edgeloom.operators.combine import best_proof, combine, evidence_of, merged, scored_keys, scored_rows
 from edgeloom.operators.matchers import LinkInputs, View, part
@@ -252,6 +253,19 @@ def test_candidates_of_empty_inputs(spark, stage, hasher):
     assert grouped.isEmpty() and alone.isEmpty()
 
 
+@pytest.mark.parametrize("repeated", [False, True], ids=["single ids", "a repeated id"])
+def test_best_single_proof_of_candidates_is_that_of_raw_edges(spark, stage, hasher, monkeypatch, repeated):
+    inputs = near_inputs(spark, repeated)
+    monkeypatch.setattr(linking, "compact", lambda *_: (ensemble.view(inputs, stage), ensemble, stage))
+    ensemble = Ensemble.default(Recipe(), hasher)
+    want = best_proof(ensemble.raw_edges(inputs))
+    found = linking.best_single_proof(spark, "")
+    assert found.columns == want.columns
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, want.collect()))
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Aggregate [from") == 1  # one pass over the other keys, none over pairs near in time
+
+
 def test_best_proof(spark):
     edges = spark.createDataFrame([("a", "b", "k", 0.5, "p1"), ("a", "b", "k", 0.9, "p3"), ("a", "b", "k", 0.9, "p2")], "from string, to string, kind string, confidence double, proof string")
     assert tuple(best_proof(edges).first()) == ("a", "b", "k", "p2", 0.9)
