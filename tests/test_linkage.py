@@ -240,6 +240,8 @@ def test_candidates_score_as_all_evidence(spark, stage, hasher, hot_rows, repeat
     grouped, alone = ensemble.candidates(view, stage)
     scored = scored_rows(alone, ensemble.recipe, ensemble.names)
     assert "Aggregate" not in scored._jdf.queryExecution().optimizedPlan().toString()  # pairs near in time are not grouped
+    few = alone.rdd.getNumPartitions()  # partitions of few rows make many pairs, so they must not be merged
+    assert few >= 4 * 4 * spark.sparkContext.defaultParallelism
     assert alone.where("n > 1").count() and grouped.where(f"matcher = '{TEMPORAL}'").count()
     want = scored_keys(ensemble.evidence(view), ensemble.recipe, ensemble.names).collect()
     got = scored_keys(grouped, ensemble.recipe, ensemble.names).unionByName(scored).collect()
