@@ -310,3 +310,15 @@ def test_time_alone_takes_no_part_where_it_is_not_enough(spark, stage, hasher):
     evidence = ensemble.deciding_evidence(ensemble.view(inputs, stage), stage)
     met = evidence.groupBy("from", "to", "kind").agg(F.collect_set("matcher").alias("by")).collect()
     assert met and all(r["by"] != [TEMPORAL] for r in met)
+
+
+def test_tables_without_rows_are_not_joined(spark, stage, hasher):
+    """Without subscriptions there is no SKU to look for: no list of active buckets, no SKU pair, and the invoices linked as ever."""
+    inputs, ensemble = fx.matcher_inputs(spark), Ensemble.default(Recipe(), hasher)
+    bare = replace(inputs, subs=inputs.subs.where(F.lit(False)))
+    found = ensemble.link(ensemble.view(bare, stage), stage)
+    staged = {f.getPath().getName() for f in stage._files(stage.root).listStatus(stage._path(stage.root))}
+    assert not staged & {"active", "active_skus", "sku_pairs", "sku_keys"}
+    check(rows(found), [e for e in fx.MATCHER_EDGES if e[2] == "user->invoice"])
+    none = stage.__class__(spark)
+    assert ensemble.link(ensemble.view(replace(inputs, usages=inputs.usages.where(F.lit(False))), none), none).count() == 0
