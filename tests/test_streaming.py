@@ -147,6 +147,31 @@ def test_live_links_equal_batch_links(spark, stage, tmp_path, recipe):
     assert rows(live.current(spark)) == rows(batch) and {r["kind"] for r in batch.collect()} >= {"user->subscription", "user->invoice", "user->price"}
 
 
+@pytest.mark.parametrize("hot_rows", [1_000_000, 1])
+def test_pairs_near_in_time_are_listed_from_the_kept_sides(spark, stage, tmp_path, hot_rows):
+    """Usage and invoices out of order over three batches, one of them replayed: the pairs of a batch run, repeats counted, and neither
+    a pair nor a row of state is kept."""
+    users, landed = [f"syn_cust_{i:016x}" for i in range(3)], str(tmp_path / "landed")
+    used = spark.createDataFrame([(users[i % 3], "api", "syn_price_" + "0" * 16, T0 + 700 * (i % 14)) for i in range(30)] + [(users[0], "api", "", T0 - 3600)], schemas.USAGE)
+    invs = spark.createDataFrame([(f"syn_inv_{i:016x}", users[0], "", 1, "usd", "paid", T0 + 2500 * i, True) for i in range(5)], schemas.INVOICE_LITE)
+    rows_in = linkage.link_rows(used, None, invs)
+    rows_in.repartition(3).write.parquet(landed)
+    live, seen = linkage.LiveTimes(str(tmp_path / "times"), TemporalMatcher(3600), shards=3, fan=2, hot_rows=hot_rows), []
+
+    def kept(rows, number):
+        seen.append(number)
+        live(rows, number)
+        live(rows, number)
+
+    sinks.start(stream(spark, landed, rows_in.schema), kept, str(tmp_path / "cp"), ONCE).awaitTermination()
+    found = live.evidence(spark, stage, schemas.USER_INVOICE)
+    batch = TemporalMatcher(3600).invoices(View.compact(LinkInputs(used, spark.createDataFrame([], schemas.SUBSCRIPTION_LITE), invs)))
+    listed = lambda df: sorted((r["from"], r["to"], r["note"], r["n"], r["at"], r["confidence"]) for r in df.collect())
+    assert seen == [0, 1, 2] and listed(found) == listed(batch) and sum(r["n"] for r in batch.collect()) > 60
+    assert not (tmp_path / "cp" / "state").exists()
+    assert live.by_time.read(spark).count() <= 31 and live.targets[linkage.INVOICE].read(spark).count() == 5
+
+
 def test_incremental_combine_over_stream_joins(spark, stage, tmp_path):
     """Evidence of two stream joins; the touched keys are combined again each time, and a replayed batch replaces itself."""
     hasher, recipe, inputs = KeyedHash(spark, fx.MATCHER_SALT), Recipe(), fx.matcher_inputs(spark)
