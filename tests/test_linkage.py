@@ -1,3 +1,4 @@
+import time
 from dataclasses import replace
 
 import pytest
@@ -14,6 +15,7 @@ from edgeloom.operators.validate import InvalidInput, check_inputs
 from edgeloom.plans import linkage
 from edgeloom.plans.linkage import Ensemble, run
 from edgeloom.recipe import PASSTHROUGH, EXACT, SKU, TEMPORAL, Recipe
+from edgeloom.session import RELEASE_CONF, shuffles_released
 
 COLUMNS = ["from", "to", "kind", "confidence", "at", "notes", "proof"]
 
@@ -322,3 +324,59 @@ def test_tables_without_rows_are_not_joined(spark, stage, hasher):
     check(rows(found), [e for e in fx.MATCHER_EDGES if e[2] == "user->invoice"])
     none = stage.__class__(spark)
     assert ensemble.link(ensemble.view(replace(inputs, usages=inputs.usages.where(F.lit(False))), none), none).count() == 0
+
+
+def _shuffle_files(spark):
+    files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+    return {name for name in (files.apply(i).getName() for i in range(files.size())) if name.startswith("shuffle_")}
+
+
+def test_stored_tables_leave_no_shuffle_files(spark, stage):
+    before = _shuffle_files(spark)
+    kept = stage.table(spark.range(1000).repartition(3).groupBy((F.col("id") % 7).alias("k")).count(), "counted")
+    for _ in range(100):  # they are removed in the background
+        if not _shuffle_files(spark) - before:
+            break
+        time.sleep(0.1)
+    assert not _shuffle_files(spark) - before and kept.count() == 7
+
+
+@pytest.mark.parametrize("own", [None, "false"])
+def test_release_of_shuffles_ends_with_the_last_write(spark, own):
+    spark.conf.unset(RELEASE_CONF)
+    before = spark.conf.get(RELEASE_CONF, None)
+    if own is not None:
+        spark.conf.set(RELEASE_CONF, own)
+    try:
+        with shuffles_released(spark):
+            with shuffles_released(spark):
+                pass
+            assert spark.conf.get(RELEASE_CONF) == "true"
+        assert spark.conf.get(RELEASE_CONF, None) == (own or before)
+    finally:
+        spark.conf.unset(RELEASE_CONF)
+
+
+def test_a_run_keeps_its_edges_and_what_was_there(spark, stage, hasher):
+    stage.table(spark.range(3), "mine")
+    edges = Ensemble.default(Recipe(), hasher).run(fx.matcher_inputs(spark), stage)
+    assert stage.names() == {"mine", "edges"}
+    check(rows(edges), fx.MATCHER_EDGES)
+
+
+def test_deciding_evidence_is_stored_part_by_part(spark, stage, hasher):
+    ensemble = Ensemble.default(Recipe(), hasher)
+    evidence = ensemble.deciding_evidence(ensemble.view(fx.matcher_inputs(spark), stage), stage)
+    plan = evidence._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and "Aggregate" not in plan
+
+
+def test_index_of_skus_holds_any_kind_of_item(spark):
+    """Only a range of ids is looked at before the join: products that usage names stay, and items beside the named ones go."""
+    inputs = fx.matcher_inputs(spark)
+    named = lambda *skus: {r.sku for r in inputs.index(spark.createDataFrame([(s,) for s in skus], "sku string")).collect()}
+    assert named("syn_prod_prod111111") == {"syn_prod_prod111111"}
+    assert named(fx.P1, "syn_prod_prod222222", "syn_zzz", None) == {fx.P1, "syn_prod_prod222222"}
+    assert named("syn_price_p1") == set() and named() == set()
+    products = inputs.index(spark.createDataFrame([(fx.P1,)], "sku string"))
+    assert "min(sku" in products._jdf.queryExecution().optimizedPlan().toString()
