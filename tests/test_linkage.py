@@ -380,3 +380,12 @@ def test_index_of_skus_holds_any_kind_of_item(spark):
     assert named("syn_price_p1") == set() and named() == set()
     products = inputs.index(spark.createDataFrame([(fx.P1,)], "sku string"))
     assert "min(sku" in products._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_proof_figures_sort_no_signed_rows(spark, stage, hasher):
+    ensemble = Ensemble.default(Recipe(), hasher)
+    figures = proof_figures(ensemble.view(fx.matcher_inputs(spark), stage), ensemble.matchers, hasher)
+    plan = figures._jdf.queryExecution().executedPlan().toString()
+    assert "SortAggregate(key=[matcher" not in plan and "SortAggregate(key=[kind" not in plan and "ObjectHashAggregate(keys=[matcher" in plan
+    empty = proof_figures(ensemble.view(replace(fx.matcher_inputs(spark), usages=spark.createDataFrame([], schemas.USAGE)), type(stage)(spark)), ensemble.matchers, hasher)
+    assert empty.count() == 0
