@@ -29,7 +29,7 @@ import hashlib
 import itertools
 import math
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 import numpy as np
 import pandas as pd
@@ -52,6 +52,8 @@ SMALL, STUBBORN, DEPTH = 48, 0.75, 8
 PER_DEPTH = 3
 #: Sets in a block of a large bucket; columns of the comparison matrix at a time.
 BLOCK, COLUMNS = 768, 4096
+#: So many times, on the average, a set may lie on disk to be compared.
+COPIES = 4
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -273,14 +275,28 @@ def compare(bucket: int, first: list[dict], second: list[dict], threshold: float
         yield reps[a], reps[b], 0
 
 
+def with_cells(sets: DataFrame, part: int = 0, parts: int = 1) -> DataFrame:
+    """The sets with ``cells``: the (bucket, i, j, second) of the blocks and pairs of blocks they are compared in, of one of ``parts`` shares
+    of them; sets that have none there are left out. places: the (bucket, size) that the set is in, in order."""
+
+    def of(place: Column) -> Column:
+        blocks = F.ceil(place["size"] / BLOCK).cast("int")
+        own = F.pmod(F.xxhash64("rep", F.lit("block")), blocks).cast("int")
+        return F.transform(F.sequence(F.lit(0), blocks - 1), lambda other: F.struct(
+            place["bucket"].alias("bucket"), F.least(own, other).alias("i"), F.greatest(own, other).alias("j"), (own > other).alias("second")))
+
+    cells = F.flatten(F.transform("places", of))
+    if parts > 1:
+        cells = F.filter(cells, lambda c: F.pmod(F.xxhash64(c["bucket"], c["i"], c["j"], F.lit("part")), F.lit(parts)) == part)
+    found = sets.withColumn("cells", cells)
+    return found.where(F.size("cells") > 0) if parts > 1 else found
+
+
 def compare_buckets(sets: DataFrame, threshold: float) -> DataFrame:
-    """(rep, other, links) from sets (rep, copies, places, grams); places: the (bucket, size) that the set is in, in order."""
-    own = F.pmod(F.xxhash64("rep", F.lit("block")), F.col("blocks")).cast("int")
+    """(rep, other, links) from sets (rep, copies, places, cells, grams)."""
     rows = (
-        sets.select("rep", "copies", "grams", F.col("places.bucket").alias("buckets"), F.explode("places").alias("place"))
-        .withColumn("bucket", F.col("place.bucket")).withColumn("blocks", F.ceil(F.col("place.size") / BLOCK).cast("int")).withColumn("own", own)
-        .select("rep", "copies", "grams", "buckets", "bucket", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-        .select("bucket", "rep", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).alias("second"), "copies", "grams", "buckets")
+        sets.select("rep", "copies", "grams", F.col("places.bucket").alias("buckets"), F.inline("cells"))
+        .select("bucket", "rep", "i", "j", "second", "copies", "grams", "buckets")
         .repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
     )
     schema = "rep long, other long, links long"
@@ -346,9 +362,14 @@ def near_copies(docs: DataFrame, stage: Stage, threshold: float = THRESHOLD, wor
     wanted = reps_of.join(places, "rep").select(F.col("rep").alias("doc_id"), "copies", "set_id", "places")
     # A repeated id may stand for several texts; the set tells which one is meant.
     texts = docs.where("doc_id is not null").join(wanted, "doc_id").groupBy("doc_id", "set_id").agg(F.max("copies").alias("copies"), F.max("text").alias("text"), F.first("places").alias("places"))
-    sets = gram_sets(texts.select(F.col("doc_id").alias("rep"), "copies", "places", "text"), words)
-    compared = stage.table(compare_buckets(sets, threshold), "compared")
-    stage.drop("members")
+    # Stored, so that what the join shuffled is gone before the blocks are dealt.
+    texts = stage.table(texts.select(F.col("doc_id").alias("rep"), "copies", "places", "text"), "texts")
+    stage.drop("members", "bucket_sizes", "dense_names", *[f"sizes_{d}" for d in range(1, DEPTH + 1)])
+    # A set of a large bucket moves once for each of its blocks. The blocks are dealt in shares, so that few copies of a set lie on disk at a time.
+    parts = max(1, math.ceil(texts.agg(F.sum(F.aggregate("places", F.lit(0.0), lambda total, p: total + F.ceil(p["size"] / BLOCK))) / F.count("*") / COPIES).first()[0] or 0))
+    shares = [stage.table(compare_buckets(gram_sets(with_cells(texts, part, parts), words), threshold), f"compared_{part}") for part in range(parts)]
+    compared = reduce(DataFrame.unionAll, shares)
+    stage.drop("texts")
     found = components(compared.where("other is not null").select(F.col("rep").alias("a"), F.col("other").alias("b")), stage)
     links = compared.groupBy("rep").agg(F.sum("links").alias("links"))
     classes = stage.table(

@@ -119,3 +119,12 @@ def test_pairs_in_deep_buckets(spark, stage, monkeypatch):
     out = near_copies(corpus(spark, rows), stage, words=1).collect()
     assert len(out) == 2000 and all(r.component_id == r.doc_id - r.doc_id % 2 * r.n_links for r in out)
     assert sum(r.n_links for r in out) / 2000 >= 0.997
+
+
+def test_blocks_dealt_in_shares_give_the_same(spark, stage, monkeypatch):
+    """The group of near copies has many blocks, so its sets move often; they are compared in shares, each block in one of them."""
+    monkeypatch.setattr(shingle_join, "BLOCK", 16)
+    monkeypatch.setattr(shingle_join, "COPIES", 1)
+    rows = made()
+    got = sorted(((r.doc_id, r.n_links, r.component_id, r.kept) for r in near_copies(corpus(spark, rows), stage).collect()), key=repr)
+    assert got == brute(rows) and "compared_1" in stage.names() and "texts" not in stage.names()
